@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from checks import views  # noqa: F401
+from checks import trips, views  # noqa: F401

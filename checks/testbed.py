@@ -215,17 +215,22 @@ def _tick_table(tk: DataFrame, name: str) -> DataFrame:
 def telemetry(spark: SparkSession, sf_dir: str) -> Tables:
     """All sample tables over the whole of ``events``."""
     tk = ticks(spark, sf_dir)
-    tables = {name: _tick_table(tk, name) for name in FROM_TICKS}
-    aps = tk.where("event_type = 'signup' AND event_id % 2 = 1").withColumn(
-        "i", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))
-    )
-    tables["wifi_ap_obs"] = aps.selectExpr(*KEYS.split(", "), *[spark_text(c) for c in AP_COLUMNS])
-    aggs = [spark_text(c) for c in BUNDLE_COLUMNS if not c.startswith("content_root")]
-    bundles = tk.groupBy("content_root").agg(*[F.expr(a) for a in aggs])
-    tables["bundles"] = bundles.withColumn("bundle_id", F.col("content_root"))
-    values = ", ".join(f"('{v}', '{t}', TIMESTAMP_NTZ '{at}', '')" for v in VEHICLES for t, at in TUNE_ROWS)
-    tables["tune"] = spark.sql(f"SELECT * FROM VALUES {values} AS x(vehicle_id, tune_id, tuned_at, note)")
-    return Tables(tables)
+
+    def access_points() -> DataFrame:
+        heard = tk.where("event_type = 'signup' AND event_id % 2 = 1")
+        each = heard.withColumn("i", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+        return each.selectExpr(*KEYS.split(", "), *[spark_text(c) for c in AP_COLUMNS])
+
+    def bundles() -> DataFrame:
+        aggs = [F.expr(spark_text(c)) for c in BUNDLE_COLUMNS if not c.startswith("content_root")]
+        return tk.groupBy("content_root").agg(*aggs).withColumn("bundle_id", F.col("content_root"))
+
+    def tunes() -> DataFrame:
+        values = ", ".join(f"('{v}', '{t}', TIMESTAMP_NTZ '{at}', '')" for v in VEHICLES for t, at in TUNE_ROWS)
+        return spark.sql(f"SELECT * FROM VALUES {values} AS x(vehicle_id, tune_id, tuned_at, note)")
+
+    frames = {name: (lambda name=name: _tick_table(tk, name)) for name in FROM_TICKS}
+    return Tables({**frames, "wifi_ap_obs": access_points, "bundles": bundles, "tune": tunes})
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -43,3 +43,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     folder = named or tempfile.mkdtemp(prefix="odolake-ckpt-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a result once and keep it on shared storage, for a plan that reads it several times."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,21 +10,26 @@ from odolake.schemas import SAMPLE_TABLES
 
 
 class Tables(Mapping[str, DataFrame]):
-    """Named DataFrames with attribute access; ``replace`` gives a changed copy."""
+    """Named DataFrames with attribute access; ``replace`` gives a changed copy.
 
-    def __init__(self, frames: Mapping[str, DataFrame]):
+    A frame may be given as a function without arguments, which is called on first use.
+    """
+
+    def __init__(self, frames: Mapping[str, DataFrame | Callable[[], DataFrame]]):
         self._frames = dict(frames)
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self._frames[name]
+        frame = self._frames[name]
+        if not isinstance(frame, DataFrame):
+            frame = self._frames[name] = frame()
+        return frame
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        try:
-            return self._frames[name]
-        except KeyError:
-            raise AttributeError(name) from None
+        if name not in self._frames:
+            raise AttributeError(name)
+        return self[name]
 
     def __iter__(self) -> Iterator[str]:
         return iter(self._frames)
