@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from checks import insight, trips, views  # noqa: F401
+from checks import insight, repairs, trips, views  # noqa: F401
