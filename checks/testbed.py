@@ -99,6 +99,31 @@ FROM_TICKS: dict[str, tuple[list[str], str]] = {
         ["cast(event_id % 4 AS INT) AS flags", "3 AS ap_count"],
         "event_type = 'signup' AND event_id % 2 = 1",
     ),
+    "raw_position": (
+        [
+            "cast(CASE WHEN event_id % 23 = 0 THEN 0 ELSE 360000000 + k * 1000 END AS BIGINT) AS lat_e7",
+            "cast(CASE WHEN event_id % 23 = 0 THEN 0 ELSE -1210000000 - k * 2000 END AS BIGINT) AS lon_e7",
+            "cast(event_id % 9000 - 100 AS INT) AS alt_cm",
+            "cast(event_id * 7 % 6000 AS INT) AS speed_cmps",
+            "cast(event_id * 11 % 36100 AS INT) AS heading_cdeg",
+            "cast(event_id % 9 AS INT) AS fix_type",
+            "cast(CASE WHEN event_id % 17 = 0 THEN 255 ELSE event_id % 20 END AS INT) AS sats_used",
+            "cast(CASE WHEN event_id % 19 = 0 THEN 65535 ELSE event_id % 500 END AS INT) AS hdop_e2",
+            "cast(CASE WHEN event_id % 13 = 0 THEN 65535 ELSE event_id % 3000 END AS INT) AS h_acc_cm",
+            "cast(event_id % 5 - 2 AS INT) AS utc_offset_ms",
+            "0 AS source_flags",
+        ],
+        "event_type = 'purchase'",
+    ),
+    "marker": (
+        [
+            "cast(event_id % 11 AS INT) AS event_type",
+            "cast(CASE WHEN event_id % 3 = 0 THEN 0 ELSE 360000000 + k * 1000 END AS BIGINT) AS lat_e7",
+            "cast(CASE WHEN event_id % 3 = 0 THEN 0 ELSE -1210000000 - k * 2000 END AS BIGINT) AS lon_e7",
+            "concat('note-', cast(event_id % 5 AS VARCHAR(20))) AS note",
+        ],
+        "event_type = 'view' AND event_id % 7 = 0",
+    ),
     "time_obs": (
         [
             f"{BASE_MS} + boot_off + mono_ms + event_id % 7 AS utc_ms",
