@@ -42,7 +42,7 @@ def duck_sql(body: str, spec: str) -> str:
                 "s": f"CAST({col} AS VARCHAR)",
                 "i": f"CAST({col} AS BIGINT)",
                 "d": f"floor(CAST({col} AS DOUBLE) * CAST(1000000.0 AS DOUBLE) + CAST({OFFSET} AS DOUBLE)) / CAST(1000000.0 AS DOUBLE)",
-                "t": f"epoch_ms({col})",
+                "t": f"epoch_us({col}) // 1000",
                 "b": f"CAST({col} AS INTEGER)",
             }[kind]
             + f" AS {col}"

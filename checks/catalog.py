@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from checks import bundles, insight, repairs, trips, views  # noqa: F401
+from checks import bundles, insight, records, repairs, trips, views  # noqa: F401
