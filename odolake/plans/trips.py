@@ -7,6 +7,7 @@ whole, and the only window over a vehicle runs on slices.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -141,22 +142,24 @@ def trip_distance(fixes: DataFrame) -> DataFrame:
     )
 
 
-def v_trip_summary(t: Tables, trusted: DataFrame | None = None) -> DataFrame:
+def v_trip_summary(
+    t: Tables, trusted: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = settle
+) -> DataFrame:
     """One row per outing.
 
-    The minute rollup, the verdicts on fixes and the numbered minutes feed several
-    branches each, so they are computed once and kept.
+    The minute rollup, the verdicts on fixes and the trips feed several branches
+    each, so they are computed once and kept; pass another ``keep`` to decide how.
     """
     trusted = v_position_trusted(t) if trusted is None else trusted
-    trusted = settle(
+    trusted = keep(
         trusted.where(F.col("trusted") & from_device() & F.col("observed_at").isNotNull()).select(
             "vehicle_id", "boot_id", "mono_ms", "seq", "observed_at", "lat", "lon", "speed_mps", "fix_type",
             "source_flags", "trusted",
         )
     )
-    minutes = settle(minute_rollup(t))
+    minutes = keep(minute_rollup(t))
     found = outings(t, minutes)
-    found = Outings(settle(found.trips), found.minutes)
+    found = Outings(keep(found.trips), found.minutes)
     spans = found.trips.select(*TRIP, "lo", "hi")
 
     legs = v_trip_leg(t, trusted, minutes).select(
