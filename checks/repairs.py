@@ -168,10 +168,7 @@ SHARED["jumpy_row"] = (
     "(SELECT max(g.seq) FROM gap g WHERE g.content_root = jumpy.content_root AND g.seq < jumpy.seq) AS gap_seq FROM jumpy",
     ["jumpy", "gap"],
 )
-on_tables(
-    "rep_jump_gate",
-    "content_root:s seq:i lat:d lon:d",
-    """
+GATE_SQL = """
     WITH RECURSIVE walk(content_root, pos, k_seq, k_ms, k_lat, k_lon, rejects, keep) AS (
         SELECT content_root, pos, seq, mono_ms, lat, lon, 0, true FROM jumpy_row WHERE pos = 1
         UNION ALL
@@ -185,7 +182,11 @@ on_tables(
               FROM walk w JOIN jumpy_row r ON r.content_root = w.content_root AND r.pos = w.pos + 1)
     )
     SELECT r.content_root, r.seq, r.lat, r.lon FROM walk JOIN jumpy_row r USING (content_root, pos) WHERE keep
-    """,
+    """
+on_tables(
+    "rep_jump_gate",
+    "content_root:s seq:i lat:d lon:d",
+    GATE_SQL,
     lambda t: repair.jump_gate(t.position.withColumn("lat", F.expr(JUMPED)), t.gap),
 )
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from odolake.functions.flags import BOOT
-from odolake.functions.geo import EARTH_RADIUS_M, great_circle_m
+from odolake.functions.geo import great_circle_m, metres
 from odolake.functions.timecols import millis
 from odolake.operators.asof import Side, asof
 from odolake.operators.slices import SLICE, neighbour, row_numbers, slice_of, with_edge_copies
@@ -258,8 +258,6 @@ def jump_gate(positions: DataFrame, gaps: DataFrame) -> DataFrame:
 
 
 def _decide_stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import math
-
     group, last, rejects = None, None, 0
     for batch in batches:
         kept = []
@@ -270,10 +268,7 @@ def _decide_stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
                 group, last, rejects = (root, start), (seq, ms, lat, lon), 0
                 continue
             p_seq, p_ms, p_lat, p_lon = last
-            half_lat, half_lon = math.radians(lat - p_lat) / 2, math.radians(lon - p_lon) / 2
-            h = math.sin(half_lat) ** 2 + math.cos(math.radians(p_lat)) * math.cos(math.radians(lat)) * math.sin(half_lon) ** 2
-            away = 2 * EARTH_RADIUS_M * math.asin(math.sqrt(min(h, 1.0)))
-            far = away > JUMP_SLACK_M + JUMP_MPS * max((ms - p_ms) / 1000.0, 1.0)
+            far = metres(p_lat, p_lon, lat, lon) > JUMP_SLACK_M + JUMP_MPS * max((ms - p_ms) / 1000.0, 1.0)
             if far and not (gap == gap and gap is not None and gap > p_seq) and rejects < MAX_REJECTS:
                 rejects += 1
                 continue

@@ -46,14 +46,14 @@ def scan(spark: SparkSession, root: str) -> Tables:
     frames = {}
     for name, schema in SAMPLE_TABLES.items():
         path = f"{root.rstrip('/')}/{name}"
-        if _exists(spark, path):
+        if path_exists(spark, path):
             frames[name] = spark.read.schema(schema).parquet(path)
         else:
             frames[name] = spark.createDataFrame([], schema)
     return Tables(frames)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
