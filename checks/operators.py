@@ -374,7 +374,7 @@ on_tables(
     "seq:i metres:d",
     "SELECT seq, 12742000.0 * asin(sqrt(sin(radians(36.1 - lat) / 2) ** 2 + cos(radians(lat)) * cos(radians(36.1)) * sin(radians(-121.2 - lon) / 2) ** 2)) AS metres FROM position",
     lambda t: t.position.select(
-        "seq", great_circle_m(F.col("lat"), F.col("lon"), F.lit(36.1), F.lit(-121.2)).alias("metres")
+        "seq", great_circle_m("lat", "lon", "36.1D", "-121.2D").alias("metres")
     ),
 )
 on_tables(

@@ -11,12 +11,15 @@ EARTH_RADIUS_M = 6371000.0
 METRES_PER_DEGREE = 111320.0
 
 
-def great_circle_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance in metres between two points in degrees."""
-    half_lat = F.sin(F.radians(lat2 - lat1) / 2)
-    half_lon = F.sin(F.radians(lon2 - lon1) / 2)
-    h = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
-    return 2 * EARTH_RADIUS_M * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+def great_circle_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    """SQL text of the great-circle distance in metres between two points given as column names or numbers."""
+    half_lat, half_lon = f"sin(radians(({lat2}) - ({lat1})) / 2)", f"sin(radians(({lon2}) - ({lon1})) / 2)"
+    h = f"pow({half_lat}, 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow({half_lon}, 2)"
+    return f"(2 * {EARTH_RADIUS_M}D * asin(sqrt(least({h}, 1.0D))))"
+
+
+def great_circle_m(lat1: str, lon1: str, lat2: str, lon2: str) -> Column:
+    return F.expr(great_circle_sql(lat1, lon1, lat2, lon2))
 
 
 def metres(lat1: float, lon1: float, lat2: float, lon2: float) -> float:

@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from odolake.operators.slices import SLICE, slice_of, with_edge_copies
+from odolake.operators.slices import SLICE, edge_row, place_in_slice, rebuilt, slice_of, with_edge_copies
 
 MINUTE_MS = 60_000
 
@@ -116,17 +116,21 @@ def _carried(
 ) -> list[DataFrame]:
     """Synthetic right rows at the edge of each slice, holding the last match outside it."""
     seen = left_rows.select(*by, SLICE)
+    fields: dict[str, list[str]] = {}
     for side, rows in sides:
-        # The larger tie wins in both directions, so it is negated where the smallest key is kept.
-        rank = F.struct("_on", (-F.col("_tie") if side.forward else F.col("_tie")).alias("_tie"))
-        seen = seen.unionByName(
-            rows.select(*by, SLICE, side.name, rank.alias(f"_k_{side.name}")), allowMissingColumns=True
-        )
+        # The larger tie wins in both directions.
+        rank = place_in_slice("_on", "_tie", width, descending=side.forward)
+        fields[side.name] = rows.schema[side.name].dataType.fieldNames()
+        flat = [F.col(f"{side.name}.{c}").alias(f"_{side.name}_{c}") for c in fields[side.name]]
+        seen = seen.unionByName(rows.select(*by, SLICE, *flat, rank.alias(f"_k_{side.name}")), allowMissingColumns=True)
     picks = []
     for side, _ in sides:
-        rank = F.col(f"_k_{side.name}")
-        picks.append((F.min_by if side.forward else F.max_by)(side.name, rank).alias(side.name))
+        cols = [f"_{side.name}_{c}" for c in fields[side.name]]
+        picks += edge_row(cols, F.col(f"_k_{side.name}"), not side.forward, f"_e_{side.name}_")
+        picks.append(F.count(f"_k_{side.name}").alias(f"_n_{side.name}"))
     per_slice = seen.groupBy(*by, SLICE).agg(*picks)
+    packed = {n: F.when(F.col(f"_n_{n}") > 0, rebuilt(names, f"_e_{n}_")).alias(n) for n, names in fields.items()}
+    per_slice = per_slice.select(*by, SLICE, *packed.values())
     out = []
     for side, _ in sides:
         order = F.desc(SLICE) if side.forward else F.asc(SLICE)

@@ -45,7 +45,7 @@ def _route_fixes(t: Tables) -> DataFrame:
 def _step() -> Column:
     """Metres from the previous fix; 0 across an interruption, whose path is unknown."""
     near = F.col("at") - F.col("prev.at") <= BRIDGE_S * 1000
-    away = great_circle_m(F.col("prev.lat"), F.col("prev.lon"), F.col("lat"), F.col("lon"))
+    away = great_circle_m("prev.lat", "prev.lon", "lat", "lon")
     return F.when(F.col("prev").isNotNull() & near, away).otherwise(0.0)
 
 

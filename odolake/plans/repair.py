@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from odolake.functions.flags import BOOT
-from odolake.functions.geo import great_circle_m, metres
+from odolake.functions.geo import great_circle_sql, metres
 from odolake.functions.timecols import millis
 from odolake.operators.asof import Side, asof
 from odolake.operators.slices import SLICE, neighbour, row_numbers, slice_of, with_edge_copies
@@ -232,14 +232,17 @@ def jump_gate(positions: DataFrame, gaps: DataFrame) -> DataFrame:
     back = MAX_REJECTS + 1
     near = with_edge_copies(rows, "_pos", GATE_SLICE, after=back)
     along = Window.partitionBy(*ROOT, SLICE).orderBy("_pos")
-    calm = F.lit(True)
-    for i in range(1, back + 1):
-        before = {c: F.lag(c, i).over(along) for c in ("lat", "lon", "mono_ms", "seq")}
-        took = F.greatest((F.col("mono_ms") - before["mono_ms"]) / 1000.0, F.lit(1.0))
-        away = great_circle_m(before["lat"], before["lon"], F.col("lat"), F.col("lon"))
-        fine = (away <= JUMP_SLACK_M + JUMP_MPS * took) | (F.col("_gap_seq") > before["seq"])
-        calm = calm & F.coalesce(fine, before["seq"].isNull())
-    near = near.withColumn("_calm", calm).where(F.col(SLICE) == slice_of("_pos", GATE_SLICE)).drop(SLICE)
+    place = F.struct("lat", "lon", "mono_ms", "seq")
+    near = near.withColumns({f"_b{i}": F.lag(place, i).over(along) for i in range(1, back + 1)})
+    calm = [
+        f"(_b{i}.seq IS NULL OR coalesce(_gap_seq > _b{i}.seq, false) OR "
+        f"{great_circle_sql(f'_b{i}.lat', f'_b{i}.lon', 'lat', 'lon')} <= "
+        f"{JUMP_SLACK_M}D + {JUMP_MPS}D * greatest((mono_ms - _b{i}.mono_ms) / 1000.0D, 1.0D))"
+        for i in range(1, back + 1)
+    ]
+    near = near.where(F.col(SLICE) == slice_of("_pos", GATE_SLICE)).select(
+        *positions.columns, "_pos", "_gap_seq", F.expr(" AND ".join(calm)).alias("_calm")
+    )
     near = settle(near)
     sure = near.where("_calm")
     doubtful = near.where("NOT _calm")

@@ -133,7 +133,7 @@ def trip_distance(fixes: DataFrame) -> DataFrame:
     steps = near_neighbours(
         fixes, by, ["mono_ms", "seq"], "mono_ms", BRIDGE_MS, MINUTE_MS, ["mono_ms", "lat", "lon"], before="prev"
     )
-    step = great_circle_m(F.col("prev.lat"), F.col("prev.lon"), F.col("lat"), F.col("lon"))
+    step = great_circle_m("prev.lat", "prev.lon", "lat", "lon")
     near = F.col("mono_ms") - F.col("prev.mono_ms") <= BRIDGE_MS
     return steps.groupBy(*TRIP).agg(
         F.count(F.lit(1)).alias("fix_samples"),

@@ -28,6 +28,8 @@ def local_session(cpus: str = "8", partitions: int = 8, memory: str = "8g") -> S
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Call-site capture per column expression costs more than planning the queries here.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -14,12 +14,12 @@ SNAPSHOT_TABLES = ("bundles", "position", "imu", "obd", "boost", "status", "tran
 ORDER = ("vehicle_id", "boot_id", "mono_ms", "seq")
 
 
-def write_ordered(df: DataFrame, path: str, partitions: int | None = None) -> None:
+def write_ordered(df: DataFrame, path: str, partitions: int | None = None, order: tuple[str, ...] = ORDER) -> None:
     """Rows in key and clock order, so that row-group statistics skip what a time filter leaves out.
 
     The ranges include the clock: a boot with very many rows spans several files.
     """
-    cols = [c for c in ORDER if c in df.columns]
+    cols = [c for c in order if c in df.columns]
     ranged = df.repartitionByRange(*([partitions] if partitions else []), *cols)
     ranged.sortWithinPartitions(*cols).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
