@@ -80,11 +80,9 @@ def template_rows(spark: SparkSession) -> DataFrame:
         for metric, name in METRIC_NAMES.items():
             text = by_group[metric if metric in by_group else "trim"]
             for rank in (0, 1, 2):
-                words = {"name": name, "advice": ADVICE[max(rank, 1)], "cause": CAUSE[max(rank, 1)]}
-                for word, said in words.items():
-                    text_now = text if word == "name" else text_now
-                    text_now = text_now.replace("{" + word + "}", said)
-                rows.append((kind, metric, rank, text_now))
+                said = text.replace("{name}", name)
+                said = said.replace("{advice}", ADVICE[max(rank, 1)]).replace("{cause}", CAUSE[max(rank, 1)])
+                rows.append((kind, metric, rank, said))
     return spark.createDataFrame(rows, "kind string, metric string, rank int, template string")
 
 

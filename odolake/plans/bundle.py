@@ -18,7 +18,7 @@ from odolake.sources.tables import Tables
 
 ROOT = ["content_root"]
 SEQ_SLICE = 65_536
-DAY_MS = 86_400_000
+MINUTE_MS = 60_000
 BRIDGE_S = 5
 STOP_MPS = 1.0
 MIN_STOP_S = 30
@@ -174,7 +174,7 @@ def trip_segments(t: Tables) -> DataFrame:
         F.lit(0.0).alias("distance_m"),
         "seq",
     )
-    ordered = row_numbers(phases.unionByName(gaps), ROOT, ["a", "kind", "seq"], "a", DAY_MS, "n")
+    ordered = row_numbers(phases.unionByName(gaps), ROOT, ["a", "kind", "seq"], "a", MINUTE_MS, "n")
     return ordered.select(
         trip_id().alias("trip_id"),
         "content_root",

@@ -66,14 +66,14 @@ def pull(log: DataFrame, cursor: int, vehicles: Sequence[str], limit: int) -> Da
     return log.where((F.col("seq") > cursor) & F.col("vehicle_id").isin(list(vehicles))).orderBy("seq").limit(limit)
 
 
-def dedupe_operations(ops: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def dedupe_operations(ops: DataFrame) -> DataFrame:
     """accepted / duplicate / reused_id / reused_key per operation, as if judged one by one in arrival order.
 
     Only accepted operations are remembered, so whether one counts as a repeat depends
     on the fate of earlier ones. Per round, operations that are the earliest open one
     for both their id and their idempotency key are accepted, and those that meet an
-    accepted one are out; what is left plays again. Few rounds are needed, because a
-    round settles the head of every chain. Input: arrival, client_id, operation_id,
+    accepted one are out; what is left plays again. A round settles the head of every
+    chain, so the number of rounds follows the longest chain, not the number of rows. Input: arrival, client_id, operation_id,
     idem_key, content_hash.
     """
     # Without a key an operation only competes by id: its own arrival stands in for the key.
@@ -81,7 +81,7 @@ def dedupe_operations(ops: DataFrame, max_rounds: int = 1000) -> DataFrame:
     rows = ops.withColumn("_slot", F.coalesce(slot, F.concat(F.lit("\x01"), F.col("arrival").cast("string"))))
     open_ops = settle(rows.select("arrival", "operation_id", "_slot"))
     accepted: list[DataFrame] = []
-    for _ in range(max_rounds):
+    while not open_ops.isEmpty():
         by_id = open_ops.groupBy("operation_id").agg(F.min("arrival").alias("_i"))
         by_slot = open_ops.groupBy("_slot").agg(F.min("arrival").alias("_s"))
         won = settle(
@@ -94,10 +94,8 @@ def dedupe_operations(ops: DataFrame, max_rounds: int = 1000) -> DataFrame:
         open_ops = settle(
             open_ops.join(won.select("operation_id"), "operation_id", "left_anti").join(won.select("_slot"), "_slot", "left_anti")
         )
-        if open_ops.isEmpty():
-            break
-    else:
-        raise RuntimeError("operations still open after the last round")
+    if not accepted:
+        return ops.withColumn("status", F.lit(None).cast("string"))
     keep = reduce(DataFrame.unionByName, accepted)
     winners = rows.join(keep.select("arrival"), "arrival").select(
         F.col("arrival").alias("_at"), "operation_id", "_slot", F.col("client_id").alias("_client"), F.col("content_hash").alias("_hash")

@@ -12,6 +12,7 @@ from odolake.operators.spans import points_in_spans
 
 RUN_BREAK_MS = 30_000
 MAX_POINTS = 20_000
+MINUTE_MS = 60_000
 HOUR_MS = 3_600_000
 
 
@@ -31,7 +32,7 @@ def track_points(trusted: DataFrame, trips: DataFrame, max_points: int = MAX_POI
     ).select("vehicle_id", millis("observed_at").alias("at_ms"), "mono_ms", "seq", "lat", "lon")
     placed = points_in_spans(fixes, "at_ms", spans, "lo", "hi", ["vehicle_id"], HOUR_MS).drop("lo", "hi")
     key = ["vehicle_id", "trip_id"]
-    numbered = row_numbers(placed, key, ["at_ms", "mono_ms", "seq"], "at_ms", HOUR_MS, "n")
+    numbered = row_numbers(placed, key, ["at_ms", "mono_ms", "seq"], "at_ms", MINUTE_MS, "n")
     sizes = placed.groupBy(*key).agg(F.count(F.lit(1)).alias("total"))
     stride = F.ceil(F.col("total") / F.lit(max_points)).cast("long")
     kept = numbered.join(sizes, key).where(
