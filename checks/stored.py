@@ -26,7 +26,7 @@ def scratch(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark)}/odolake-{uuid.uuid4().hex}"
 
 
-def through_stream(rows: DataFrame, transform, watermarked: bool = False, files: int | None = None) -> DataFrame:
+def through_stream(rows: DataFrame, transform, files: int | None = None) -> DataFrame:
     """Run a streaming transformation over stored rows until all are read, and give its output."""
     spark = rows.sparkSession
     root = scratch(spark)
@@ -36,14 +36,19 @@ def through_stream(rows: DataFrame, transform, watermarked: bool = False, files:
         reader = reader.option("maxFilesPerTrigger", 1)
     out = transform(reader.parquet(f"{root}/in"))
     schema = out.schema
-    query = (
+    writer = (
         out.writeStream.outputMode("append")
         .format("parquet")
         .option("checkpointLocation", f"{root}/state")
         .trigger(availableNow=True)
-        .start(f"{root}/out")
     )
-    query.awaitTermination()
+    # State is not coalesced at run time, so it gets one partition per core.
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    try:
+        writer.start(f"{root}/out").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     return spark.read.schema(schema).parquet(f"{root}/out")
 
 
