@@ -1,26 +1,29 @@
 """Verified links between the members of hash buckets, without listing all pairs of a bucket.
 
-A bucket's members are first compared with one hub. Only buckets that then still hold several components are
-looked at again, with eight times as many hubs in each turn, until every pair of members lies in one component
-or has been compared. A bucket of true near copies takes one turn and as many pairs as it has members.
+A bucket's members are first compared with its hub, which joins true near copies in one step. Where a bucket then still holds
+several components, the members of all such buckets of a hub meet: they are dealt into blocks of bounded size, and a task
+compares two blocks. There sketches leave out what is far from similar (a pair at the limit is left out once in ten million
+times) and the full sets decide on the rest. A task hands on one star for each component it finds, not pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from odolake.llm import meetings
 from odolake.llm.common import kept
 from odolake.llm.components import components
+from odolake.llm.sketch import COORDINATES, fast_sketch
 
-GROWTH = 8
-
-
-def _place(column: str):
-    """A node's place in the order of hubs, the same in every bucket: 0 up to 1."""
-    return F.shiftrightunsigned(F.xxhash64(column), 11).cast("double") / F.lit(float(1 << 53))
+#: Members and items of a block.
+BLOCK, ITEMS = 768, 1_500_000
+#: Rows a task holds before it works on the complete meetings among them.
+HELD = 1024
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -41,38 +44,93 @@ def near_components(members: DataFrame, fetch: Callable[[DataFrame], DataFrame],
     ``fetch`` gives (node, items: array of long, distinct) for a table of distinct nodes. Nodes that share no bucket with
     others are never fetched. Repeated members change nothing. ``given`` are links (a, b) that hold anyway.
     """
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node")).alias("hub"), F.min("node").alias("_l"), F.max("node").alias("_h"))
-    shared = kept(members.join(sizes.where("_l < _h").drop("_l", "_h"), "bucket"))
+    hashed = F.xxhash64("node")
+    sizes = members.groupBy("bucket").agg(F.min_by("node", hashed).alias("hub"), F.min("node").alias("_l"), F.max("node").alias("_h"))
+    shared = kept(members.join(sizes.where("_l < _h").select("bucket", "hub"), "bucket"))
     sets = kept(fetch(shared.select("node").distinct()))
     stars = kept(shared.where("node <> hub").selectExpr("node AS b", "hub AS a").distinct())
     first = stars.groupBy("b").agg(F.min_by("a", F.xxhash64("a")).alias("a"))
     links = verified(first, sets, percent)
     links = kept(links if given is None else links.union(given))
+    links = kept(links.union(verified(_apart(stars, components(links)), sets, percent)))
     roots = components(links)
-    more = kept(verified(_apart(stars, roots), sets, percent))
-    low, turn = 0.0, GROWTH
-    while True:
-        if not more.isEmpty():
-            links = links.union(more)
-            roots = components(links)
-        if low == 1.0:
-            return roots
-        placed = shared.select("bucket", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        spans = placed.groupBy("bucket").agg(F.min("root").alias("_l"), F.max("root").alias("_h")).where("_l < _h")
-        still = kept(placed.join(spans.select("bucket"), "bucket").withColumn("at", _place("node")))
-        largest = still.agg(F.max("n")).first()[0]
-        if largest is None:
-            return roots
-        # A bucket of n members offers the hubs whose place is below turn / n; one of few members offers all.
-        edge = F.when(F.col("n") <= turn, 1.0).otherwise(F.lit(float(turn)) / F.col("n"))
-        before = F.when(F.col("n") <= low, 1.0).otherwise(F.lit(low) / F.col("n"))
-        hubs = still.where((F.col("at") >= before) & (F.col("at") < edge)).selectExpr("bucket", "node AS a", "root AS ra", "at AS pa")
-        pairs = hubs.join(still, "bucket").where("ra <> root AND pa < at").selectExpr("a", "node AS b").distinct()
-        more = kept(verified(pairs, sets, percent))
-        low, turn = (1.0, turn) if largest <= turn else (float(turn), turn * GROWTH)
+    found = kept(_met(shared, sets, roots, percent))
+    return roots if found.isEmpty() else components(links.union(found))
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     a, b = roots.toDF("a", "ra"), roots.toDF("b", "rb")
     placed = pairs.join(a, "a", "left").join(b, "b", "left")
     return placed.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
+
+
+def _met(shared: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components which share buckets, found without the hubs."""
+    placed = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    still = placed.groupBy("bucket").agg(F.min("root").alias("_l"), F.max("root").alias("_h")).where("_l < _h").select("bucket")
+    # The hub itself has been compared with all of them.
+    groups = placed.join(still, "bucket").where("node <> hub").groupBy("hub", "node", "root").agg(F.lit(1)).select("hub", "node", "root")
+    sized = groups.join(sets.select("node", F.size("items").alias("n")), "node")
+    totals = sized.groupBy("hub").agg(F.count("*").alias("c"), F.sum("n").alias("t"), F.min("root").alias("_l"), F.max("root").alias("_h")).where("_l < _h")
+    blocks = totals.select("hub", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("t") / ITEMS)).cast("int").alias("blocks"))
+    own = kept(groups.join(blocks, "hub"))
+    hubs = own.groupBy("node", "root").agg(F.array_sort(F.collect_set("hub")).alias("hubs"))  # as many as a node has buckets
+    rows = meetings.dealt(own, ["hub"], "blocks").join(hubs, "node").join(sets, "node")
+
+    def compared(batches):
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def work(rows: pa.Table, s: int, e: int) -> None:
+            part = rows.slice(s, e - s)
+            node, root, block = (part.column(c).to_numpy() for c in ("node", "root", "block"))
+            low, high, hub = (part.column(c)[0].as_py() for c in ("low", "high", "hub"))
+            items = part.column("items").combine_chunks()
+            at, values = items.offsets.to_numpy(), items.values.to_numpy()
+            lists = [values[a:b].view(np.uint64) for a, b in zip(at[:-1], at[1:], strict=True)]
+            n = np.diff(at)
+            left = np.flatnonzero(block == low)
+            right = left if low == high else np.flatnonzero(block == high)
+            if not len(left) or not len(right) or root.min() == root.max():
+                return
+            ok = (root[left][:, None] != root[right][None, :]) & (np.minimum(n[left][:, None], n[right][None, :]) * 100 >= percent * np.maximum(n[left][:, None], n[right][None, :]))
+            if low == high:
+                ok &= np.arange(len(left))[:, None] < np.arange(len(right))[None, :]
+            if np.count_nonzero(ok) > 64:
+                used = np.unique(np.concatenate((left[ok.any(1)], right[ok.any(0)])))
+                sketches = np.zeros((len(node), COORDINATES), np.uint32)
+                for i in used.tolist():
+                    sketches[i] = fast_sketch(lists[i]).astype(np.uint32)
+                agree = np.zeros(ok.shape, np.uint8)
+                for k in range(COORDINATES):
+                    agree += sketches[left, k][:, None] == sketches[right, k][None, :]
+                ok &= agree >= COORDINATES * (percent / 100 - 0.2)
+            pairs = np.nonzero(ok)
+            a, b = left[pairs[0]], right[pairs[1]]
+            if not len(a):
+                return
+            met = part.column("hubs").to_pylist()
+            known, codes = np.unique(values[at[0] : at[-1]], return_inverse=True)
+            flag, shift = np.zeros(len(known), np.int64), at[0]
+            out = []
+            for i in np.unique(a).tolist():
+                # A pair that shares an earlier hub is compared there.
+                before = {h for h in met[i] if h < hub}
+                mates = [j for j in b[a == i].tolist() if before.isdisjoint(met[j])]
+                if not mates:
+                    continue
+                flag[codes[at[i] - shift : at[i + 1] - shift]] = 1
+                common = [int(flag[codes[at[j] - shift : at[j + 1] - shift]].sum()) for j in mates]
+                flag[codes[at[i] - shift : at[i + 1] - shift]] = 0
+                out += [(node[i], node[j]) for j, c in zip(mates, common, strict=True) if 100 * c >= percent * (n[i] + n[j] - c)]
+            if out:
+                found.append((np.array([x for x, _ in out], np.int64), np.array([y for _, y in out], np.int64)))
+
+        def flush():
+            if found:
+                a, b = meetings.stars(*(np.concatenate(c) for c in zip(*found, strict=True)))
+                found.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        yield from meetings.streamed(batches, ["hub"], HELD, work, flush)
+
+    return meetings.in_order(rows, ["hub"]).mapInArrow(compared, "a long, b long").where("a <> b")
