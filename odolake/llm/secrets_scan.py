@@ -41,10 +41,10 @@ def _spans(text: Column, pattern: str, kind: int, value: int = 0) -> Column:
     start = F.struct(F.lit(0).cast("long").alias("at"), F.expr(_NONE).alias("out"))
 
     def add(acc: Column, part: Column) -> Column:
-        s = acc["at"] + part["0"]
-        e = s + F.coalesce(part["1"], F.lit(0))
-        span = F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e"), part["2"].alias("v"))
-        return F.struct(e.alias("at"), F.when(part["1"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], span)).alias("out"))
+        s = acc["at"] + part["g"]
+        e = s + F.coalesce(part["m"], F.lit(0))
+        span = F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e"), part["v"].alias("v"))
+        return F.struct(e.alias("at"), F.when(part["m"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], span)).alias("out"))
 
     return F.aggregate(parts, start, add)["out"]
 
@@ -111,5 +111,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
         kind = lambda x: F.element_at(F.array(*[F.lit(k) for k in KINDS]), x["k"] + 1)
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", kind(x), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("base", lambda x, i=i: x["k"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:3])]
+    def number(kind: int) -> Column:
+        return F.size(F.filter("base", lambda x: x["k"] == kind)).cast("long")
+
+    counts = [number(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:3])]
     return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("all").alias("spans"))
