@@ -228,7 +228,7 @@ def _anchors(t):
         F.concat(F.lit("dongle-"), (F.substring("vehicle_id", 4, 1).cast("int") % 2).cast("string")).alias("device_id"),
         "vehicle_id",
     )
-    return wifi.wifi_anchors(learned, fitted, 30)
+    return wifi.wifi_anchors(learned, fitted)
 
 
 on_tables(
@@ -236,14 +236,12 @@ on_tables(
     "device_id:s bssid:s lat:d lon:d observations:i spread_m:d max_rssi_dbm:i last_seen:t accuracy_m:i",
     """
     SELECT *, greatest(25, least(500, ceil(spread_m + 25))) AS accuracy_m
-    FROM (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY observations DESC, max_rssi_dbm DESC, spread_m, bssid) AS place
-          FROM (SELECT *, row_number() OVER (PARTITION BY device_id, bssid
+    FROM (SELECT *, row_number() OVER (PARTITION BY device_id, bssid
                     ORDER BY observations DESC, max_rssi_dbm DESC, spread_m) AS nth
                 FROM (SELECT * REPLACE (printf('02:00:00:00:%02x:%02x', CAST(substr(bssid, 4) AS INTEGER) // 256,
                               CAST(substr(bssid, 4) AS INTEGER) % 256) AS bssid),
                           concat('dongle-', CAST(substr(vehicle_id, 4) AS INTEGER) % 2) AS device_id FROM learned))
-          WHERE nth = 1)
-    WHERE place <= 30
+    WHERE nth = 1
     """,
     _anchors,
 )

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks import testbed
+from checks.bundles import noted
 from checks.records import _offers, _updates
 from checks.registry import add, on_tables
 from checks.repairs import GATE_SQL, JUMPED
@@ -15,7 +16,7 @@ from checks.sql import SHARED
 from odolake.functions.timecols import millis
 from odolake.plans import catalog, ledger, synclog, trips
 from odolake.schemas import SAMPLE_TABLES
-from odolake.session import checkpoint_dir
+from odolake.session import checkpoint_dir, settle
 from odolake.sources import records, sinks
 from odolake.sources.tables import Tables, complete, scan
 from odolake.streaming import flows, stateful
@@ -52,14 +53,27 @@ def through_stream(rows: DataFrame, transform, files: int | None = None) -> Data
     return spark.read.schema(schema).parquet(f"{root}/out")
 
 
+def batch_by_batch(rows: DataFrame, of_batch: Column, step) -> None:
+    """Stream stored rows, one batch for each value of a column, into a foreachBatch function."""
+    spark = rows.sparkSession
+    root = scratch(spark)
+    numbered = settle(rows.withColumn("_batch", of_batch))
+    for r in numbered.select("_batch").distinct().orderBy("_batch").collect():
+        own = numbered.where(F.col("_batch") == r[0]).drop("_batch")
+        own.write.parquet(f"{root}/in/{r[0]}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in/*")
+        stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+
+
 # --- sources and sinks ------------------------------------------------------------------------
 
 
 def _stored(t: Tables) -> Tables:
+    """Every sample table, written in order and scanned again."""
     spark = t.obd.sparkSession
     root = scratch(spark)
-    names = ("obd", "position")
-    sinks.write_store(Tables({n: complete(t, spark)[n].select(*SAMPLE_TABLES[n].fieldNames()) for n in names}), root)
+    whole = complete({n: t[n] for n in SAMPLE_TABLES if n in t}, spark)
+    sinks.write_store(Tables({n: whole[n].select(*SAMPLE_TABLES[n].fieldNames()) for n in SAMPLE_TABLES}), root)
     return scan(spark, root)
 
 
@@ -172,12 +186,14 @@ def _arrivals(spark: SparkSession, sf: str) -> DataFrame:
     return testbed.ledger(spark, sf).where("event = 'committed'").select("content_root", F.col("at_ts").alias("received_at"))
 
 
-add(
-    "str_intake_once",
-    "content_root:s",
-    "SELECT DISTINCT content_root FROM ledger WHERE event = 'committed'",
-    lambda spark, sf: through_stream(_arrivals(spark, sf), lambda s: flows.new_bundles(s, within="3650 days")),
-)
+def _taken_in(spark: SparkSession, sf: str) -> DataFrame:
+    """Deliveries in three batches, the newest first."""
+    root = scratch(spark)
+    batch_by_batch(_arrivals(spark, sf), -F.ntile(3).over(Window.orderBy("received_at")), flows.intake(root))
+    return spark.read.parquet(f"{root}/accepted")
+
+
+add("str_intake_once", "content_root:s", "SELECT DISTINCT content_root FROM ledger WHERE event = 'committed'", _taken_in)
 
 
 def _samples(t: Tables) -> DataFrame:
@@ -185,14 +201,24 @@ def _samples(t: Tables) -> DataFrame:
     return seen[0].unionByName(seen[1]).unionByName(seen[2])
 
 
+def _late(rows: DataFrame) -> Column:
+    """One vehicle comes long after the others, and every fifth sample of the others after that."""
+    first = F.pmod(F.xxhash64("vehicle_id"), F.lit(3)) == 0
+    return F.when(first, 1).when(F.pmod(F.xxhash64("vehicle_id", "observed_at"), F.lit(5)) == 0, 2).otherwise(0)
+
+
+def _in_sessions(rows: DataFrame, flow, read) -> DataFrame:
+    root = scratch(rows.sparkSession)
+    batch_by_batch(rows, _late(rows), flow(root))
+    return read(rows.sparkSession, root)
+
+
 on_tables(
     "str_outings",
     "vehicle_id:s trip_id:s started_at:t ended_at:t samples:i",
     "SELECT s.vehicle_id, concat(s.vehicle_id, ':', epoch_ms(started_at)) AS trip_id, started_at, ended_at, (SELECT count(*) FROM stamped x "
-    "WHERE x.vehicle_id = s.vehicle_id AND x.observed_at >= started_at AND x.observed_at <= ended_at) AS samples FROM trip_span s "
-    # Only what the watermark has closed is out: ten minutes behind the newest sample, an hour after the last one.
-    "WHERE epoch_ms(ended_at) + 4200000 <= (SELECT max(epoch_ms(observed_at)) FROM stamped)",
-    lambda t: through_stream(_samples(t), flows.outings),
+    "WHERE x.vehicle_id = s.vehicle_id AND x.observed_at >= started_at AND x.observed_at <= ended_at) AS samples FROM trip_span s",
+    lambda t: _in_sessions(_samples(t), flows.outings, flows.present_outings),
 )
 SHARED["wheel_leg"] = (
     "SELECT vehicle_id, min(observed_at) AS started_at, max(observed_at) AS ended_at, count(*) AS samples FROM ("
@@ -204,8 +230,8 @@ SHARED["wheel_leg"] = (
 on_tables(
     "str_legs",
     "vehicle_id:s started_at:t ended_at:t samples:i",
-    "SELECT * FROM wheel_leg WHERE epoch_ms(ended_at) + 660000 <= (SELECT max(epoch_ms(observed_at)) FROM obd WHERE speed_kph > 3)",
-    lambda t: through_stream(t.obd.where("speed_kph > 3").select("vehicle_id", "observed_at"), flows.legs),
+    "SELECT * FROM wheel_leg",
+    lambda t: _in_sessions(t.obd.where("speed_kph > 3").select("vehicle_id", "observed_at"), flows.legs, flows.present),
 )
 
 
@@ -218,49 +244,40 @@ def _alerts(t: Tables) -> DataFrame:
         streams[n] = spark.readStream.schema(t[n].schema).parquet(f"{root}/{n}")
     out = flows.alerts(Tables(streams))
     query = (
-        out.drop("detail").writeStream.format("parquet").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/out")
+        out.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/out")
     )
     query.awaitTermination()
-    return spark.read.parquet(f"{root}/out")
+    return noted(spark.read.parquet(f"{root}/out"))
 
 
 on_tables(
     "str_alerts",
-    "event_id:s content_root:s vehicle_id:s kind:s occurred_at:t seq:i",
+    "event_id:s content_root:s vehicle_id:s kind:s occurred_at:t seq:i note:s",
     "SELECT * FROM sample_event",
     _alerts,
 )
 
 
 def _feed(t: Tables) -> DataFrame:
-    """Samples arrive bundle file by bundle file; after each batch the trips seen so far are published."""
+    """After each batch the trips of its vehicles are published, from the outings seen so far."""
     spark = t.obd.sparkSession
     root = scratch(spark)
-    rows = _samples(t).withColumn("late", F.pmod(F.xxhash64("vehicle_id", "observed_at"), F.lit(3)).cast("int"))
-    for n in range(3):
-        rows.where(F.col("late") == n).drop("late").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    rows = _samples(t)
+    outing = flows.outings(f"{root}/outings")
 
     def current(batch: DataFrame) -> DataFrame:
-        batch.write.mode("append").parquet(f"{root}/store")
-        stored = spark.read.parquet(f"{root}/store").distinct()
-        per = stored.withColumn("at", millis("observed_at"))
-        from odolake.operators.slices import SLICE, number_sessions, slice_of
-
-        cut = per.groupBy("vehicle_id", slice_of("at", 60_000).alias(SLICE)).agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
-        found = number_sessions(cut, ["vehicle_id"], "lo", "hi", trips.TRIP_BREAK_MS, "trip_no")
-        spans = found.groupBy("vehicle_id", "trip_no").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        named = spans.withColumn("id", F.concat_ws(":", "vehicle_id", "lo"))
+        seen = flows.present_outings(spark, f"{root}/outings").join(batch.select("vehicle_id").distinct(), "vehicle_id")
+        named = seen.select("vehicle_id", F.col("trip_id").alias("id"), millis("started_at").alias("lo"), millis("ended_at").alias("hi"))
         return synclog.entity_state(named, "trip", "id", "vehicle_id", ["lo", "hi"])
 
-    stream = spark.readStream.schema(_samples(t).schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    query = (
-        stream.writeStream.foreachBatch(flows.trip_feed(f"{root}/feed", current))
-        .option("checkpointLocation", f"{root}/state")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    last = spark.read.parquet(f"{root}/feed/state").groupBy("entity_id").agg(F.max_by("digest", "batch").alias("digest"))
+    publish = flows.trip_feed(root, current)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        outing(batch, batch_id)
+        publish(batch, batch_id)
+
+    batch_by_batch(rows, _late(rows), step)
+    last = spark.read.parquet(f"{root}/feed").groupBy("entity_id").agg(F.max_by("digest", "batch").alias("digest"))
     return last.where(F.col("digest") != synclog.TOMBSTONE)
 
 

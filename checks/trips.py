@@ -152,38 +152,38 @@ def _spans(t):
 
 # A small point budget, so that thinning has something to do on the small data sets.
 POINT_BUDGET = 20
-SHARED["track_point"] = (
-    f"""
-    SELECT vehicle_id, trip_id, n, at_ms, lat, lon, total, lag(at_ms) OVER later AS prev_at_ms,
-           total > {POINT_BUDGET} AS thinned
-    FROM (SELECT s.vehicle_id, concat(s.vehicle_id, ':', epoch_ms(s.started_at)) AS trip_id, epoch_ms(p.observed_at) AS at_ms,
-              p.lat, p.lon, row_number() OVER (PARTITION BY s.vehicle_id, s.started_at ORDER BY p.observed_at, p.mono_ms, p.seq) AS n,
-              count(*) OVER (PARTITION BY s.vehicle_id, s.started_at) AS total
-          FROM trip_span s JOIN trusted_fix p ON p.vehicle_id = s.vehicle_id AND p.observed_at >= s.started_at
-              AND p.observed_at <= s.ended_at
-          WHERE (p.source_flags & 32) = 0)
-    WHERE (n - 1) % ((total + {POINT_BUDGET} - 1) // {POINT_BUDGET}) = 0 OR n = total
-    WINDOW later AS (PARTITION BY vehicle_id, trip_id ORDER BY n)
+SHARED["placed_point"] = (
+    """
+    SELECT s.vehicle_id, concat(s.vehicle_id, ':', epoch_ms(s.started_at)) AS trip_id, epoch_ms(p.observed_at) AS at_ms,
+        p.lat, p.lon, row_number() OVER (PARTITION BY s.vehicle_id, s.started_at ORDER BY p.observed_at, p.mono_ms, p.seq) AS n,
+        count(*) OVER (PARTITION BY s.vehicle_id, s.started_at) AS total
+    FROM trip_span s JOIN trusted_fix p ON p.vehicle_id = s.vehicle_id AND p.observed_at >= s.started_at
+        AND p.observed_at <= s.ended_at
+    WHERE (p.source_flags & 32) = 0
     """,
     ["trip_span", "trusted_fix"],
 )
-SHARED["track_run_point"] = (
-    "SELECT *, count(*) FILTER (WHERE at_ms - prev_at_ms > 30000) OVER (PARTITION BY vehicle_id, trip_id ORDER BY n) AS run_no "
-    "FROM track_point",
-    ["track_point"],
+RUNS = """
+    SELECT *, count(*) FILTER (WHERE at_ms - prev_at_ms > 30000) OVER (PARTITION BY vehicle_id, trip_id ORDER BY n) AS run_no
+    FROM (SELECT *, lag(at_ms) OVER (PARTITION BY vehicle_id, trip_id ORDER BY n) AS prev_at_ms FROM ({0}))
+"""
+SHARED["track_point"] = (RUNS.format("SELECT *, false AS thinned FROM placed_point"), ["placed_point"])
+SHARED["thin_point"] = (
+    RUNS.format(
+        f"SELECT *, total > {POINT_BUDGET} AS thinned FROM placed_point "
+        f"WHERE (n - 1) % ((total + {POINT_BUDGET} - 1) // {POINT_BUDGET}) = 0 OR n = total"
+    ),
+    ["placed_point"],
 )
 
 
-def _points(t):
-    return tracks.track_points(v_position_trusted(t), _spans(t), POINT_BUDGET)
+def _points(t, most=None):
+    return tracks.track_points(v_position_trusted(t), _spans(t), most)
 
 
-on_tables(
-    "trip_track",
-    "vehicle_id:s trip_id:s n:i at_ms:i lat:d lon:d run_no:i thinned:b",
-    "SELECT * FROM track_run_point",
-    _points,
-)
+POINT = "vehicle_id:s trip_id:s n:i at_ms:i lat:d lon:d run_no:i thinned:b"
+on_tables("trip_track", POINT, "SELECT * FROM track_point", _points)
+on_tables("trip_track_thinned", POINT, "SELECT * FROM thin_point", lambda t: _points(t, POINT_BUDGET))
 on_tables(
     "trip_track_gaps",
     "vehicle_id:s trip_id:s after_ms:i before_ms:i duration_ms:i",
@@ -206,8 +206,8 @@ on_tables(
     FROM (SELECT *, {ZIGZAG.format("move")} AS z
           FROM (SELECT vehicle_id, trip_id, run_no, n, at_ms, axis,
                        place - coalesce(lag(place) OVER (PARTITION BY vehicle_id, trip_id, run_no, axis ORDER BY n), 0) AS move
-                FROM (SELECT *, 0 AS axis, CAST(round(lat * 1e5) AS BIGINT) AS place FROM track_run_point
-                      UNION ALL SELECT *, 1, CAST(round(lon * 1e5) AS BIGINT) FROM track_run_point)))
+                FROM (SELECT *, 0 AS axis, CAST(round(lat * 1e5) AS BIGINT) AS place FROM track_point
+                      UNION ALL SELECT *, 1, CAST(round(lon * 1e5) AS BIGINT) FROM track_point)))
     GROUP BY vehicle_id, trip_id, run_no
     """,
     lambda t: tracks.track_runs(_points(t)),

@@ -15,7 +15,8 @@ def great_circle_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     """SQL text of the great-circle distance in metres between two points given as column names or numbers."""
     half_lat, half_lon = f"sin(radians(({lat2}) - ({lat1})) / 2)", f"sin(radians(({lon2}) - ({lon1})) / 2)"
     h = f"pow({half_lat}, 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow({half_lon}, 2)"
-    return f"(2 * {EARTH_RADIUS_M}D * asin(sqrt(least({h}, 1.0D))))"
+    # Not least(): it would skip a NULL coordinate and give half the earth's circumference.
+    return f"(2 * {EARTH_RADIUS_M}D * asin(sqrt(CASE WHEN ({h}) > 1.0D THEN 1.0D ELSE ({h}) END)))"
 
 
 def great_circle_m(lat1: str, lon1: str, lat2: str, lon2: str) -> Column:

@@ -13,7 +13,10 @@ MAX_GROUPS = 7
 
 
 def encoded_step(step: Column) -> Column:
-    """Text of one signed whole-number step: the sign moves to the lowest bit, then 5-bit groups."""
+    """Text of one signed whole-number step: the sign moves to the lowest bit, then 5-bit groups.
+
+    NULL for a step that ``MAX_GROUPS`` groups can't hold; coordinates need six.
+    """
     zigzag = F.when(step < 0, -2 * step - 1).otherwise(2 * step).cast("long")
     size = F.pow(F.lit(2), F.lit(GROUP_BITS)).cast("long")
     out = F.lit("")
@@ -24,4 +27,4 @@ def encoded_step(step: Column) -> Column:
         wanted = F.lit(True) if i == 0 else rest > 0
         out = F.concat(out, F.when(wanted, F.chr(digit)).otherwise(""))
         rest = higher
-    return out
+    return F.when(rest == 0, out)

@@ -67,7 +67,7 @@ def arrival_metadata(ledger: DataFrame, order: str = "seq") -> DataFrame:
         "content_root",
         F.nullif(path, F.lit("")).alias("path"),
         F.when(F.col("c.bytes") > 0, F.col("c.bytes")).otherwise(0).alias("size_bytes"),
-        F.when(offered & (took >= 0), F.least(took, F.lit(4294967295))).otherwise(0).alias("duration_ms"),
+        F.when(offered & (took >= 0), took).otherwise(0).alias("duration_ms"),
         from_millis("c.utc_ms").alias("received_at"),
     )
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from odolake.functions.flags import BOOT
@@ -37,27 +37,44 @@ class Correction:
     reason: str
 
 
-def _applies(c: Correction, vehicle) -> F.Column:
-    return (F.col("device_id") == c.device_id) & (vehicle == c.from_vehicle_id) & F.col("boot_id").isin(list(c.boot_ids))
+def _resolved(spark: SparkSession, corrections: Sequence[Correction]) -> DataFrame:
+    """Declarations as a table: device, boot and claimed vehicle, the vehicle it ends at, and the corrections on the way.
+
+    A vehicle that a correction files elsewhere meets the later ones under its new name, so each claim is followed
+    through the later declarations of its device and boot. There are as many claims as declared boots.
+    """
+    of_boot: dict[tuple[str, str], list[tuple[int, str, str]]] = {}
+    for n, c in enumerate(corrections):
+        for boot in dict.fromkeys(c.boot_ids):
+            of_boot.setdefault((c.device_id, boot), []).append((n, c.from_vehicle_id, c.to_vehicle_id))
+    rows = []
+    for (device, boot), steps in of_boot.items():
+        # From the last to the first: where a claim ends follows from where its successor does.
+        ends: dict[str, tuple[str, list[int]]] = {}
+        for n, start, to in reversed(steps):
+            end, way = ends.get(to, (to, []))
+            ends[start] = (end, [n, *way])
+        rows += [(device, boot, start, end, way) for start, (end, way) in ends.items()]
+    return spark.createDataFrame(
+        rows, "device_id string, boot_id string, old_vehicle string, new_vehicle string, way array<int>"
+    )
+
+
+def _claims(bundles: DataFrame, corrections: Sequence[Correction]) -> DataFrame:
+    declared = _resolved(bundles.sparkSession, corrections)
+    rows = bundles.select("content_root", "device_id", "boot_id", F.col("vehicle_id").alias("old_vehicle"))
+    return rows.join(declared, ["device_id", "boot_id", "old_vehicle"])
 
 
 def correction_moves(bundles: DataFrame, corrections: Sequence[Correction]) -> DataFrame:
     """content_root, old and new vehicle of every bundle the corrections move, applied in order."""
-    vehicle = F.col("vehicle_id")
-    for c in corrections:
-        vehicle = F.when(_applies(c, vehicle), c.to_vehicle_id).otherwise(vehicle)
-    moved = bundles.select("content_root", F.col("vehicle_id").alias("old_vehicle"), vehicle.alias("new_vehicle"))
+    moved = _claims(bundles, corrections).select("content_root", "old_vehicle", "new_vehicle")
     return moved.where("old_vehicle <> new_vehicle")
 
 
 def correction_counts(bundles: DataFrame, corrections: Sequence[Correction]) -> DataFrame:
     """How many bundles each correction files elsewhere."""
-    vehicle = F.col("vehicle_id")
-    hits = []
-    for n, c in enumerate(corrections):
-        hits.append(F.when(_applies(c, vehicle), F.lit(n)))
-        vehicle = F.when(_applies(c, vehicle), c.to_vehicle_id).otherwise(vehicle)
-    each = bundles.select(F.explode(F.array_compact(F.array(*hits))).alias("correction"))
+    each = _claims(bundles, corrections).select(F.explode("way").alias("correction"))
     return each.groupBy("correction").agg(F.count(F.lit(1)).alias("bundles"))
 
 

@@ -2,26 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from odolake.functions.polyline import encoded_step
 from odolake.functions.timecols import millis
-from odolake.operators.slices import row_numbers
+from odolake.operators.slices import neighbour, row_numbers, running, slice_of
 from odolake.operators.spans import points_in_spans
 
 RUN_BREAK_MS = 30_000
-MAX_POINTS = 20_000
+POINTS_PER_SLICE = 4096
 MINUTE_MS = 60_000
 HOUR_MS = 3_600_000
 
 
-def track_points(trusted: DataFrame, trips: DataFrame, max_points: int = MAX_POINTS) -> DataFrame:
-    """Device fixes of each trip in time order, thinned evenly, numbered, with the run each belongs to.
+def track_points(trusted: DataFrame, trips: DataFrame, max_points: int | None = None) -> DataFrame:
+    """Device fixes of each trip in time order, numbered, with the run each belongs to.
 
     ``trips`` holds vehicle_id, trip_id, started_at and ended_at. A fix whose source
-    is unknown is left out here: only a known device fix is drawn. After thinning a
-    trip has at most ``max_points`` + 1 rows, so the run numbering is bounded.
+    is unknown is left out here: only a known device fix is drawn. With ``max_points`` a
+    longer trip is thinned evenly to about so many points, its last one included.
     """
     spans = trips.select("vehicle_id", "trip_id", millis("started_at").alias("lo"), millis("ended_at").alias("hi"))
     fixes = trusted.where(
@@ -33,34 +33,33 @@ def track_points(trusted: DataFrame, trips: DataFrame, max_points: int = MAX_POI
     placed = points_in_spans(fixes, "at_ms", spans, "lo", "hi", ["vehicle_id"], HOUR_MS).drop("lo", "hi")
     key = ["vehicle_id", "trip_id"]
     numbered = row_numbers(placed, key, ["at_ms", "mono_ms", "seq"], "at_ms", MINUTE_MS, "n")
-    sizes = placed.groupBy(*key).agg(F.count(F.lit(1)).alias("total"))
-    stride = F.ceil(F.col("total") / F.lit(max_points)).cast("long")
-    kept = numbered.join(sizes, key).where(
-        ((F.col("n") - 1) % F.greatest(stride, F.lit(1)) == 0) | (F.col("n") == F.col("total"))
-    )
-    along = Window.partitionBy(*key).orderBy("n")
-    before = F.lag("at_ms").over(along)
-    marked = kept.withColumn("prev_at_ms", before)
+    thinned = F.lit(False)
+    if max_points is not None:
+        sizes = placed.groupBy(*key).agg(F.count(F.lit(1)).alias("total"))
+        stride = F.greatest(F.ceil(F.col("total") / F.lit(max_points)).cast("long"), F.lit(1))
+        numbered = numbered.join(sizes, key).where(((F.col("n") - 1) % stride == 0) | (F.col("n") == F.col("total")))
+        thinned = F.col("total") > max_points
+    marked = neighbour(numbered, key, ["n"], "n", POINTS_PER_SLICE, ["at_ms"], "_prev").withColumn("prev_at_ms", F.col("_prev.at_ms"))
     breaks = F.when(F.col("at_ms") - F.col("prev_at_ms") > RUN_BREAK_MS, 1).otherwise(0)
-    numbered_runs = marked.withColumn("_breaks", breaks).withColumn(
-        "run_no", F.sum("_breaks").over(along.rowsBetween(Window.unboundedPreceding, 0)).cast("long")
-    )
-    return numbered_runs.withColumn("thinned", F.col("total") > max_points).select(
-        *key, "n", "at_ms", "lat", "lon", "run_no", "prev_at_ms", "thinned"
-    )
+    runs = running(marked, key, ["n"], "n", POINTS_PER_SLICE, {"run_no": ("sum", breaks.cast("long"))})
+    return runs.withColumn("thinned", thinned).select(*key, "n", "at_ms", "lat", "lon", "run_no", "prev_at_ms", "thinned")
 
 
-def track_runs(points: DataFrame) -> DataFrame:
-    """One row per unbroken run: span, point count and encoded line."""
+def track_lines(points: DataFrame) -> DataFrame:
+    """Encoded lines in parts of at most ``POINTS_PER_SLICE`` points: span, point count and text of each.
+
+    The parts of a run, put together in order of ``part``, are its encoded line.
+    """
     key = ["vehicle_id", "trip_id", "run_no"]
-    along = Window.partitionBy(*key).orderBy("n")
 
-    def step(col):
-        scaled = F.round(F.col(col) * 1e5).cast("long")
-        return scaled - F.coalesce(F.lag(scaled).over(along), F.lit(0))
+    def scaled(col):
+        return F.round(F.col(col) * 1e5).cast("long")
 
-    coded = points.withColumn("_code", F.concat(encoded_step(step("lat")), encoded_step(step("lon"))))
-    return coded.groupBy(*key).agg(
+    whole = points.withColumn("_lat", scaled("lat")).withColumn("_lon", scaled("lon"))
+    placed = neighbour(whole, key, ["n"], "n", POINTS_PER_SLICE, ["_lat", "_lon"], "_prev")
+    step = [encoded_step(F.col(c) - F.coalesce(F.col(f"_prev.{c}"), F.lit(0))) for c in ("_lat", "_lon")]
+    coded = placed.withColumn("_code", F.concat(*step)).withColumn("part", slice_of("n", POINTS_PER_SLICE))
+    return coded.groupBy(*key, "part").agg(
         F.min("at_ms").alias("started_ms"),
         F.max("at_ms").alias("ended_ms"),
         F.count(F.lit(1)).alias("points"),
@@ -70,6 +69,22 @@ def track_runs(points: DataFrame) -> DataFrame:
     )
 
 
+def track_runs(points: DataFrame) -> DataFrame:
+    """One row per unbroken run: span, point count and encoded line, its parts put together.
+
+    The line of a run is one value; where runs have no bound, use ``track_lines``.
+    """
+    key = ["vehicle_id", "trip_id", "run_no"]
+    return track_lines(points).groupBy(*key).agg(
+        F.min("started_ms").alias("started_ms"),
+        F.max("ended_ms").alias("ended_ms"),
+        F.sum("points").alias("points"),
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("part", "polyline"))), lambda p: p["polyline"]), ""
+        ).alias("polyline"),
+    )
+
+
 def track_gaps(points: DataFrame) -> DataFrame:
     """Breaks between consecutive runs."""
     return points.where(F.col("at_ms") - F.col("prev_at_ms") > RUN_BREAK_MS).select(

@@ -20,7 +20,6 @@ UNFIXED_MS = 5000
 ESTIMATE_PAD_M = 25
 MIN_ACCURACY_M = 25
 MAX_ACCURACY_M = 500
-MAX_ANCHORS = 4096
 PLACE = ["vehicle_id", "bssid"]
 
 
@@ -96,9 +95,10 @@ def v_wifi_scan_unfixed(t: Tables, trusted: DataFrame | None = None) -> DataFram
     )
 
 
-def wifi_anchors(learned: DataFrame, fitted: DataFrame, limit: int = MAX_ANCHORS) -> DataFrame:
-    """The access points each device may carry: best row per address over its open vehicles, best ``limit`` of them.
+def wifi_anchors(learned: DataFrame, fitted: DataFrame, limit: int | None = None) -> DataFrame:
+    """The access points each device may carry: best row per address over its open vehicles.
 
+    With ``limit``, the best so many of a device; the window over a device's addresses runs only then.
     ``fitted`` has device_id and vehicle_id of open assignments.
     """
     lat, lon = F.col("lat"), F.col("lon")
@@ -120,10 +120,12 @@ def wifi_anchors(learned: DataFrame, fitted: DataFrame, limit: int = MAX_ANCHORS
         F.max_by(F.struct("lat", "lon", "observations", "spread_m", "max_rssi_dbm", "last_seen"), rank).alias("r")
     )
     best = best.select("device_id", "bssid", "r.*")
-    order = Window.partitionBy("device_id").orderBy(
-        F.desc("observations"), F.desc("max_rssi_dbm"), F.asc("spread_m"), F.asc("bssid")
-    )
-    kept = best.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= limit).drop("_rank")
+    kept = best
+    if limit is not None:
+        order = Window.partitionBy("device_id").orderBy(
+            F.desc("observations"), F.desc("max_rssi_dbm"), F.asc("spread_m"), F.asc("bssid")
+        )
+        kept = best.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= limit).drop("_rank")
     accuracy = F.ceil(F.greatest("spread_m", F.lit(0.0)) + ESTIMATE_PAD_M)
     return kept.withColumn(
         "accuracy_m", F.greatest(F.least(accuracy, F.lit(MAX_ACCURACY_M)), F.lit(MIN_ACCURACY_M)).cast("int")

@@ -39,11 +39,13 @@ def local_session(cpus: str = "8", partitions: int = 8, memory: str = "8g") -> S
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a fresh local one only where none is named."""
+    """The shared folder the cluster names; where none is named, a fresh local one, on a single machine only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
     folder = named or tempfile.mkdtemp(prefix="odolake-ckpt-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -12,6 +12,8 @@ from odolake.sources.tables import Tables, path_exists
 
 SNAPSHOT_TABLES = ("bundles", "position", "imu", "obd", "boost", "status", "transition", "gap")
 ORDER = ("vehicle_id", "boot_id", "mono_ms", "seq")
+#: The month of rows without a time.
+UNDATED = "undated"
 
 
 def write_ordered(df: DataFrame, path: str, partitions: int | None = None, order: tuple[str, ...] = ORDER) -> None:
@@ -31,36 +33,53 @@ def write_store(tables: Tables, root: str, partitions: int | None = None) -> Non
 
 
 def with_month(df: DataFrame, time_column: str) -> DataFrame:
-    return df.withColumn("month", F.date_format(time_column, "yyyy-MM"))
+    return df.withColumn("month", F.coalesce(F.date_format(time_column, "yyyy-MM"), F.lit(UNDATED)))
+
+
+def _whereabouts(path: str) -> str:
+    """Where a store by month keeps which months its bundles have rows in."""
+    return f"{path.rstrip('/')}.whereabouts"
+
+
+def _note(rows: DataFrame, path: str, mode: str) -> None:
+    """Add (content_root, month) pairs; one too many only costs a look into that month."""
+    if "content_root" in rows.columns:
+        rows.select("content_root", "month").distinct().write.mode(mode).parquet(_whereabouts(path))
 
 
 def write_months(df: DataFrame, path: str, time_column: str, mode: str = "append") -> None:
     """One folder per month of the row's time; a month spreads over several files by boot and clock."""
     rows = with_month(df, time_column)
+    _note(rows, path, mode)
     cols = ["month", *[c for c in ORDER if c in df.columns]]
     rows = rows.repartitionByRange(*cols).sortWithinPartitions(*cols)
     rows.write.mode(mode).partitionBy("month").option("compression", "zstd").parquet(path)
 
 
+def stored_months(spark: SparkSession, path: str, months: list[str]) -> DataFrame:
+    """The rows of some months; only their folders are read."""
+    return spark.read.parquet(path).withColumn("month", F.col("month").cast("string")).where(F.col("month").isin(months))
+
+
 def replace_bundles(spark: SparkSession, path: str, new: DataFrame, time_column: str) -> None:
     """Replace the rows of the bundles in ``new``; running it again changes nothing.
 
-    Only months that hold such rows, before or after, are rewritten.
+    Only months that hold such rows, before or after, are read and rewritten. Rows without a time have a month of
+    their own. Rows without a content_root belong to no bundle and are not replaced.
     """
     fresh = settle(with_month(new, time_column))
     if not path_exists(spark, path):
         write_months(fresh.drop("month"), path, time_column, "overwrite")
         return
-    old = spark.read.parquet(path)
     roots = fresh.select("content_root").distinct()
-    touched = (
-        old.join(roots, "content_root", "left_semi").select("month").unionByName(fresh.select("month")).distinct()
-    )
-    kept = old.join(touched, "month", "left_semi").join(roots, "content_root", "left_anti")
+    known = spark.read.parquet(_whereabouts(path)).join(roots, "content_root", "left_semi").select("month")
+    # One value for each month there is; the list prunes the scan.
+    touched = [r.month for r in known.union(fresh.select("month")).distinct().collect()]
+    _note(fresh, path, "append")
+    kept = stored_months(spark, path, touched).join(roots, "content_root", "left_anti")
     merged = settle(kept.select(*fresh.columns).unionByName(fresh))
     # A month whose last rows moved away keeps its folder unless it is written empty.
-    left = merged.select("month").distinct()
-    emptied = [r.month for r in touched.join(left, "month", "left_anti").collect()]
+    left = {r.month for r in merged.select("month").distinct().collect()}
     (
         merged.repartitionByRange("month", *[c for c in ORDER if c in merged.columns])
         .write.mode("overwrite")
@@ -69,7 +88,7 @@ def replace_bundles(spark: SparkSession, path: str, new: DataFrame, time_column:
         .partitionBy("month")
         .parquet(path)
     )
-    for month in emptied:
+    for month in set(touched) - left:
         folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/month={month}")
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 

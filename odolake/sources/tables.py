@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Collection, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,15 +41,20 @@ class Tables(Mapping[str, DataFrame]):
         return Tables({**self._frames, **frames})
 
 
-def scan(spark: SparkSession, root: str) -> Tables:
-    """Typed scan of every sample table under ``root`` (one folder per table); absent ones are empty."""
+def scan(spark: SparkSession, root: str, optional: Collection[str] = ()) -> Tables:
+    """Typed scan of every sample table under ``root``, one folder per table.
+
+    A missing folder is an error, unless the table is named in ``optional``: then it is empty.
+    """
     frames = {}
     for name, schema in SAMPLE_TABLES.items():
         path = f"{root.rstrip('/')}/{name}"
         if path_exists(spark, path):
             frames[name] = spark.read.schema(schema).parquet(path)
-        else:
+        elif name in optional:
             frames[name] = spark.createDataFrame([], schema)
+        else:
+            raise FileNotFoundError(f"no folder for table {name} under {root}")
     return Tables(frames)
 
 

@@ -1,51 +1,120 @@
-"""Streaming forms of the batch views: intake, sessions, event alerts, and the trip feed."""
+"""Streaming forms of the batch views: intake, sessions, event alerts, and the trip feed.
+
+Cars upload days late, so nothing here rests on a watermark: every batch is set against what is stored, in ``foreachBatch``
+functions. What they store is a log with a folder for each batch, so a batch that is run again after a failure writes
+the same folders again, and inside it a folder for each hash bucket, so a batch reads the buckets it touches and no others.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odolake.functions.timecols import millis
+from odolake.functions.timecols import from_millis, millis
+from odolake.operators.slices import SLICE, number_sessions, slice_of
 from odolake.plans.bundle import sample_events
-from odolake.plans.synclog import change_feed, next_state
+from odolake.plans.synclog import change_feed
 from odolake.session import settle
 from odolake.sources.tables import Tables, path_exists
 
-OUTING_GAP = "60 minutes"
-LEG_GAP = "60 seconds"
+OUTING_BREAK_MS = 3_600_000
+LEG_BREAK_MS = 60_000
+SLICE_MS = 60_000
+BUCKETS = 64
+
+Batch = Callable[[DataFrame, int], None]
+
+
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def _log(df: DataFrame, path: str, batch_id: int, key: str) -> None:
+    """Write a batch's rows to its own folder, one folder for each bucket of the key."""
+    rows = df.withColumn("bucket", _bucket(key))
+    rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch_id}")
+
 
+def _logged(spark: SparkSession, path: str, schema: str, batch_id: int, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of earlier batches with one of the given keys; only their buckets' folders are read."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], f"{schema}, batch int")
+    buckets = [r.bucket for r in keys.select(_bucket(key).alias("bucket")).distinct().collect()]
+    rows = spark.read.schema(f"{schema}, batch int, bucket int").option("basePath", path).parquet(path)
+    rows = rows.where((F.col("batch") < batch_id) & F.col("bucket").isin(buckets)).drop("bucket")
+    return rows.join(keys, key, "left_semi")
 
-def as_event_time(df: DataFrame, column: str = "observed_at") -> DataFrame:
-    """Watermarks need a zoned timestamp; sessions run in UTC, so the instant is the same."""
-    return df.withColumn(column, F.col(column).cast("timestamp"))
 
+def intake(root: str) -> Batch:
+    """Each content_root once, however often and however late it is delivered: the first row of ``root``/accepted counts.
+
+    Other columns of a delivery (content_root, ...) are not kept. A null content_root is no bundle and is left out.
+    """
+
+    def accept(batch: DataFrame, batch_id: int) -> None:
+        seen = settle(batch.where("content_root IS NOT NULL").select("content_root").distinct())
+        path = f"{root}/accepted"
+        stored = _logged(batch.sparkSession, path, "content_root string", batch_id, seen, "content_root")
+        _log(seen.join(stored, "content_root", "left_anti"), path, batch_id, "content_root")
+
+    return accept
 
-def new_bundles(arrivals: DataFrame, time_column: str = "received_at", within: str = "1 day") -> DataFrame:
-    """Each content_root once, however often it is delivered within the given time."""
-    return as_event_time(arrivals, time_column).withWatermark(time_column, within).dropDuplicatesWithinWatermark(["content_root"])
 
+def sessions(root: str, break_ms: int) -> Batch:
+    """Sessions of the samples (vehicle_id, observed_at) a stream delivers, in any order and however late.
 
-def _sessions(samples: DataFrame, gap: str, late: str) -> DataFrame:
-    seen = as_event_time(samples).withWatermark("observed_at", late)
-    return (
-        seen.groupBy("vehicle_id", F.session_window("observed_at", gap).alias("s"))
-        .agg(F.min("observed_at").alias("started_at"), F.max("observed_at").alias("ended_at"), F.count(F.lit(1)).alias("samples"))
-        .select("vehicle_id", "started_at", "ended_at", "samples")
+    A batch adds its minutes to the log under ``root``/minutes and compares the sessions of its vehicles before and
+    after. What changed goes to ``root``/changes: a session that got other times or samples is written again under
+    its start, one whose start moved or that was joined to another is withdrawn with samples 0. ``present`` reads the outcome. Rows
+    without vehicle or time belong to no session.
+    """
+    if break_ms < SLICE_MS:
+        raise ValueError("a session must outlast a slice")
+    minute = "vehicle_id string, slice long, lo long, hi long, n long"
+
+    def found(minutes: DataFrame) -> DataFrame:
+        per = minutes.groupBy("vehicle_id", F.col("slice").alias(SLICE)).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+        numbered = number_sessions(per, ["vehicle_id"], "lo", "hi", break_ms, "session")
+        return numbered.groupBy("vehicle_id", "session").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).drop("session")
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        timed = batch.select("vehicle_id", millis("observed_at").alias("at")).dropna()
+        added = timed.groupBy("vehicle_id", slice_of("at", SLICE_MS).alias("slice")).agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("n"))
+        added = settle(added)
+        vehicles = added.select("vehicle_id").distinct()
+        earlier = settle(_logged(batch.sparkSession, f"{root}/minutes", minute, batch_id, vehicles, "vehicle_id").drop("batch"))
+        before = found(earlier).toDF("vehicle_id", "lo", "old_hi", "old_n")
+        both = found(earlier.unionByName(added)).join(before, ["vehicle_id", "lo"], "full")
+        changed = both.where("NOT (hi <=> old_hi AND n <=> old_n)").select("vehicle_id", "lo", F.coalesce("hi", "old_hi").alias("hi"), F.coalesce("n", F.lit(0)).alias("n"))
+        _log(changed, f"{root}/changes", batch_id, "vehicle_id")
+        _log(added, f"{root}/minutes", batch_id, "vehicle_id")
+
+    return step
+
+
+def present(spark: SparkSession, root: str) -> DataFrame:
+    """vehicle_id, started_at, ended_at, samples of the sessions as the last batch left them."""
+    rows = spark.read.schema("vehicle_id string, lo long, hi long, n long, batch int, bucket int").parquet(f"{root}/changes")
+    last = rows.groupBy("vehicle_id", "lo").agg(F.max_by(F.struct("hi", "n"), "batch").alias("x"))
+    return last.where("x.n > 0").select(
+        "vehicle_id", from_millis("lo").alias("started_at"), from_millis("x.hi").alias("ended_at"), F.col("x.n").alias("samples")
     )
 
 
-def outings(samples: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Outings as they close: position, engine and motion samples (vehicle_id, observed_at)."""
-    found = _sessions(samples, OUTING_GAP, late)
-    trip = F.concat_ws(":", "vehicle_id", millis("started_at").cast("string"))
-    return found.withColumn("trip_id", trip)
+def outings(root: str) -> Batch:
+    """Outings of position, engine and motion samples (vehicle_id, observed_at)."""
+    return sessions(root, OUTING_BREAK_MS)
+
+
+def present_outings(spark: SparkSession, root: str) -> DataFrame:
+    return present(spark, root).withColumn("trip_id", F.concat_ws(":", "vehicle_id", millis("started_at").cast("string")))
 
 
-def legs(moving: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Legs as they close: samples of movement (vehicle_id, observed_at)."""
-    return _sessions(moving, LEG_GAP, late)
+def legs(root: str) -> Batch:
+    """Legs of samples of movement (vehicle_id, observed_at)."""
+    return sessions(root, LEG_BREAK_MS)
 
 
 def alerts(t: Tables) -> DataFrame:
@@ -53,26 +122,20 @@ def alerts(t: Tables) -> DataFrame:
     return sample_events(t)
 
 
-def trip_feed(root: str, current: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+def trip_feed(root: str, current: Callable[[DataFrame], DataFrame]) -> Batch:
     """A ``foreachBatch`` function that publishes what changed about trips.
 
-    ``current`` turns a batch into the present entity state (see ``entity_state``). A
-    trip that late data re-keys appears as a tombstone of the old id and a new row.
-    Feed and state are written per batch id, so a batch that is run again after a
-    failure writes the same folders again.
+    ``current`` turns a batch into the present entity state (see ``entity_state``) of all trips of the batch's vehicles (column
+    vehicle_id). A trip that late data re-keys appears as a tombstone of the old id and a new row. The feed under
+    ``root``/feed is the only state: a vehicle's entities are what its buckets' latest rows say.
     """
+    columns = "entity_type string, entity_id string, vehicle_id string, change string, digest string, data string"
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        now = current(batch)
-        earlier = range(batch_id - 1, -1, -1)
-        before = next((n for n in earlier if path_exists(spark, f"{root}/state/batch={n}/_SUCCESS")), None)
-        if before is not None:
-            last = spark.read.parquet(f"{root}/state/batch={before}")
-        else:
-            last = now.select("entity_type", "entity_id", "vehicle_id", "digest").limit(0)
-        feed = settle(change_feed(last, now))
-        feed.write.mode("overwrite").parquet(f"{root}/feed/batch={batch_id}")
-        next_state(last, feed).write.mode("overwrite").parquet(f"{root}/state/batch={batch_id}")
+        now = settle(current(batch))
+        vehicles = settle(batch.select(F.lower(F.col("vehicle_id").cast("string")).alias("vehicle_id")).dropna().union(now.select("vehicle_id")).distinct())
+        log = _logged(batch.sparkSession, f"{root}/feed", columns, batch_id, vehicles, "vehicle_id")
+        last = log.groupBy("entity_type", "entity_id", "vehicle_id").agg(F.max_by("digest", "batch").alias("digest"))
+        _log(settle(change_feed(last, now)), f"{root}/feed", batch_id, "vehicle_id")
 
     return publish

@@ -57,30 +57,58 @@ def test_standby_and_gate_keep_their_state_between_batches(spark, make, tmp_path
 
 def test_a_bundle_delivered_twice_counts_once(spark, tmp_path):
     def batch(*roots):
-        return spark.createDataFrame([(r, at(1000)) for r in roots], "content_root string, received_at timestamp_ntz")
+        return spark.createDataFrame([(r, at(ms)) for r, ms in roots], "content_root string, received_at timestamp_ntz")
 
-    got = run(spark, [batch("a", "b", "a"), batch("b", "c")], flows.new_bundles, str(tmp_path))
-    assert sorted(collect(got, "content_root")) == [("a",), ("b",), ("c",)]
+    day = 86_400_000
+    accept = flows.intake(str(tmp_path))
+    accept(batch(("a", 99 * day), ("b", 99 * day), ("a", 99 * day)), 0)
+    for _ in range(2):  # the second batch is run again after a failure
+        accept(batch(("b", 0), ("c", 0), (None, 0)), 1)
+    accept(batch(("a", 400 * day)), 2)
+    got = spark.read.parquet(f"{tmp_path}/accepted")
+    assert sorted(collect(got, "content_root", "batch")) == [("a", 0), ("b", 0), ("c", 1)]
 
 
 def test_late_data_rekeys_a_trip_in_the_feed(spark, tmp_path):
-    states = [[("v:100", "v", 5)], [("v:50", "v", 6)], [("v:50", "v", 6)]]
+    states = [[("v:100", "v", 5)], [("v:50", "v", 6)], [("v:50", "v", 6)], [("w:1", "w", 1)], []]
 
     def current(batch):
         n = batch.first().n
         return synclog.entity_state(spark.createDataFrame(states[n], "id string, veh string, x int"), "trip", "id", "veh", ["x"])
 
     publish = flows.trip_feed(str(tmp_path), current)
-    for n in (0, 1, 1, 2):  # the second batch is run again after a failure
-        publish(spark.createDataFrame([(n,)], "n int"), n)
+    for n in (0, 1, 1, 2, 3, 4):  # the second batch is run again after a failure
+        publish(spark.createDataFrame([(n, "w" if n >= 3 else "v")], "n int, vehicle_id string"), n)
     got = sorted(collect(spark.read.parquet(f"{tmp_path}/feed"), "batch", "entity_id", "change"))
-    assert got == [(0, "v:100", "new"), (1, "v:100", "tombstone"), (1, "v:50", "new")]
+    assert got == [(0, "v:100", "new"), (1, "v:100", "tombstone"), (1, "v:50", "new"), (3, "w:1", "new"), (4, "w:1", "tombstone")]
 
 
-def test_sessions_close_behind_the_watermark(spark, tmp_path):
-    def batch(*ms):
-        return spark.createDataFrame([("v", at(m)) for m in ms], "vehicle_id string, observed_at timestamp_ntz")
-
+def test_sessions_take_late_vehicles_and_clocks_in_the_future(spark, tmp_path):
     hour = 3_600_000
-    got = run(spark, [batch(0, hour), batch(2 * hour + 1, 2 * hour + 5), batch(9 * hour)], flows.outings, str(tmp_path))
-    assert sorted(collect(got, "started_at", "ended_at", "samples")) == [(at(0), at(hour), 2), (at(2 * hour + 1), at(2 * hour + 5), 2)]
+    batches = [
+        [("v", 0), ("v", hour), ("x", 999 * hour)],
+        [("v", 9 * hour)],
+        [("w", hour), ("w", hour + 5), (None, 3), ("v", None)],  # long after v's and x's samples
+        [("v", 2 * hour + 7), ("v", -1)],  # joins nothing, and moves the first one's start
+        [("v", 2 * hour)],  # joins two
+    ]
+    step = flows.outings(str(tmp_path))
+    for n in (0, 1, 2, 2, 3, 4, 4):
+        rows = [(v, None if m is None else at(m)) for v, m in batches[n]]
+        step(spark.createDataFrame(rows, "vehicle_id string, observed_at timestamp_ntz"), n)
+    got = sorted(collect(flows.present_outings(spark, str(tmp_path)), "vehicle_id", "started_at", "ended_at", "samples"))
+    assert got == [
+        ("v", at(-1), at(2 * hour + 7), 5), ("v", at(9 * hour), at(9 * hour), 1),
+        ("w", at(hour), at(hour + 5), 2), ("x", at(999 * hour), at(999 * hour), 1),
+    ]
+
+
+def test_sessions_of_any_batches_are_those_of_all_rows(spark, tmp_path):
+    rows = [(f"v{k % 3}", at((k * k * 7919) % 5_000_000)) for k in range(160)]
+    everything = flows.legs(str(tmp_path / "one"))
+    everything(spark.createDataFrame(rows, "vehicle_id string, observed_at timestamp_ntz"), 0)
+    step = flows.legs(str(tmp_path / "many"))
+    for n in range(4):
+        step(spark.createDataFrame(rows[n::4], "vehicle_id string, observed_at timestamp_ntz"), n)
+    one, many = (sorted(collect(flows.present(spark, str(tmp_path / d)), "vehicle_id", "started_at", "ended_at", "samples")) for d in ("one", "many"))
+    assert one == many and len(one) > 20
