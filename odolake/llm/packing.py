@@ -7,8 +7,8 @@ remaining capacities finds that bin in logarithmic time. Groups are independent,
 executor repeats its own; only the lengths are shuffled, never the ids.
 
 Tokenizing works word by word: white space never reaches this tokenizer's model and no rule looks across it, so the ids
-of a text are those of its white-space separated words in order. Each worker keeps the ids of words it has met, in two
-generations of bounded size.
+of a text are those of its white-space separated words in order. A slice of texts looks each distinct word up once, by a
+64-bit hash, and each worker keeps the ids of words it has met, in two generations of bounded size.
 
 Defined cases: a null or empty text is the end id alone. Repeated rows are packed as often as they occur. A null
 doc_id stays null. An empty table gives no rows. Other columns are not read.
@@ -16,15 +16,19 @@ doc_id stays null. An empty table gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from odolake.llm.common import kept, slices
+from odolake.llm.kernels import flat, prefix_sums, span_hashes, word_spans
 
 CAPACITY, END, GROUP = 2048, 1, 8192
 #: Words a worker remembers in each of two generations, and the longest it remembers, in bytes.
@@ -32,6 +36,11 @@ REMEMBERED, LONGEST = 400_000, 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+#: Words of these characters are told apart again when they are encoded together; the parts the tokenizer makes of one.
+_PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+")
+_PARTS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-z0-9À-ÖØ-öø-ÿ]+")
+
+
 class WordIds:
     """Ids of words as bytes of little-endian unsigned 32-bit numbers."""
 
@@ -39,32 +48,74 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        vocabulary = self.model.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def known(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of all of ``words``."""
+    def _encoded(self, words: list[bytes]) -> list[bytes]:
+        """A part's last id, and no other, ends a word; so the ids of many words encoded as one text are told apart."""
+        texts = [w.decode() for w in words]
+        plain = [i for i, t in enumerate(texts) if _PLAIN.fullmatch(t) and "<|" not in t]
+        out: list[bytes | None] = [None] * len(words)
+        if plain:
+            encoded = self.model.encode_batch_fast([" ".join(texts[i] for i in plain)], add_special_tokens=False)[0].ids
+            ids = np.array(encoded, np.uint32)
+            parts = np.cumsum([1 if (t := texts[i]).isalpha() else len(_PARTS.findall(t)) for i in plain])
+            edges = np.flatnonzero(self.ends[ids]) + 1
+            if len(edges) != parts[-1]:
+                raise ValueError("the tokenizer doesn't end words as expected")
+            stops = (4 * edges[parts - 1]).tolist()
+            data = ids.astype("<u4").tobytes()
+            for i, a, b in zip(plain, [0, *stops[:-1]], stops, strict=True):
+                out[i] = data[a:b]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, e in zip(rest, self.model.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        return out
+
+    def known(self, hashes: list[int], word: Callable[[int], bytes]) -> list[bytes]:
+        """The ids of distinct words, told by their hashes; ``word(i)`` gives the bytes of the i-th."""
         new, old = self.new, self.old
+        out = [new.get(h) for h in hashes]
         missing = []
-        for w in words:
-            if w not in new:
-                ids = old.get(w)
-                if ids is None:
-                    missing.append(w)
+        for i, ids in enumerate(out):
+            if ids is None:
+                h = hashes[i]
+                if h in old:
+                    out[i] = new[h] = old[h]
                 else:
-                    new[w] = ids
-        found = self.model.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
-        fresh = {w: struct.pack(f"<{len(e.ids)}I", *e.ids) for w, e in zip(missing, found, strict=True)}
-        new.update((w, ids) for w, ids in fresh.items() if len(w) <= LONGEST)
+                    missing.append(i)
+        texts = [word(i) for i in missing]
+        for i, text, ids in zip(missing, texts, self._encoded(texts), strict=True):
+            out[i] = ids
+            if len(text) <= LONGEST:
+                new[hashes[i]] = ids
         if len(new) > REMEMBERED:
             self.old, self.new = new, {}
-        long = {w: ids for w, ids in fresh.items() if len(w) > LONGEST}
-        return {**new, **long} if long else new
+        return out
 
 
 _MODELS: dict[str, WordIds] = {}
 
 
+def _ids(model: WordIds, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts one after the other, and where each text's begin (one entry more than texts)."""
+    data, offsets = flat(texts)
+    starts, ends, doc = word_spans(data, offsets)
+    hashes = span_hashes(*prefix_sums(data, lowered=False), starts, ends)
+    distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+    coded = model.known(distinct.tolist(), lambda i: data[starts[first[i]] : ends[first[i]]].tobytes())
+    size = np.array([len(c) // 4 for c in coded], np.int64)
+    begin = np.concatenate(([0], np.cumsum(size)))[:-1]
+    number = size[back]
+    after = np.cumsum(number)
+    place = np.arange(after[-1] if len(after) else 0) + np.repeat(begin[back] - (after - number), number)
+    at = np.concatenate(([0], after))[np.searchsorted(doc, np.arange(len(texts) + 1))]
+    return np.frombuffer(b"".join(coded), "<u4")[place], at
+
+
 def _cut(path: str, capacity: int, end: int):
     def pieces(batches):
         import os
@@ -76,14 +127,13 @@ def _cut(path: str, capacity: int, end: int):
         stop = struct.pack("<I", end)
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
-                texts = [t.encode().split() if t else [] for t in batch.column("text").to_pylist()]
-                ids_of = model.known(set().union(*texts)).__getitem__
+                ids, at = _ids(model, batch.column("text"))
                 out: tuple[list, ...] = ([], [], [], [], [])
-                for doc, words in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                    ids = b"".join(map(ids_of, words)) + stop
-                    n = len(ids) // 4
+                for doc, a, b in zip(batch.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    own = ids[a:b].tobytes() + stop
+                    n = b - a + 1
                     for start in range(0, n, capacity):
-                        part = ids[4 * start : 4 * (start + capacity)]
+                        part = own[4 * start : 4 * (start + capacity)]
                         for column, v in zip(out, (doc, start, len(part) // 4, zlib.crc32(part), n), strict=True):
                             column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
