@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from odolake.llm import meetings
+from odolake.llm.bitmap import bitmap, maybe
 from odolake.llm.common import kept
 from odolake.llm.components import components
 from odolake.llm.sketch import COORDINATES, fast_sketch
@@ -26,35 +27,63 @@ BLOCK, ITEMS = 768, 1_500_000
 HELD = 1024
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of (a, b), those with 100 * common items >= percent * items of both together."""
-    both = pairs.join(sets.toDF("b", "right"), "b").join(sets.toDF("a", "left"), "a")
-    common = F.size(F.array_intersect("left", "right"))
-    return (
-        both.where(F.least(F.size("left"), F.size("right")) * 100 >= percent * F.greatest(F.size("left"), F.size("right")))
-        .withColumn("common", common)
-        .where(F.col("common") * 100 >= percent * (F.size("left") + F.size("right") - F.col("common")))
-        .select("a", "b")
-    )
+#: Turns a column of items into arrays of distinct, sorted hashes.
+SetsOf = Callable[[pa.Array], list[np.ndarray]]
 
 
-def near_components(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, given: DataFrame | None = None) -> DataFrame:
-    """(node, root) of nodes linked to others, from (bucket, node).
+def list_sets(column: pa.Array) -> list[np.ndarray]:
+    """Of lists of distinct, sorted hashes."""
+    at, values = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
+    return [values[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
-    ``fetch`` gives (node, items: array of long, distinct) for a table of distinct nodes. Nodes that share no bucket with
-    others are never fetched. Repeated members change nothing. ``given`` are links (a, b) that hold anyway.
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, sets_of: SetsOf = list_sets) -> DataFrame:
+    """Of (a, b), those with 100 * common items >= percent * items of both together; ``sets``: node, items, n."""
+
+    def confirm(batches):
+        for batch in batches:
+            left, right = (sets_of(batch.column(c)) for c in ("left", "right"))
+            keep = []
+            for x, y in zip(left, right, strict=True):
+                both = np.concatenate((x, y))
+                both.sort()
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
+                keep.append(100 * common >= percent * (len(both) - common))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(sets.toDF("b", "right", "rn"), "b").join(sets.toDF("a", "left", "ln"), "a")
+    near = both.where(F.least("ln", "rn") * 100 >= percent * F.greatest("ln", "rn"))
+    return near.select("a", "b", "left", "right").mapInArrow(confirm, "a long, b long")
+
+
+def near_components(keyed: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, sets_of: SetsOf = list_sets, given: DataFrame | None = None) -> DataFrame:
+    """(node, root) of nodes linked to others, from (node, keys): a node's hash buckets, all longs.
+
+    ``fetch`` gives (node, items, n) for a table of distinct nodes: what ``sets_of`` makes a set of, and that set's size. Nodes that share
+    no bucket with others are never fetched. Repeated rows change nothing. ``given`` are links (a, b) that hold anyway.
     """
-    hashed = F.xxhash64("node")
-    sizes = members.groupBy("bucket").agg(F.min_by("node", hashed).alias("hub"), F.min("node").alias("_l"), F.max("node").alias("_h"))
-    shared = kept(members.join(sizes.where("_l < _h").select("bucket", "hub"), "bucket"))
+    buckets = keyed.select(F.explode("keys").alias("bucket"), "node")
+    # The hub is the smallest node, so a node's buckets have few different ones.
+    full = kept(buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("_h")).where("hub < _h").drop("_h"))
+    bits = keyed.sparkSession.sparkContext.broadcast(bitmap(full, "bucket", hashed=False))
+
+    def pick(batches):
+        for batch in batches:
+            lists = batch.column("keys")
+            key = lists.flatten().to_numpy()
+            node = np.repeat(batch.column("node").to_numpy(), lists.value_lengths().to_numpy())
+            hit = maybe(bits.value, key)
+            yield pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(node[hit])], ["bucket", "node"])
+
+    shared = kept(keyed.select("node", "keys").mapInArrow(pick, "bucket long, node long").join(full, "bucket"))
     sets = kept(fetch(shared.select("node").distinct()))
     stars = kept(shared.where("node <> hub").selectExpr("node AS b", "hub AS a").distinct())
-    first = stars.groupBy("b").agg(F.min_by("a", F.xxhash64("a")).alias("a"))
-    links = verified(first, sets, percent)
+    first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = verified(first, sets, percent, sets_of)
     links = kept(links if given is None else links.union(given))
-    links = kept(links.union(verified(_apart(stars, components(links)), sets, percent)))
+    links = kept(links.union(verified(_apart(stars, components(links)), sets, percent, sets_of)))
     roots = components(links)
-    found = kept(_met(shared, sets, roots, percent))
+    found = kept(_met(shared, sets, roots, percent, sets_of))
     return roots if found.isEmpty() else components(links.union(found))
 
 
@@ -64,18 +93,18 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
 
 
-def _met(shared: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def _met(shared: DataFrame, sets: DataFrame, roots: DataFrame, percent: int, sets_of: SetsOf) -> DataFrame:
     """Links (a, b) that join the components which share buckets, found without the hubs."""
     placed = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     still = placed.groupBy("bucket").agg(F.min("root").alias("_l"), F.max("root").alias("_h")).where("_l < _h").select("bucket")
     # The hub itself has been compared with all of them.
     groups = placed.join(still, "bucket").where("node <> hub").groupBy("hub", "node", "root").agg(F.lit(1)).select("hub", "node", "root")
-    sized = groups.join(sets.select("node", F.size("items").alias("n")), "node")
+    sized = groups.join(sets.select("node", "n"), "node")
     totals = sized.groupBy("hub").agg(F.count("*").alias("c"), F.sum("n").alias("t"), F.min("root").alias("_l"), F.max("root").alias("_h")).where("_l < _h")
     blocks = totals.select("hub", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("t") / ITEMS)).cast("int").alias("blocks"))
     own = kept(groups.join(blocks, "hub"))
     hubs = own.groupBy("node", "root").agg(F.array_sort(F.collect_set("hub")).alias("hubs"))  # as many as a node has buckets
-    rows = meetings.dealt(own, ["hub"], "blocks").join(hubs, "node").join(sets, "node")
+    rows = meetings.dealt(own, ["hub"], "blocks").join(hubs, "node").join(sets.select("node", "items"), "node")
 
     def compared(batches):
         found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -84,10 +113,8 @@ def _met(shared: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) ->
             part = rows.slice(s, e - s)
             node, root, block = (part.column(c).to_numpy() for c in ("node", "root", "block"))
             low, high, hub = (part.column(c)[0].as_py() for c in ("low", "high", "hub"))
-            items = part.column("items").combine_chunks()
-            at, values = items.offsets.to_numpy(), items.values.to_numpy()
-            lists = [values[a:b].view(np.uint64) for a, b in zip(at[:-1], at[1:], strict=True)]
-            n = np.diff(at)
+            lists = sets_of(part.column("items").combine_chunks())
+            n = np.array([len(x) for x in lists], np.int64)
             left = np.flatnonzero(block == low)
             right = left if low == high else np.flatnonzero(block == high)
             if not len(left) or not len(right) or root.min() == root.max():
@@ -109,8 +136,9 @@ def _met(shared: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) ->
             if not len(a):
                 return
             met = part.column("hubs").to_pylist()
-            known, codes = np.unique(values[at[0] : at[-1]], return_inverse=True)
-            flag, shift = np.zeros(len(known), np.int64), at[0]
+            known, codes = np.unique(np.concatenate(lists), return_inverse=True)
+            at = np.concatenate(([0], np.cumsum(n)))
+            flag = np.zeros(len(known), np.int64)
             out = []
             for i in np.unique(a).tolist():
                 # A pair that shares an earlier hub is compared there.
@@ -118,9 +146,9 @@ def _met(shared: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) ->
                 mates = [j for j in b[a == i].tolist() if before.isdisjoint(met[j])]
                 if not mates:
                     continue
-                flag[codes[at[i] - shift : at[i + 1] - shift]] = 1
-                common = [int(flag[codes[at[j] - shift : at[j + 1] - shift]].sum()) for j in mates]
-                flag[codes[at[i] - shift : at[i + 1] - shift]] = 0
+                flag[codes[at[i] : at[i + 1]]] = 1
+                common = [int(flag[codes[at[j] : at[j + 1]]].sum()) for j in mates]
+                flag[codes[at[i] : at[i + 1]]] = 0
                 out += [(node[i], node[j]) for j, c in zip(mates, common, strict=True) if 100 * c >= percent * (n[i] + n[j] - c)]
             if out:
                 found.append((np.array([x for x, _ in out], np.int64), np.array([y for _, y in out], np.int64)))

@@ -53,7 +53,7 @@ def _sketched(batches):
 
 
 def shingle_items(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, items) of the documents listed in ``nodes``; a bitmap keeps most others from being hashed and moved."""
+    """(node, items, n) of the documents listed in ``nodes``; a bitmap keeps most others from being hashed and moved."""
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(nodes, "node"))
 
     def pick(batches):
@@ -63,10 +63,10 @@ def shingle_items(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 sets = shingle_sets(batch.column("text"), WORDS)
                 ends = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
                 items = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(np.concatenate(sets))))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), items], ["node", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), items, pa.array(np.diff(ends))], ["node", "items", "n"])
 
     placed = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id").alias("place"))
-    return placed.mapInArrow(pick, "node long, items array<long>").join(nodes, "node", "left_semi")
+    return placed.mapInArrow(pick, "node long, items array<long>, n long").join(nodes, "node", "left_semi")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -75,11 +75,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketched = kept(docs.mapInArrow(_sketched, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>"))
     classes = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("node"))
     classed = kept(sketched.join(classes, ["d1", "d2", "n_shingles"], "left").selectExpr("doc_id", "n_shingles", "node", "CASE WHEN doc_id = node THEN keys END AS keys"))
-    members = classed.where("keys IS NOT NULL").select("node", F.explode("keys").alias("bucket"))
+    keyed = classed.where("keys IS NOT NULL").select("node", "keys")
     # Classes that share a doc_id are one document.
     least = classed.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("_h")).where("b < _h").drop("_h")
     given = classed.join(least, "doc_id").where("node <> b").selectExpr("node AS a", "b")
-    roots = near_components(members, lambda nodes: shingle_items(docs, nodes), PERCENT, given)
+    roots = near_components(keyed, lambda nodes: shingle_items(docs, nodes), PERCENT, given=given)
     placed = classed.select("doc_id", "n_shingles", "node").join(roots, "node", "left")
     found = placed.withColumn("component_id", F.coalesce("root", "node", "doc_id"))
     return found.selectExpr("doc_id", "n_shingles", "component_id", "coalesce(doc_id = component_id, true) AS kept")

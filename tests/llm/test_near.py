@@ -79,9 +79,9 @@ def test_bucket_of_several_components_is_compared_in_full(spark, monkeypatch, bl
     monkeypatch.setattr(links, "BLOCK", block)
     sets = {n: set(range(n * 100, n * 100 + 20)) for n in range(12)}
     sets[20], sets[21] = set(range(1100, 1116)), set(range(300, 319))  # linked with 11 and 3 only
-    members = spark.createDataFrame([(1, n) for n in sets], "bucket long, node long")
-    items = spark.createDataFrame([(n, sorted(s)) for n, s in sets.items()], "node long, items array<long>")
-    got = dict(tuples(links.near_components(members, lambda nodes: items.join(nodes, "node"), 75), "node", "root"))
+    keyed = spark.createDataFrame([(n, [1, 1000 + n]) for n in sets], "node long, keys array<long>")
+    items = spark.createDataFrame([(n, sorted(s), len(s)) for n, s in sets.items()], "node long, items array<long>, n long")
+    got = dict(tuples(links.near_components(keyed, lambda nodes: items.join(nodes, "node"), 75), "node", "root"))
     assert got == {20: 11, 11: 11, 21: 3, 3: 3}
 
 
