@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20) -> Ite
     """Cut a batch so that the texts of a slice have about so many bytes; one row at least."""
     if batch.num_rows == 0:
         return
-    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
     start = held = 0
     for i, n in enumerate(sizes):
         if i > start and held + n > most_bytes:
