@@ -123,12 +123,13 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     start = F.when(F.col("i") == F.col("m"), F.col("start")).otherwise(F.expr("left(text, cut)"))
     edited = copies.select(*KEY, "i", "text", F.concat(F.expr("left(text, CAST(n - cut AS INT))"), start).alias("edited"))
     both = edited.select(*KEY, "i", F.posexplode(F.array("text", "edited")).alias("which", "text"))
-    prints = kept(lanes(both, [*KEY, "i", "which"]))
     digests = edited.select(*KEY, "i", F.sha2("edited", 256).alias("edited_sha256"))
-    a = prints.where("which = 0").drop("which").withColumnRenamed("lanes", "a")
+    # In one job, so that both sides read the same shuffled texts.
+    prints = kept(lanes(both, [*KEY, "i", "which"]).join(digests, [*KEY, "i"]))
+    a = prints.where("which = 0").drop("which", "edited_sha256").withColumnRenamed("lanes", "a")
     b = prints.where("which = 1").drop("which").withColumnRenamed("lanes", "b")
     first = a.where("i = 1").select(*[F.col(k).alias(f"next_{k}") for k in KEY], F.col("a").alias("c"))
-    joined = a.join(b, [*KEY, "i"]).join(digests, [*KEY, "i"]).join(order, list(KEY))
+    joined = a.join(b, [*KEY, "i"]).join(order, list(KEY))
     joined = joined.select("*", *[F.when(F.col("i") == F.col("m"), F.col(f"after.{k}")).otherwise(F.col(k)).alias(f"next_{k}") for k in KEY])
     found = joined.join(first, [f"next_{k}" for k in KEY])
     return found.select(
