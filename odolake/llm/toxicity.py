@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine, found in a block-max inverted index.
 
 Terms are runs of letters (ASCII folded to lower case). Document frequencies, by label, are gathered from a bounded sample of
-``SAMPLE`` training rows, in the order of a hash; the index keeps the ``TERMS`` terms that tell the labels apart best by chi-squared, at least ``LEAST`` times seen. A text is
+``SAMPLE`` training rows, in the order of a hash; the index keeps the ``TERMS`` terms that tell the labels apart best, by a chi-squared of ``TELLING`` and more, at least ``LEAST`` times seen. A text is
 the vector of (1 + ln count) * ln((N + 1) / (df + 1)) over these terms, of length one, and texts are compared by exact
 cosine over it. Examples are rows of that sample: of one half of them, told by a hash, the first ``EXAMPLES`` with a
 vector of either label in the order of the hash. They are sorted by their heaviest terms and laid out in
@@ -35,6 +35,8 @@ from odolake.llm.isotonic import pooled
 MODULUS, REMAINDER, THRESHOLD = 4, 2, 0.3
 SAMPLE, TERMS, LEAST, EXAMPLES, LANES, NEAREST, SHOWN, SOFT, BINS, SEED = 200_000, 1024, 5, 2048, 64, 15, 3, 0.02, 200, 3
 _FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: Chi-squared below which a term's difference between labels may be chance, among as many terms as texts have.
+TELLING = 24.0
 #: Terms a task counts before it hands them on, and the longest term, in bytes.
 HELD, LONGEST = 500_000, 64
 
@@ -158,7 +160,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = MODULUS, r
     # Chi-squared of the table (holds the term or not, label 1 or 0).
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     chi = (a * (q - b) - b * (p - a)) ** 2 * n / (p * q * (a + b) * (n - a - b + 0.5))
-    best = df.where(f"a + b >= {LEAST}").withColumn("chi", chi).orderBy(F.desc("chi"), "term").limit(TERMS).collect()
+    best = df.where(f"a + b >= {LEAST}").withColumn("chi", chi).where(f"chi >= {TELLING}").orderBy(F.desc("chi"), "term").limit(TERMS).collect()
     if not best:
         plain = docs.select("doc_id", F.lit(ones / n).alias("score"), F.lit(None).cast("string").alias("evidence"))
         return _answer(plain, modulus, remainder)
