@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 from odolake.plans import engine, insight, modules, power, summaries, trips, trusted, wifi
+from odolake.session import settle
 from odolake.sources.tables import Tables
 
 
-def views(t: Tables, mods: Sequence[modules.Module] = ()) -> Tables:
-    """Every view as a frame, built on first use. Nothing runs until a frame is read."""
+def lazily(df: DataFrame) -> DataFrame:
+    return df
+
+
+def views(
+    t: Tables, mods: Sequence[modules.Module] = (), keep: Callable[[DataFrame], DataFrame] = lazily
+) -> Tables:
+    """Every view as a frame, built on first use.
+
+    Steps that several views share (trusted positions, metric samples, trips) go through ``keep``: by default nothing
+    runs until a frame is read, and every view computes them for itself; with ``session.settle`` they are
+    computed once, on shared storage, when a view that needs them is first built.
+    """
     if mods:
         t = modules.apply_derivations(t, mods)
 
-    def lazily(df: DataFrame) -> DataFrame:
-        return df
-
     def samples() -> DataFrame:
         arms = modules.metric_arms(mods, out.__getitem__, out["v_boot_start"]) if mods else ()
-        return insight.v_metric_samples(t, arms)
+        return keep(insight.v_metric_samples(t, arms))
 
     keys = modules.metric_keys(mods)
     out = Tables(
@@ -30,11 +39,11 @@ def views(t: Tables, mods: Sequence[modules.Module] = ()) -> Tables:
             "v_reproducibility": lambda: summaries.v_reproducibility(t),
             "v_vehicles": lambda: summaries.v_vehicles(t),
             "v_drive_summary": lambda: summaries.v_drive_summary(t),
-            "v_position_trusted": lambda: trusted.v_position_trusted(t),
+            "v_position_trusted": lambda: keep(trusted.v_position_trusted(t)),
             "v_wifi_ap_learned": lambda: wifi.v_wifi_ap_learned(t, out["v_position_trusted"]),
             "v_wifi_scan_unfixed": lambda: wifi.v_wifi_scan_unfixed(t, out["v_position_trusted"]),
             "v_trip_leg": lambda: trips.v_trip_leg(t, out["v_position_trusted"]),
-            "v_trip_summary": lambda: trips.v_trip_summary(t, out["v_position_trusted"], keep=lazily),
+            "v_trip_summary": lambda: keep(trips.v_trip_summary(t, out["v_position_trusted"], keep=keep)),
             "v_trim_map": lambda: engine.v_trim_map(t),
             "v_boost_curve": lambda: engine.v_boost_curve(t),
             "v_pulls": lambda: engine.v_pulls(t),
@@ -52,9 +61,14 @@ def views(t: Tables, mods: Sequence[modules.Module] = ()) -> Tables:
     return out
 
 
-def register(spark: SparkSession, t: Tables, mods: Sequence[modules.Module] = ()) -> Tables:
-    """Make the tables and views known to ``spark.sql``, and ``period_summary`` with them."""
-    found = views(t, mods)
+def register(
+    spark: SparkSession, t: Tables, mods: Sequence[modules.Module] = (), keep: Callable[[DataFrame], DataFrame] = settle
+) -> Tables:
+    """Make the tables and views known to ``spark.sql``, and ``period_summary`` with them.
+
+    What several views share is computed here, once; pass ``lazily`` to leave it to each query.
+    """
+    found = views(t, mods, keep)
     for name in found:
         found[name].createOrReplaceTempView(name)
     trips.register_period_summary(spark)

@@ -48,7 +48,9 @@ def missing_counters(seen: DataFrame, floors: DataFrame | None = None) -> DataFr
         linked = linked.join(floors.select("device_id", "floor"), "device_id", "left")
         start = F.greatest(start, F.coalesce("floor", F.lit(1)))
     holes = linked.select("device_id", start.alias("a"), (F.col("counter") - 1).alias("b")).where("a <= b")
-    return holes.select("device_id", F.explode(F.sequence("a", "b")).alias("counter"))
+    # In two steps, so a hole of a billion never stands as one array in a row.
+    parts = holes.select("device_id", "b", F.explode(F.sequence("a", "b", F.lit(SLICE_ROWS).cast("long"))).alias("a"))
+    return parts.select("device_id", F.explode(F.sequence("a", F.least("b", F.col("a") + (SLICE_ROWS - 1)))).alias("counter"))
 
 
 def assignment_verdicts(offers: DataFrame, assignments: DataFrame, vehicles: DataFrame) -> DataFrame:
