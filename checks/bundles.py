@@ -49,7 +49,7 @@ on_tables(
     SELECT content_root, substr(sha256(concat('trip-v1|', content_root)), 1, 32) AS trip_id,
         CASE WHEN count(*) > 1 THEN concat('LINESTRING(', string_agg(xy, ',' ORDER BY seq), ')') END AS route_wkt,
         concat('POINT(', first(xy ORDER BY seq), ')') AS start_wkt, concat('POINT(', last(xy ORDER BY seq), ')') AS end_wkt, count(*) AS points
-    FROM (SELECT content_root, seq, printf('%.7f %.7f', lon, lat) AS xy FROM position WHERE fix_type > 0) GROUP BY content_root
+    FROM (SELECT content_root, seq, printf('%.7f %.7f', lon, lat) AS xy FROM position WHERE fix_type > 0 AND lat IS NOT NULL AND lon IS NOT NULL) GROUP BY content_root
     """,
     bundle.bundle_routes,
 )

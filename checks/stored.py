@@ -11,7 +11,7 @@ from checks import testbed
 from checks.bundles import noted
 from checks.records import _offers, _updates
 from checks.registry import add, on_tables
-from checks.repairs import GATE_SQL, JUMPED
+from checks.repairs import GATE_SQL, JUMPED, placed
 from checks.sql import SHARED
 from odolake.functions.timecols import millis
 from odolake.plans import catalog, ledger, synclog, trips
@@ -313,7 +313,7 @@ add("str_field_revisions", "arrival:i status:s revision:i", "SELECT * FROM revis
 
 def _gate(t: Tables) -> DataFrame:
     stateful.use_state_store(t.obd.sparkSession)
-    fixes = t.position.withColumn("lat", F.expr(JUMPED)).select("content_root", "seq", "mono_ms", "lat", "lon", F.lit(False).alias("is_gap"))
+    fixes = placed(t).withColumn("lat", F.expr(JUMPED)).select("content_root", "seq", "mono_ms", "lat", "lon", F.lit(False).alias("is_gap"))
     gaps = t.gap.select("content_root", "seq", F.lit(True).alias("is_gap"))
     rows = fixes.unionByName(gaps, allowMissingColumns=True)
     return through_stream(rows, stateful.jump_gate)

@@ -51,8 +51,8 @@ FROM_TICKS: dict[str, tuple[list[str], str]] = {
     ),
     "position": (
         [
-            "cast(36 AS DOUBLE) + cast(k AS DOUBLE) / cast(10000 AS DOUBLE) AS lat",
-            "cast(-121 AS DOUBLE) - cast(k AS DOUBLE) / cast(5000 AS DOUBLE) AS lon",
+            "CASE WHEN event_id % 37 <> 0 THEN cast(36 AS DOUBLE) + cast(k AS DOUBLE) / cast(10000 AS DOUBLE) END AS lat",
+            "CASE WHEN event_id % 53 <> 0 THEN cast(-121 AS DOUBLE) - cast(k AS DOUBLE) / cast(5000 AS DOUBLE) END AS lon",
             "cast(floor(value) AS DOUBLE) / cast(10 AS DOUBLE) AS speed_mps",
             "cast(CASE WHEN event_id % 9 = 0 THEN 0 ELSE 3 END AS INT) AS fix_type",
             "cast(4 + event_id % 12 AS INT) AS sats_used",

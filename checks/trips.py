@@ -159,7 +159,7 @@ SHARED["placed_point"] = (
         count(*) OVER (PARTITION BY s.vehicle_id, s.started_at) AS total
     FROM trip_span s JOIN trusted_fix p ON p.vehicle_id = s.vehicle_id AND p.observed_at >= s.started_at
         AND p.observed_at <= s.ended_at
-    WHERE (p.source_flags & 32) = 0
+    WHERE (p.source_flags & 32) = 0 AND p.lat IS NOT NULL AND p.lon IS NOT NULL
     """,
     ["trip_span", "trusted_fix"],
 )

@@ -97,12 +97,12 @@ def _point(lon: Column, lat: Column) -> Column:
 
 
 def bundle_routes(t: Tables) -> DataFrame:
-    """Route of each bundle as WKT from its second fix on, with its end points.
+    """Route of each bundle as WKT from its second fix on, with its end points; fixes without a place are left out.
 
     The text is put together from parts of a few thousand points, so no task holds a
     bundle's fixes, only its finished text.
     """
-    fixes = t.position.where("fix_type <> 0").select("content_root", "seq", "lat", "lon")
+    fixes = t.position.where("fix_type <> 0 AND lat IS NOT NULL AND lon IS NOT NULL").select("content_root", "seq", "lat", "lon")
     numbered = row_numbers(fixes, ROOT, ["seq"], "seq", SEQ_SLICE, "n")
     parts = numbered.groupBy(*ROOT, F.expr(f"(n - 1) div {ROUTE_PART}").alias("part")).agg(
         F.array_join(
