@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from odolake.llm.bitmap import bitmap, maybe
-from odolake.llm.common import kept, slices
+from odolake.llm.common import kept, short_batches, slices
 from odolake.llm.kernels import MULTIPLIERS, SALTS, mix, shingle_sets, signed
 from odolake.llm.links import near_components
 from odolake.llm.sketch import COORDINATES, fast_sketch
@@ -71,6 +71,7 @@ def shingle_items(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id: long, text: string)."""
+    short_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     sketched = kept(docs.mapInArrow(_sketched, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>"))
     classes = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("node"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odolake.llm.common import kept, slices
+from odolake.llm.common import kept, short_batches, slices
 from odolake.llm.kernels import flat, prefix_sums, span_hashes, word_spans
 
 CAPACITY, END, GROUP = 2048, 1, 8192
@@ -162,6 +162,7 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int],
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, group: int = GROUP) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for every piece of (doc_id: long, text: string)."""
+    short_batches(docs.sparkSession)
     cut = kept(docs.select("doc_id", "text").mapInArrow(_cut(tokenizer, capacity, end), PIECES))
     groups = max(1, -(-cut.where(F.col("length") < capacity).count() // group))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odolake.llm.common import holds_out, kept, slices
+from odolake.llm.common import holds_out, kept, short_batches, slices
 from odolake.llm.isotonic import pooled
 from odolake.llm.statistics import NAMES, describe
 
@@ -97,6 +97,7 @@ def _solved(sums: np.ndarray, rows: float) -> np.ndarray:
 
 def score_quality(docs: DataFrame, labels: DataFrame, modulus: int = MODULUS, remainder: int = REMAINDER) -> DataFrame:
     """doc_id, held_out, score, predicted for every row; learns from labels (doc_id, quality) of rows not held out."""
+    short_batches(docs.sparkSession)
     described = kept(docs.select("doc_id", "text").mapInArrow(_described, "doc_id long, x array<double>"))
     marked = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("y")).distinct()
     train = described.where(~holds_out("doc_id", modulus, remainder)).join(marked, "doc_id")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odolake.llm.common import holds_out, kept, slices
+from odolake.llm.common import holds_out, kept, short_batches, slices
 from odolake.llm.isotonic import pooled
 
 MODULUS, REMAINDER, THRESHOLD = 4, 2, 0.3
@@ -145,6 +145,7 @@ def vote(cosines: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = MODULUS, remainder: int = REMAINDER) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence for every row; learns from labels (doc_id, toxic) of rows not held out."""
+    short_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     valid = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~holds_out("doc_id", modulus, remainder))
     marked = kept(valid.groupBy("doc_id").agg(F.min("toxic").cast("int").alias("y"), F.max("toxic").alias("_h")).where("y = _h").drop("_h"))
