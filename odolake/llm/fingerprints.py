@@ -117,23 +117,26 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     after = [F.col(f"after.{k}").alias(k) for k in KEY]
     own = [F.col(k).alias(f"own_{k}") for k in KEY]
     taken = order.select(*own, *after, cut.alias("cut")).join(texts, list(KEY)).select(*[F.col(f"own_{k}").alias(k) for k in KEY], F.expr("left(text, cut)").alias("start"))
-    full = texts.join(order.select(*KEY, "m", "n"), list(KEY)).join(taken, list(KEY))
-    # Of equal rows, the last one's next is the next document, the others' is their own copy.
-    copies = full.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m")))).withColumn("cut", cut)
-    start = F.when(F.col("i") == F.col("m"), F.col("start")).otherwise(F.expr("left(text, cut)"))
-    edited = copies.select(*KEY, "i", "text", F.concat(F.expr("left(text, CAST(n - cut AS INT))"), start).alias("edited"))
-    both = edited.select(*KEY, "i", F.posexplode(F.array("text", "edited")).alias("which", "text"))
-    digests = edited.select(*KEY, "i", F.sha2("edited", 256).alias("edited_sha256"))
-    # In one job, so that both sides read the same shuffled texts.
-    prints = kept(lanes(both, [*KEY, "i", "which"]).join(digests, [*KEY, "i"]))
-    a = prints.where("which = 0").drop("which", "edited_sha256").withColumnRenamed("lanes", "a")
-    b = prints.where("which = 1").drop("which").withColumnRenamed("lanes", "b")
-    first = a.where("i = 1").select(*[F.col(k).alias(f"next_{k}") for k in KEY], F.col("a").alias("c"))
-    joined = a.join(b, [*KEY, "i"]).join(order, list(KEY))
-    joined = joined.select("*", *[F.when(F.col("i") == F.col("m"), F.col(f"after.{k}")).otherwise(F.col(k)).alias(f"next_{k}") for k in KEY])
-    found = joined.join(first, [f"next_{k}" for k in KEY])
-    return found.select(
-        F.when(~F.col("nul"), F.col("kid")).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "edited_sha256",
+    full = texts.join(order.select(*KEY, "m", "n"), list(KEY)).join(taken, list(KEY)).withColumn("cut", cut)
+    # Of m equal rows, one has the next document as its next, the others each other: two variants at most.
+    both_ways = F.array(F.lit(0), F.lit(1))
+    variants = full.withColumn("self", F.explode(F.when(F.col("m") > 1, both_ways).otherwise(F.array(F.lit(0)))))
+    start = F.when(F.col("self") == 0, F.col("start")).otherwise(F.expr("left(text, cut)"))
+    edited = variants.select(*KEY, "self", "text", F.concat(F.expr("left(text, CAST(n - cut AS INT))"), start).alias("edited"))
+    by = [*KEY, "self"]
+    both = edited.select(*by, F.posexplode(F.array("text", "edited")).alias("which", "text"))
+    sides = [F.max(F.when(F.col("which") == w, F.col("lanes"))).alias(name) for w, name in enumerate("ab")]
+    paired = lanes(both, [*by, "which"]).groupBy(*by).agg(*sides)
+    # One job over the texts as they were shuffled by key; the variant is no join key, so nothing is shuffled again.
+    digests = edited.select(*[F.col(k).alias(f"d_{k}") for k in by], F.unhex(F.sha2("edited", 256)).alias("sha"))
+    same = [F.col(k) == F.col(f"d_{k}") for k in KEY]
+    prints = kept(paired.join(digests, [*same, F.col("self") - F.col("d_self") == 0]).select(*by, "a", "b", "sha").join(order, list(KEY)))
+    after = [F.when(F.col("self") == 0, F.col(f"after.{k}")).otherwise(F.col(k)).alias(f"next_{k}") for k in KEY]
+    first = prints.where("self = 0").select(*[F.col(k).alias(f"next_{k}") for k in KEY], F.col("a").alias("c"))
+    found = prints.select("nul", "kid", "n", "m", "self", "a", "b", "sha", *after).join(first, [f"next_{k}" for k in KEY])
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.when(F.col("self") == 0, F.lit(1).cast("long")).otherwise(F.col("m") - 1)))
+    return found.withColumn("_", times).select(
+        F.when(~F.col("nul"), F.col("kid")).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), F.lower(F.hex("sha")).alias("edited_sha256"),
         written(F.col("a")).alias("fingerprint"), written(F.col("b")).alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"),
     )
