@@ -124,13 +124,13 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     start = F.when(F.col("self") == 0, F.col("start")).otherwise(F.expr("left(text, cut)"))
     edited = variants.select(*KEY, "self", "text", F.concat(F.expr("left(text, CAST(n - cut AS INT))"), start).alias("edited"))
     by = [*KEY, "self"]
+    # The digest goes along as a grouping column, so the shuffled texts are gone through once.
+    by = [*by, "sha"]
+    edited = edited.withColumn("sha", F.unhex(F.sha2("edited", 256)))
     both = edited.select(*by, F.posexplode(F.array("text", "edited")).alias("which", "text"))
     sides = [F.max(F.when(F.col("which") == w, F.col("lanes"))).alias(name) for w, name in enumerate("ab")]
     paired = lanes(both, [*by, "which"]).groupBy(*by).agg(*sides)
-    # One job over the texts as they were shuffled by key; the variant is no join key, so nothing is shuffled again.
-    digests = edited.select(*[F.col(k).alias(f"d_{k}") for k in by], F.unhex(F.sha2("edited", 256)).alias("sha"))
-    same = [F.col(k) == F.col(f"d_{k}") for k in KEY]
-    prints = kept(paired.join(digests, [*same, F.col("self") - F.col("d_self") == 0]).select(*by, "a", "b", "sha").join(order, list(KEY)))
+    prints = kept(paired.join(order, list(KEY)))
     after = [F.when(F.col("self") == 0, F.col(f"after.{k}")).otherwise(F.col(k)).alias(f"next_{k}") for k in KEY]
     first = prints.where("self = 0").select(*[F.col(k).alias(f"next_{k}") for k in KEY], F.col("a").alias("c"))
     found = prints.select("nul", "kid", "n", "m", "self", "a", "b", "sha", *after).join(first, [f"next_{k}" for k in KEY])
