@@ -20,9 +20,9 @@ def bitmap(keys: DataFrame, column: str, hashed: bool = True) -> np.ndarray:
     """
     place = keys.select((F.xxhash64(column) if hashed else F.col(column)).bitwiseAND(F.lit((1 << BITS) - 1)).alias("p"))
     words = place.selectExpr("shiftright(p, 6) AS w", "shiftleft(1L, CAST(p & 63 AS INT)) AS v")
-    found = words.groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()
+    found = words.groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
     out = np.zeros(1 << (BITS - 6), np.int64)
-    out[found["w"].to_numpy(np.int64)] = found["v"].to_numpy(np.int64)
+    out[found["w"].to_numpy()] = found["v"].to_numpy()
     return out
 
 

@@ -150,12 +150,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = MODULUS, r
     valid = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~holds_out("doc_id", modulus, remainder))
     marked = kept(valid.groupBy("doc_id").agg(F.min("toxic").cast("int").alias("y"), F.max("toxic").alias("_h")).where("y = _h").drop("_h"))
     hashed = F.xxhash64("doc_id", F.lit(SEED))
-    sample = marked.select("doc_id", "y").orderBy(hashed, "doc_id").limit(SAMPLE).toPandas().sort_values("doc_id")
-    n, ones = len(sample), int(sample["y"].sum())
+    sample = marked.select("doc_id", "y").orderBy(hashed, "doc_id").limit(SAMPLE).toArrow().sort_by("doc_id")
+    n, ones = sample.num_rows, int(sample["y"].to_numpy().sum())
     if n == 0 or ones in (0, n):
         plain = docs.select("doc_id", F.lit(ones / n if n else 0.0).alias("score"), F.lit(None).cast("string").alias("evidence"))
         return _answer(plain, modulus, remainder)
-    learnt = docs.sparkSession.sparkContext.broadcast((sample["doc_id"].to_numpy(np.int64), sample["y"].to_numpy(np.int64)))
+    learnt = docs.sparkSession.sparkContext.broadcast((sample["doc_id"].to_numpy(), sample["y"].to_numpy().astype(np.int64)))
     df = docs.mapInArrow(lambda batches: _frequencies(batches, *learnt.value), "term binary, ones long, zeros long").groupBy("term").agg(F.sum("ones").alias("a"), F.sum("zeros").alias("b"))
     p, q = float(ones), float(n - ones)
     # Chi-squared of the table (holds the term or not, label 1 or 0).
