@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from odolake.llm import brown, embeddings, fingerprints, lines, minhash, mixing, packing, quality, secrets_scan, toxicity
 from odolake.llm.common import table
+from odolake.llm.sql import SQL  # noqa: F401  (offered with the queries)
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -62,4 +63,4 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_mixing": op10_mixing,
 }
-SQL: dict[str, str] = {}
+
