@@ -138,6 +138,22 @@ def test_lines_against_brute_force(spark):
     assert got == brute_lines(rows)
 
 
+def test_single_edits_of_short_lines_are_linked(spark):
+    """Lines of 23 to 90 characters, and copies with one character in the middle replaced, or one more, or one less."""
+    rng, rows = random.Random(12), []
+    for n in range(23, 91):
+        line = "".join(rng.sample("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 ,.:;-()", min(n, 70)))
+        line = "x" + (line + line[::-1])[: n - 2] + "y"
+        at = n // 2
+        rows += [(10 * n + i, t) for i, t in enumerate((line, line[:at] + "#" + line[at + 1 :], line[:at] + "#" + line[at:], line[:at] + line[at + 1 :]))]
+    rows += [(i, t) for i, t in enumerate(("Copyright 2019 by the editors.", "Copyright 2021 by the editors.", "Page 17 of the yearly report", "Page 18 of the yearly report"))]
+    got = dict(tuples(lines.dedup_lines(documents(spark, rows)), "doc_id", "text"))
+    assert got == brute_lines(rows)
+    assert [i for i, t in got.items() if t == "" and i % 10 == 0] == [] and [got[3], got[2]] == ["", rows[-2][1]]
+    # Of each four, only the first stays.
+    assert [i for i, t in got.items() if i >= 230 and i % 10 and t] == []
+
+
 def test_lines_hostile_and_empty(spark):
     docs = hostile(spark)
     out = lines.dedup_lines(docs)
