@@ -154,6 +154,18 @@ def test_single_edits_of_short_lines_are_linked(spark):
     assert [i for i, t in got.items() if i >= 230 and i % 10 and t] == []
 
 
+def test_line_pairs_at_the_limit_share_a_band():
+    """20,000 pairs at 0.75 exactly: eight bands would miss about 250 of them."""
+    rng = np.random.Generator(np.random.PCG64(9))
+    pairs, common, own = 20_000, 60, 10
+    left = rng.integers(0, 1 << 63, (pairs, common + own), dtype=np.uint64)
+    right = left.copy()
+    right[:, common:] = rng.integers(0, 1 << 63, (pairs, own), dtype=np.uint64)
+    at = np.arange(pairs + 1) * (common + own)
+    keys = [lines._signatures(side.ravel(), at) for side in (left, right)]
+    assert np.count_nonzero(~(keys[0] == keys[1]).any(1)) <= 2
+
+
 def test_lines_hostile_and_empty(spark):
     docs = hostile(spark)
     out = lines.dedup_lines(docs)
