@@ -2,8 +2,9 @@
 
 The patterns give the base spans: ``assign``, ``access`` and ``hex``, leftmost and non-overlapping for each kind. Two first-order
 Markov models over characters, one of random strings and one of ordinary words and identifiers, then judge every run of
-``CANDIDATE`` characters: where the log-likelihood ratio of the two is ``RATIO`` or more, it is a span of kind ``markov``, unless it
-overlaps a base span. The models are trained from samples that the patterns label: base spans' secrets are random strings,
+``DOTTED`` characters, which may have dots inside: where the log-likelihood ratio of the two is ``RATIO`` or more, it is a span of kind
+``markov``, unless it overlaps a base span. Of runs that are not, each piece between dots, a ``CANDIDATE``, is judged on its own. Dots say
+nothing for either model. Runs of fewer than ten characters are not judged. The models are trained from samples that the patterns label: base spans' secrets are random strings,
 the words outside them are ordinary. The training documents are the ``SAMPLE`` first in the order of a hash of doc_id and text. All
 documents are scanned, whole. Everything is built-in column functions.
 
@@ -26,8 +27,9 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 LEAST = {"assign": 8, "access": 16, "hex": 32}
-#: What the models judge; a word of training.
-CANDIDATE, WORD = r"[A-Za-z0-9+/_=-]{20,}", r"[A-Za-z0-9+/_=-]{4,}"
+#: What the models judge: runs with dots inside or none, and pieces next to a dot; a word of training.
+DOTTED, WORD = r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_=.-]{8,}[A-Za-z0-9+/_=-]", r"[A-Za-z0-9+/_=-]{4,}"
+CANDIDATE = r"(?<=\.)[A-Za-z0-9+/_=-]{10,}+|(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{10,}+(?=\.++[A-Za-z0-9+/_=-])"
 KINDS = ("assign", "access", "hex", "markov")
 SAMPLE, RATIO, ALPHABET, SMOOTH = 4000, 12.0, 67, {"random": 40.0, "ordinary": 2.0}
 _NONE = "CAST(array() AS array<struct<s: bigint, k: int, e: bigint, v: string>>)"
@@ -86,7 +88,9 @@ def log_ratios(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
                 counts[r["p"]] = r["n"]
         counts = counts.reshape(128, 128)
         tables[name] = np.log((counts + SMOOTH[name] / ALPHABET) / (counts.sum(1, keepdims=True) + SMOOTH[name]))
-    return tables["random"] - tables["ordinary"]
+    ratios = tables["random"] - tables["ordinary"]
+    ratios[ord(".")] = ratios[:, ord(".")] = 0.0
+    return ratios
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
@@ -101,11 +105,13 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
         pair = lambda i: F.ascii(F.substring(v, i, F.lit(1))) * 128 + F.ascii(F.substring(v, i + 1, F.lit(1)))
         return F.aggregate(F.sequence(F.lit(1), F.char_length(v) - 1), F.lit(0.0), lambda s, i: s + F.element_at(table, pair(i) + 1))
 
-    def fresh(x: Column) -> Column:
-        return ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])) & (ratio(x["v"]) >= RATIO)
+    def fresh(pattern: str, others: str) -> Column:
+        clear = lambda x: ~F.exists(others, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])) & (ratio(x["v"]) >= RATIO)
+        spans = F.filter(_spans(F.col("text"), pattern, 3), clear)
+        return F.array_sort(F.concat(others, F.when(F.col("text").rlike(pattern), spans).otherwise(F.expr(_NONE))))
 
-    more = F.when(F.col("text").rlike(CANDIDATE), F.filter(_spans(F.col("text"), CANDIDATE, 3), fresh)).otherwise(F.expr(_NONE))
-    found = found.select("doc_id", "base", F.array_sort(F.concat("base", more)).alias("all"))
+    found = found.withColumn("whole", fresh(DOTTED, "base"))
+    found = found.select("doc_id", "base", fresh(CANDIDATE, "whole").alias("all"))
 
     def listed(spans: str) -> Column:
         kind = lambda x: F.element_at(F.array(*[F.lit(k) for k in KINDS]), x["k"] + 1)

@@ -86,6 +86,27 @@ def test_secrets_against_plain_patterns(spark):
     assert by[805] == f"markov:11:{11 + 44}" and by[809] == "" and len(got) == len(rows)
 
 
+def test_short_and_dotted_secrets(spark):
+    """Random strings of 12 to 19 characters, and tokens of dotted pieces under 20, without a keyword in front."""
+    rng = random.Random(31)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    loose = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    secrets = {10_000 + i: loose(12 + i % 8) for i in range(80)} | {20_000 + i: ".".join(loose(15) for _ in range(3)) for i in range(20)}
+    long = loose(30)
+    plain = "the internationalization of the configuration, thoroughly. See configuration.manager.settings of it"
+    rows += [(i, f"see {v}. and more") for i, v in secrets.items()] + [(30_000, plain), (30_001, f"see configuration.{long}.configuration.manager here")]
+    docs = documents(spark, rows)
+    got, ratios = dict(tuples(secrets_scan.scan_secrets(docs), "doc_id", "spans")), secrets_scan.log_ratios(docs)
+    want = {i: sum(ratios[ord(a), ord(b)] for a, b in zip(v, v[1:], strict=False)) >= secrets_scan.RATIO for i, v in secrets.items()}
+    assert {i: got[i] == f"markov:4:{4 + len(v)}" for i, v in secrets.items()} == want
+    # The ratio decides, and finds most.
+    assert all(ok for i, ok in want.items() if i >= 20_000) and sum(want.values()) > 60
+    assert got[30_000] == ""
+    s, e = map(int, got[30_001].split(":")[1:])
+    assert s <= 18 and e >= 18 + len(long)
+
+
 def test_secrets_of_odd_rows(spark):
     assert secrets_scan.scan_secrets(hostile(spark)).count() == 16
     assert secrets_scan.scan_secrets(documents(spark, [])).count() == 0
