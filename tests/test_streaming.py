@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 
 from pyspark.sql import functions as F
@@ -112,3 +113,16 @@ def test_sessions_of_any_batches_are_those_of_all_rows(spark, tmp_path):
         step(spark.createDataFrame(rows[n::4], "vehicle_id string, observed_at timestamp_ntz"), n)
     one, many = (sorted(collect(flows.present(spark, str(tmp_path / d)), "vehicle_id", "started_at", "ended_at", "samples")) for d in ("one", "many"))
     assert one == many and len(one) > 20
+
+
+def test_intake_batches_need_no_single_task(spark, monkeypatch):
+    """Deliveries are dealt into three batches without a window over all of them."""
+    from checks import stored
+
+    seen = []
+    monkeypatch.setattr(stored, "batch_by_batch", lambda rows, of_batch, step: seen.append(rows.select(of_batch.alias("b"))))
+    with contextlib.suppress(Exception):  # nothing was taken in
+        stored._taken_in(spark, "/root/testdata/sf0.001")
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan
+    assert len({r["b"] for r in seen[0].distinct().collect()}) == 3
