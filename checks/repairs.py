@@ -294,11 +294,8 @@ on_tables(
     """,
     _manifest,
 )
-HASHED = {
-    "obd": ["seq", "mono_ms", "speed_kph", "rpm", "throttle_pct"],
-    "imu": ["seq", "mono_ms", "accel_rms_mg"],
-    "status": ["seq", "battery_mv", "health_state"],
-}
+#: Every derived table that belongs to bundles, with all its columns.
+HASHED = testbed.bundle_tables()
 SHARED["digests"] = (
     "SELECT content_root, n AS rows, sha256(concat_ws(':', n, s0, s1, s2, s3)) AS output_digest FROM (SELECT content_root, count(*) AS n, "
     + ", ".join(f"sum(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS UBIGINT)) AS s{i}" for i in range(4))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from checks.repairs import GATE_SQL, JUMPED, placed
 from checks.sql import SHARED
 from odolake.functions.timecols import millis
 from odolake.plans import catalog, ledger, synclog, trips
-from odolake.schemas import SAMPLE_TABLES
+from odolake.schemas import SAMPLE_TABLES, TIME_COLUMN
 from odolake.session import checkpoint_dir, settle
 from odolake.sources import records, sinks
 from odolake.sources.tables import Tables, complete, scan
@@ -96,37 +97,54 @@ on_tables(
 
 def _months(t: Tables) -> DataFrame:
     spark = t.obd.sparkSession
-    root = scratch(spark)
-    sinks.write_months(t.status, root, "observed_at", "overwrite")
-    return spark.read.parquet(root).groupBy(F.col("month").cast("string").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    counts = []
+    for name, at in TIME_COLUMN.items():
+        root = scratch(spark)
+        sinks.write_months(t[name], root, at, "overwrite")
+        month = F.col("month").cast("string").alias("month")
+        counts.append(spark.read.parquet(root).groupBy(F.lit(name).alias("kind"), month).agg(F.count(F.lit(1)).alias("n")))
+    return reduce(DataFrame.unionByName, counts)
 
 
 on_tables(
     "snk_months",
-    "month:s n:i",
-    "SELECT strftime(observed_at, '%Y-%m') AS month, count(*) AS n FROM status GROUP BY ALL",
+    "kind:s month:s n:i",
+    " UNION ALL ".join(f"SELECT '{n}' AS kind, strftime({at}, '%Y-%m') AS month, count(*) AS n FROM {n} GROUP BY ALL" for n, at in TIME_COLUMN.items()),
     _months,
 )
 
 
+#: The column of each dated table that is out of date before bundles are replaced.
+REPLACED = {
+    "position": "speed_mps", "imu": "accel_rms_mg", "obd": "rpm", "boost": "map_kpa", "status": "battery_mv",
+    "transition": "reason_code", "gap": "duration_ms", "wifi_scan": "flags", "wifi_ap_obs": "rssi_dbm",
+}
+
+
 def _replaced(t: Tables) -> DataFrame:
-    """Half of the bundles are stored with old values, then replaced twice over by the present ones."""
+    """Of every dated table, half of the bundles are stored with old values, then replaced twice over by the present ones."""
     spark = t.obd.sparkSession
-    root = scratch(spark)
     number = F.expr("cast(regexp_extract(content_root, 'r([0-9]+)$', 1) AS INT)")
-    rows = t.status.select("content_root", "vehicle_id", "boot_id", "mono_ms", "seq", "observed_at", "battery_mv")
-    stale = rows.withColumn("battery_mv", F.when(number % 2 == 0, -1).otherwise(F.col("battery_mv")))
-    stale = stale.withColumn("observed_at", F.when(number % 4 == 0, F.expr("observed_at - INTERVAL '60' DAY")).otherwise(F.col("observed_at")))
-    sinks.write_months(stale, root, "observed_at", "overwrite")
-    for _ in range(2):
-        sinks.replace_bundles(spark, root, rows.where(number % 2 == 0), "observed_at")
-    return spark.read.parquet(root)
+    stored = []
+    for name, at in TIME_COLUMN.items():
+        root, value = scratch(spark), REPLACED[name]
+        rows = t[name]
+        stale = rows.withColumn(value, F.when(number % 2 == 0, F.lit(-1).cast(rows.schema[value].dataType)).otherwise(F.col(value)))
+        stale = stale.withColumn(at, F.when(number % 4 == 0, F.col(at) - F.expr("INTERVAL '60' DAY")).otherwise(F.col(at)))
+        sinks.write_months(stale, root, at, "overwrite")
+        for _ in range(2):
+            sinks.replace_bundles(spark, root, rows.where(number % 2 == 0), at)
+        month = F.col("month").cast("string").alias("month")
+        stored.append(spark.read.parquet(root).select(F.lit(name).alias("kind"), "content_root", "seq", F.col(at).alias("at"), F.col(value).cast("double").alias("value"), month))
+    return reduce(DataFrame.unionByName, stored)
 
 
 on_tables(
     "snk_replace_bundles",
-    "content_root:s seq:i observed_at:t battery_mv:i month:s",
-    "SELECT content_root, seq, observed_at, battery_mv, strftime(observed_at, '%Y-%m') AS month FROM status",
+    "kind:s content_root:s seq:i at:t value:d month:s",
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS kind, content_root, seq, {at} AS at, CAST({REPLACED[n]} AS DOUBLE) AS value, strftime({at}, '%Y-%m') AS month FROM {n}" for n, at in TIME_COLUMN.items()
+    ),
     _replaced,
 )
 
@@ -153,11 +171,11 @@ on_tables(
 
 def _ledger_files(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch(spark)
-    rows = testbed.ledger(spark, sf).where("event IN ('committed', 'offered')")
+    rows = testbed.ledger(spark, sf)
     good = rows.select(
         F.to_json(
             F.struct(
-                F.unix_millis(F.col("at_ts").cast("timestamp")).alias("utc_ms"), "event", "bundle_id", "content_root", "device_id", "bytes", "path"
+                F.unix_millis(F.col("at_ts").cast("timestamp")).alias("utc_ms"), "event", "bundle_id", "content_root", "device_id", "reason", "bytes", "path"
             )
         ).alias("value")
     )
@@ -175,7 +193,7 @@ add(
 add(
     "src_ledger_bad_lines",
     "line:s",
-    "SELECT concat('{torn ', bundle_id) AS line FROM ledger WHERE event IN ('committed', 'offered') AND event_id % 50 = 0",
+    "SELECT concat('{torn ', bundle_id) AS line FROM ledger WHERE event_id % 50 = 0",
     lambda spark, sf: records.bad_lines(_ledger_files(spark, sf)),
 )
 

@@ -211,6 +211,14 @@ def duck_text(sql: str) -> str:
     return _TS.sub(r"(TIMESTAMP '2024-01-01 00:00:00' + to_milliseconds(\1))", sql)
 
 
+def bundle_tables() -> dict[str, list[str]]:
+    """name -> columns of every table whose rows come from bundles."""
+    keys = KEYS.split(", ")
+    missing = {"gap": {"mono_ms", "observed_at"}, "time_obs": {"observed_at"}}
+    lists = {name: cols for name, (cols, _) in FROM_TICKS.items()} | {"wifi_ap_obs": AP_COLUMNS}
+    return {n: [k for k in keys if k not in missing.get(n, ())] + [c.rsplit(" AS ", 1)[1] for c in cols] for n, cols in lists.items()}
+
+
 # --- Spark side -------------------------------------------------------------------------------
 
 

@@ -147,3 +147,12 @@ def test_digest_ignores_order_and_sees_any_change(make):
     assert digest(rows) == digest(rows[::-1])
     assert digest(rows) != digest([*rows[:-1], {**rows[-1], "rpm": 7}])
     assert digest(rows) != digest([*rows[:-1], {**rows[-1], "rpm": None}])
+
+
+def test_digests_hash_all_columns_of_all_tables(spark):
+    from checks import repairs, testbed
+
+    tables = testbed.telemetry(spark, "/root/testdata/sf0.001")
+    want = {n: set(tables[n].columns) for n in [*testbed.FROM_TICKS, "wifi_ap_obs"]}
+    assert {n: set(cols) for n, cols in repairs.HASHED.items()} == want
+    assert {"position", "boost", "gap", "transition"} <= set(want)
