@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from odolake.llm import brown, embeddings, fingerprints, lines, minhash, mixing, packing, quality, secrets_scan, toxicity
+from odolake.llm import brown, divergence, embeddings, fingerprints, lines, middles, minhash, mixing, packing, quality, secrets_scan, shards, toxicity
 from odolake.llm.common import table
 from odolake.llm.sql import SQL  # noqa: F401  (offered with the queries)
 
@@ -51,6 +51,18 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source", "text_hash")
 
 
+def op11_fill_in_middle(spark, sf_dir):
+    return middles.digests(middles.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op12_source_divergence(spark, sf_dir):
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_sharding(spark, sf_dir):
+    return shards.shard_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_toxicity": op2_toxicity,
@@ -62,5 +74,8 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_mixing": op10_mixing,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_sharding": op13_sharding,
 }
 
