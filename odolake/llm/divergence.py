@@ -8,8 +8,9 @@ The index is term-major: one row for each kept term with the counts of the group
 hash of the term. In a block each group in turn is a row of the product: it has a dense accumulator with a cell for each peer of
 its lang, which starts at the zero baseline (its terms against a peer that has none of them), and each of its terms is
 scattered through its index row into the cells of the peers that have it, replacing the baseline. So no pair of postings is
-ever a row; a block gives its accumulators, which are summed by pair. The mirrored baseline and the terms that neither has
-follow from the number of terms each group has. All of it is whole numbers.
+ever a row; a block gives its accumulators, which are summed by pair. The measure is the same both ways, so a group scatters into
+the peers after it and gives those before it the baseline only. The terms that neither has follow from the number of terms
+each group has. All of it is whole numbers.
 
 A term has one posting for each source at most, whatever its frequency, and a block holds about ``BLOCK`` postings, so neither a
 common word nor a large source lands in one task. The peers of a lang travel to each of its blocks: pairs of sources are the result.
@@ -30,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from odolake.llm.common import kept, partitions, slices
+from odolake.llm.common import kept, slices
 
 LEAST, TOP, BILLION = 10, 10, 1_000_000_000
 #: Postings of a block, and entries a counting task holds before it hands them on.
-BLOCK, HELD = 1 << 20, 1 << 18
+BLOCK, HELD = 1 << 17, 1 << 18
 #: Letters of ASCII and everything beyond it, in UTF-8.
 _TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 _COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
@@ -122,6 +123,7 @@ def _rows_of(block: pa.Table, peers: pa.Table, top: int) -> Iterator[tuple]:
     if block.num_rows == 0:
         return
     lang = block.column("lang")[0].as_py()
+    peers = peers.sort_by("source")
     lists = block.column("postings").combine_chunks()
     starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
     flat = lists.flatten()
@@ -160,14 +162,16 @@ def _rows_of(block: pa.Table, peers: pa.Table, top: int) -> Iterator[tuple]:
             last = max(first + 1, int(np.searchsorted(step, step[first] + HELD, "right")) - 1)
             n = lengths[first:last]
             to = np.repeat(starts[at[first:last]] - (step[first:last] - step[first]), n) + np.arange(int(n.sum()))
-            mine, other, j = np.repeat(p[first:last], n), share[to], peer[to]
+            after = peer[to] > i
+            to = to[after]
+            mine, other, j = np.repeat(p[first:last], n)[after], share[to], peer[to]
             np.add.at(cells, j, apart(mine, other) - apart(mine, zero[j]) - apart(zero[i], other) + apart(zero[i], zero[j]))
             first = last
         name = peer_names[i]
-        for j, other in enumerate(peer_names):
-            if j != i:
-                yield lang, name, "pair", other, int(cells[j])
-                yield lang, other, "pair", name, int(baseline[j])
+        for j in range(i):
+            yield lang, peer_names[j], "pair", name, int(baseline[j])
+        for j in range(i + 1, len(peer_names)):
+            yield lang, name, "pair", peer_names[j], int(cells[j])
         more = np.flatnonzero(p > whole[at])
         for item, value in _first(apart(p[more], whole[at[more]]), at[more], names, top):
             yield lang, name, "term", item.decode(), value
@@ -192,13 +196,14 @@ def source_divergence(docs: DataFrame, least: int = LEAST, top: int = TOP) -> Da
     index = kept(term_index(term_counts(docs), least))
     groups = kept(group_sizes(docs, index))
     postings = groups.agg(F.coalesce(F.sum("terms"), F.lit(0))).first()[0]
-    blocks = max(partitions(spark), -(-postings // BLOCK))
+    blocks = max(1, -(-postings // BLOCK))
     dealt = index.withColumn("block", F.pmod(F.xxhash64("term"), F.lit(blocks)).cast("int"))
     sent = dealt.select(F.col("lang").alias("of"), F.col("block").alias("to")).distinct().join(groups.withColumnRenamed("lang", "of"), "of")
     schema = "lang string, source string, part string, item string, value long"
     parts = kept(dealt.groupBy("lang", "block").cogroup(sent.groupBy("of", "to")).applyInArrow(_accumulate(top), schema))
 
-    sums = parts.where("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("found"))
+    half = parts.where("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("found"))
+    sums = half.unionByName(half.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "found"))
     one = groups.select("lang", "vocabulary", "source", "terms", _zero("size").alias("z"))
     other = groups.select("lang", F.col("source").alias("item"), F.col("terms").alias("item_terms"), _zero("size").alias("item_z"))
     pairs = one.join(other, "lang").where("source <> item").join(sums, ["lang", "source", "item"], "left")
