@@ -23,7 +23,7 @@ text, lang and source are not read.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,32 +44,30 @@ _PARTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("part", pa.
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences and documents by lang, source and term, handed on whenever many are held."""
-    held: dict[tuple, dict[bytes, list[int]]] = {}
-    entries = 0
+    held: dict[tuple, tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
 
-    def out() -> pa.RecordBatch:
-        rows = [(lang, source, term, n, docs) for (lang, source), terms in held.items() for term, (n, docs) in terms.items()]
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        texts = pa.array(columns[2], pa.binary()).cast(pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), texts, *(pa.array(c, pa.int64()) for c in columns[3:])], schema=_COUNTS)
+    def out() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, docs) in held.items():
+            terms = pa.array(docs.keys(), pa.binary()).cast(pa.string())
+            names = [pa.repeat(pa.scalar(name, pa.string()), len(terms)) for name in (lang, source)]
+            yield pa.RecordBatch.from_arrays([*names, terms, pa.array(map(n.__getitem__, docs), pa.int64()), pa.array(docs.values(), pa.int64())], schema=_COUNTS)
+        held.clear()
 
+    entries = 0
     for whole in batches:
         for batch in slices(whole, "text"):
             texts = batch.column("text").cast(pa.binary())
             for text, lang, source in zip(texts, batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True):
-                terms = held.setdefault((lang, source), {})
-                for term, n in Counter(_TERM.findall(text.as_py().lower())).items():
-                    entry = terms.get(term)
-                    if entry is None:
-                        terms[term] = [n, 1]
-                        entries += 1
-                    else:
-                        entry[0] += n
-                        entry[1] += 1
-                if entries > HELD:
-                    yield out()
-                    held, entries = {}, 0
-    yield out()
+                n, docs = held[lang, source]
+                found = _TERM.findall(text.as_py().lower())
+                known = len(docs)
+                n.update(found)
+                docs.update(set(found))
+                entries += len(docs) - known
+            if entries > HELD:
+                yield from out()
+                entries = 0
+    yield from out()
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
