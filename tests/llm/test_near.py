@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from odolake.llm import embeddings, lines, links, minhash, sketch
 from odolake.llm.components import components
+from odolake.llm.kernels import flat, prefix_sums
 from tests.llm.helpers import SF, documents, hostile, tuples, words
 
 
@@ -102,17 +106,21 @@ def test_rows_of_one_document_are_linked(spark):
     assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
 
 
-def line_items(line):
-    k = lines.SHINGLE
+def line_items(line, k):
     return {line[i : i + k] for i in range(len(line) - k + 1)} if len(line) >= k else {line}
 
 
+def lines_linked(a, b):
+    """Both of 39 characters and more by 5-character shingles, or both of 48 and less by 3-character ones."""
+    sizes = [k for k, fits in ((5, min(len(a), len(b)) >= 39), (3, max(len(a), len(b)) <= 48)) if fits]
+    return any(100 * len(line_items(a, k) & line_items(b, k)) >= 75 * len(line_items(a, k) | line_items(b, k)) for k in sizes)
+
+
 def brute_lines(rows):
     """Texts after every line went that isn't the first of its component."""
     at = [(i, n, line) for i, t in rows if t for n, line in enumerate(t.split("\n")) if line.strip(" \t\r\x0b\x0c")]
     kinds = list(dict.fromkeys(x[2] for x in at))
-    sets = [line_items(k) for k in kinds]
-    links = [(a, b) for a, b in itertools.combinations(range(len(kinds)), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    links = [(a, b) for a, b in itertools.combinations(range(len(kinds)), 2) if lines_linked(kinds[a], kinds[b])]
     root = {kinds[i]: r for i, r in roots_of(range(len(kinds)), links).items()}
     first: dict = {}
     for i, n, line in sorted(at):
@@ -155,7 +163,7 @@ def test_single_edits_of_short_lines_are_linked(spark):
 
 
 def test_line_pairs_at_the_limit_share_a_band():
-    """20,000 pairs at 0.75 exactly: eight bands would miss about 250 of them."""
+    """20,000 pairs at 0.75 exactly: eight bands of four would miss about 1,000 of them."""
     rng = np.random.Generator(np.random.PCG64(9))
     pairs, common, own = 20_000, 60, 10
     left = rng.integers(0, 1 << 63, (pairs, common + own), dtype=np.uint64)
@@ -166,6 +174,31 @@ def test_line_pairs_at_the_limit_share_a_band():
     assert np.count_nonzero(~(keys[0] == keys[1]).any(1)) <= 2
 
 
+def test_unrelated_lines_share_few_buckets():
+    """Pairs that share a band, for each line, stay few while the lines grow fourfold."""
+    texts = [t for r in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist() if r for t in r.split("\n")]
+    found = list(dict.fromkeys(t for t in texts if t.strip()))
+    random.Random(1).shuffle(found)
+    meets = []
+    for count in (2000, 8000):
+        pairs = 0
+        for long, size in enumerate(lines.SHINGLES):
+            data, offsets = flat(pa.array([t for t in found[:count] if lines.classes(np.array(len(t)))[long]]))
+            keys = lines._signatures(*lines._shingles(lines._heads(data), data, *prefix_sums(data, lowered=False), offsets[:-1], offsets[1:], size))
+            for band in range(lines.BANDS):
+                n = np.unique(keys[:, band], return_counts=True)[1]
+                pairs += int((n * (n - 1) // 2).sum())
+        meets.append(pairs / count)
+    assert meets[1] < 8 and meets[1] < 5 * meets[0] + 1
+
+
+def test_rows_of_one_id_lose_their_own_lines_only(spark):
+    rows = [(1, "alpha beta gamma delta\na line that only this row has"), (1, "alpha beta gamma delta\na line that others share too"), (0, "something else\na line that others share too")]
+    got = Counter(tuples(lines.dedup_lines(documents(spark, rows)), "doc_id", "text"))
+    held = Counter(line for _, t in got for line in t.split("\n") if line)
+    assert held == Counter(["something else", "a line that others share too", "alpha beta gamma delta", "a line that only this row has"])
+
+
 def test_lines_hostile_and_empty(spark):
     docs = hostile(spark)
     out = lines.dedup_lines(docs)
