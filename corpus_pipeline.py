@@ -16,9 +16,12 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go; a document without an id is scored but has no verdict, and stays."""
+    """Documents that the quality classifier rejects go; a document without an id is scored but has no verdict, and stays.
+
+    Rows that share an id share a verdict: they go only if every one of their texts is rejected.
+    """
     scored = quality.score_quality(docs, table(spark, sf_dir, "labels"))
-    rejected = scored.where("predicted = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    rejected = scored.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("predicted").alias("best")).where("best = 0").select("doc_id")
     return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
 
 
