@@ -190,7 +190,7 @@ on_tables(
 on_tables(
     "agg_median_any_size",
     "vehicle_id:s mid:d n:i",
-    "SELECT vehicle_id, median(speed_mps * 1.7 + lat) AS mid, count(*) AS n FROM position GROUP BY vehicle_id",
+    "SELECT vehicle_id, median(speed_mps * 1.7 + lat) AS mid, count(speed_mps * 1.7 + lat) AS n FROM position GROUP BY vehicle_id",
     lambda t: medians(t.position.withColumn("x", F.col("speed_mps") * 1.7 + F.col("lat")), ["vehicle_id"], "x", "mid"),
 )
 on_tables(

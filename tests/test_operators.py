@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from odolake.operators import medians as medians_module
 from odolake.operators import slices
 from odolake.operators.asof import Side, asof, asof_join
 from odolake.operators.medians import medians
@@ -98,6 +101,62 @@ def test_medians_are_exact(spark, size):
     assert got == [(pytest.approx(statistics.median(values)), size)]
 
 
+def test_medians_keep_groups_without_readings_and_null_keys(spark):
+    rows = [("a", None), ("a", None), (None, 3.0), (None, 1.0), ("b", 2.0), ("b", None)]
+    got = collect(medians(spark.createDataFrame(rows, "k string, v double"), ["k"], "v"), "k", "median", "n")
+    assert sorted(got, key=str) == [("a", None, 0), ("b", 2.0, 1), (None, 2.0, 2)]
+    assert medians(spark.createDataFrame([], "k string, v double"), ["k"], "v").count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 3])
+def test_radix_selection_equals_sorting(spark, monkeypatch, few):
+    """Every size of group through the selection: ties, signs, far apart exponents, neighbours that differ in the last bit."""
+    monkeypatch.setattr(medians_module, "FEW", few)
+    rng = random.Random(5)
+    special = [0.0, -0.0, 1.0, -1.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, math.nextafter(1.0, 2.0), math.nextafter(1.0, 0.0)]
+    groups = {}
+    for g in range(24):
+        pool = [*special[: g % 11], *(rng.choice([rng.gauss(0, 10 ** rng.randrange(-5, 6)), float(rng.randrange(4)), 1 + rng.randrange(9) * 2**-52]) for _ in range(g * 7 + 1))]
+        groups[f"g{g}"] = [rng.choice(pool) for _ in range(len(pool) * 2 + g % 2)]
+    rows = [(g, v) for g, values in groups.items() for v in values] + [("g3", None), ("none", None)]
+    rng.shuffle(rows)
+    got = {r[0]: r[1:] for r in collect(medians(spark.createDataFrame(rows, "k string, v double"), ["k"], "v"), "k", "median", "n")}
+    want = {g: (statistics.median(v), len(v)) for g, v in groups.items()} | {"none": (None, 0)}
+    assert got == want
+
+
+def test_keys_order_doubles_and_tell_them_apart(spark):
+    rng = random.Random(6)
+    values = [math.ldexp(1 + rng.choice([0, 2**-52, 0.5, 1 - 2**-52, rng.random()]), e) for e in range(-1022, 1024)]
+    values += [math.ldexp(rng.randrange(1, 1 << 52), -1074) for _ in range(200)] + [5e-324, 0.0, math.inf]
+    values = sorted({*values, *(-v for v in values)}) + [math.nan]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double")
+    keys = [r[1] for r in sorted(df.select("i", medians_module.ordered_key("v")).collect())]
+    assert all(a < b for a, b in zip(keys, keys[1:], strict=False))
+
+
+def test_a_large_group_is_never_ranked_as_a_whole(spark):
+    """Two million distinct values of one group: no step sees more than 65,536 rows for a rank, and parts stay even."""
+    df = spark.range(2_000_001).select(F.lit("k").alias("k"), (F.xxhash64("id") / F.lit(1e12)).alias("v"))
+    want = np.median(df.select("v").toPandas()["v"].to_numpy())
+    seen = []
+    count = medians_module.prefix_counts
+
+    def watched(inside, left):
+        held = inside.groupBy("_target", "_salt").count().agg(F.max("count"), F.sum("count")).first()
+        seen.append((count(inside, left).groupBy("_k", "_target").count().agg(F.max("count")).first()[0], *held))
+        return count(inside, left)
+
+    try:
+        medians_module.prefix_counts = watched
+        got = collect(medians(df, ["k"], "v"), "median", "n")
+    finally:
+        medians_module.prefix_counts = count
+    assert got == [(want, 2_000_001)]
+    assert len(seen) == 4 and all(rows <= 65_536 for rows, _, _ in seen)
+    assert seen[0][1] < 2.2 * seen[0][2] / medians_module.SALTS
+
+
 def test_results_do_not_depend_on_the_number_of_partitions(spark, make):
     rng = random.Random(11)
     pos = [row(ms=700 * i, when=at(700 * i), lat=34 + i * 1e-5, lon=-118.0, fix_type=3, speed_mps=rng.random() * 30, sats_used=9) for i in range(600)]
