@@ -162,7 +162,8 @@ on_tables(
 JUMPED = "CASE WHEN seq % 13 = 0 OR seq % 200 < 60 AND seq % 3 <> 0 THEN lat + 0.1 ELSE lat END"
 
 
-SHARED["jumpy"] = (f"SELECT * REPLACE ({JUMPED} AS lat) FROM position WHERE lat IS NOT NULL AND lon IS NOT NULL", ["position"])
+SHARED["moved"] = (f"SELECT * REPLACE ({JUMPED} AS lat) FROM position", ["position"])
+SHARED["jumpy"] = ("SELECT * FROM moved WHERE lat IS NOT NULL AND lon IS NOT NULL", ["moved"])
 SHARED["jumpy_row"] = (
     "SELECT *, row_number() OVER (PARTITION BY content_root ORDER BY seq) AS pos, "
     "(SELECT max(g.seq) FROM gap g WHERE g.content_root = jumpy.content_root AND g.seq < jumpy.seq) AS gap_seq FROM jumpy",
@@ -182,19 +183,16 @@ GATE_SQL = """
               FROM walk w JOIN jumpy_row r ON r.content_root = w.content_root AND r.pos = w.pos + 1)
     )
     SELECT r.content_root, r.seq, r.lat, r.lon FROM walk JOIN jumpy_row r USING (content_root, pos) WHERE keep
+    UNION ALL
+    -- A fix without a place passes and is no measure for others.
+    SELECT content_root, seq, lat, lon FROM moved WHERE lat IS NULL OR lon IS NULL
     """
 
-
-def placed(t):
-    """Decoding gives no fix without a place, so the gate gets none."""
-    return t.position.where("lat IS NOT NULL AND lon IS NOT NULL")
-
-
 on_tables(
     "rep_jump_gate",
     "content_root:s seq:i lat:d lon:d",
     GATE_SQL,
-    lambda t: repair.jump_gate(placed(t).withColumn("lat", F.expr(JUMPED)), t.gap),
+    lambda t: repair.jump_gate(t.position.withColumn("lat", F.expr(JUMPED)), t.gap),
 )
 
 

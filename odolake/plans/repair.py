@@ -6,14 +6,18 @@ from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from odolake.functions.flags import BOOT
-from odolake.functions.geo import great_circle_sql, metres
+from odolake.functions.geo import great_circle_sql
 from odolake.functions.timecols import millis
 from odolake.operators.asof import Side, asof
+from odolake.operators.medians import medians
 from odolake.operators.slices import SLICE, neighbour, row_numbers, slice_of, with_edge_copies
 from odolake.operators.spans import overlapping
 from odolake.schemas import COUNTED_TABLES, TIME_COLUMN, VEHICLE_TABLES
@@ -123,80 +127,67 @@ CLOCK_SET = "TIMESTAMP_NTZ '2000-01-01 00:00:00'"
 
 
 def basis_spans(t: Tables) -> DataFrame:
-    """Clock span of each bundle, whether it is undated, and the clock basis its rows imply."""
-    keys = ["content_root", "vehicle_id", "boot_id", "mono_ms", "observed_at"]
-    parts = [
-        t[n].select(*keys, F.lit(n != "position").alias("plain"), F.lit(n not in ("status", "transition")).alias("drives"))
-        for n in ("obd", "imu", "boost", "status", "transition", "position")
-    ]
-    rows = reduce(DataFrame.unionByName, parts).where("content_root IS NOT NULL AND boot_id IS NOT NULL")
-    dated = F.expr(f"observed_at >= {CLOCK_SET}")
-    basis = F.when(F.col("plain") & dated, millis("observed_at") - F.col("mono_ms"))
-    return rows.groupBy("content_root", *BOOT).agg(
-        F.min("mono_ms").alias("lo"),
-        F.max("mono_ms").alias("hi"),
-        F.min(F.when(F.col("drives"), F.col("mono_ms"))).alias("s_lo"),
-        F.max(F.when(F.col("drives"), F.col("mono_ms"))).alias("s_hi"),
-        F.bool_and(~F.coalesce(dated, F.lit(False))).alias("undated"),
-        F.median(basis).alias("basis_ms"),
+    """Clock span of each bundle, whether it is undated, and the clock basis its rows imply: the median of wall clock less mono_ms."""
+    own = ["content_root", *BOOT]
+    sampled = []
+    for name in ("position", "obd", "imu", "boost", "status", "transition"):
+        # A fix carries the receiver's time, so it says nothing of the device's; a state says nothing of driving.
+        says = F.lit(name != "position"), F.lit(name not in ("status", "transition"))
+        sampled.append(t[name].select(F.struct(*own).alias("_k"), "mono_ms", "observed_at", says[0].alias("_clocked"), says[1].alias("_driven")))
+    rows = reduce(DataFrame.unionByName, sampled).where("_k.content_root IS NOT NULL AND _k.boot_id IS NOT NULL")
+    rows = rows.withColumn("_set", F.expr(f"coalesce(observed_at >= {CLOCK_SET}, false)"))
+    driven = F.when(F.col("_driven"), F.col("mono_ms"))
+    spans = rows.groupBy("_k").agg(
+        F.min("mono_ms").alias("lo"), F.max("mono_ms").alias("hi"), F.min(driven).alias("s_lo"), F.max(driven).alias("s_hi"),
+        (~F.bool_or("_set")).alias("undated"),
+    )
+    implied = rows.where("_clocked AND _set").withColumn("_basis", millis("observed_at") - F.col("mono_ms"))
+    clocks = medians(implied, ["_k"], "_basis", "basis_ms", "_readings").drop("_readings")
+    return spans.join(clocks, "_k", "left").select("_k.*", "lo", "hi", "s_lo", "s_hi", "undated", "basis_ms")
+
+
+def _settled_clocks(dated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Dated bundles with their verdict on the boot's clock, and the boots whose clock enough of them share.
+
+    The boot's clock is the median of its bundles'; a bundle agrees within 5 s of it. It takes two that agree, and
+    two thirds of all.
+    """
+    middle = medians(dated, BOOT, "basis_ms", "_middle", "_bundles").select(*BOOT, F.bround("_middle").cast("long").alias("boot_basis"))
+    judged = dated.join(middle, BOOT).withColumn("agrees", F.abs(F.col("basis_ms") - F.col("boot_basis")) <= AGREE_MS)
+    vote = F.sum(F.when(F.col("agrees"), 1).otherwise(-2))
+    sure = F.when(F.col("agrees"), F.col("lo")), F.when(F.col("agrees"), F.col("hi"))
+    boots = judged.groupBy(*BOOT, "boot_basis").agg(
+        F.min(sure[0]).alias("first_lo"), F.max(sure[1]).alias("last_hi"), F.count_if("agrees").alias("_agreeing"), vote.alias("_vote")
     )
+    # Two thirds agree where each that doesn't is outweighed by two that do.
+    return judged, boots.where("_agreeing >= 2 AND _vote >= 0").drop("_agreeing", "_vote")
 
 
 def basis_repairs(t: Tables) -> DataFrame:
     """Undated bundles that the agreeing bundles of their boot can date: content_root, basis_ms.
 
-    At least two bundles and two thirds of the boot's dated ones must agree within
-    5 s; the undated bundle must lie between agreeing ones or within ten minutes of
-    them; and no disagreeing bundle may have driven in that stretch.
+    An undated bundle must lie between agreeing ones, or within ten minutes outside of them, and no disagreeing bundle
+    may have driven in the stretch from the agreeing one before it (ten minutes before it where there is none) to the
+    one after it.
     """
     spans = settle(basis_spans(t))
-    dated = spans.where("NOT undated AND basis_ms IS NOT NULL")
-    boot = dated.groupBy(*BOOT).agg(F.bround(F.median("basis_ms")).cast("long").alias("boot_basis"))
-    dated = settle(
-        dated.join(boot, BOOT).select(
-            *BOOT,
-            "lo",
-            "hi",
-            F.coalesce("s_lo", "lo").alias("s_lo"),
-            F.coalesce("s_hi", "hi").alias("s_hi"),
-            "boot_basis",
-            (F.abs(F.col("basis_ms") - F.col("boot_basis")) <= AGREE_MS).alias("agrees"),
-        )
-    )
-    agreeing = F.count_if("agrees")
-    trusted = (
-        dated.groupBy(*BOOT, "boot_basis")
-        .agg(
-            F.min(F.when(F.col("agrees"), F.col("lo"))).alias("first_lo"),
-            F.max(F.when(F.col("agrees"), F.col("hi"))).alias("last_hi"),
-            agreeing.alias("ok"),
-            F.count(F.lit(1)).alias("n"),
+    judged, boots = _settled_clocks(spans.where("NOT undated AND basis_ms IS NOT NULL"))
+    judged = settle(judged)
+    sure = judged.where("agrees").withColumn("seq", F.lit(0).cast("long"))
+    undated = spans.where("undated").select("content_root", *BOOT, "lo", "hi").join(boots, BOOT)
+    for name, own, theirs, forward in (("_before", "lo", "hi", False), ("_after", "hi", "lo", True)):
+        marks = sure.select(*BOOT, "seq", F.col(theirs).alias("_at"))
+        undated = asof(undated.withColumn("_at", F.col(own)), [Side(name, marks, [], forward=forward)], BOOT, on="_at", width=REACH_MS)
+    near = "(_before IS NOT NULL OR first_lo - lo <= {0}) AND (_after IS NOT NULL OR hi - last_hi <= {0})".format(REACH_MS)
+    held = settle(
+        undated.where(near).select(
+            *BOOT, "content_root", F.col("boot_basis").alias("basis_ms"),
+            F.expr(f"coalesce(_before._at, lo - {REACH_MS})").alias("_from"), F.expr(f"coalesce(_after._at, hi + {REACH_MS})").alias("_to"),
         )
-        .where("ok >= 2 AND ok * 3 >= n * 2")
-        .drop("ok", "n")
-    )
-    wanted = spans.where("undated").select("content_root", *BOOT, "lo", "hi").join(trusted, BOOT)
-    sure = dated.where("agrees").select(*BOOT, "lo", "hi", F.lit(0).cast("long").alias("seq"))
-    ends = sure.select(*BOOT, "seq", F.col("hi").alias("at"))
-    starts = sure.select(*BOOT, "seq", F.col("lo").alias("at"))
-    wanted = asof(wanted.withColumn("at", F.col("lo")), [Side("prev", ends, [])], BOOT, on="at", width=REACH_MS)
-    wanted = asof(
-        wanted.withColumn("at", F.col("hi")), [Side("next", starts, [], forward=True)], BOOT, on="at", width=REACH_MS
-    )
-    wanted = wanted.where(
-        (F.col("prev").isNotNull() | (F.col("lo") + REACH_MS >= F.col("first_lo")))
-        & (F.col("next").isNotNull() | (F.col("hi") <= F.col("last_hi") + REACH_MS))
-    ).select(
-        *BOOT,
-        "content_root",
-        F.col("boot_basis").alias("basis_ms"),
-        F.coalesce("prev.at", F.col("lo") - REACH_MS).alias("a"),
-        F.coalesce("next.at", F.col("hi") + REACH_MS).alias("b"),
-    )
-    wanted = settle(wanted)
-    others = dated.where("NOT agrees").select(*BOOT, "s_lo", "s_hi")
-    spoiled = overlapping(wanted, ("a", "b"), others, ("s_lo", "s_hi"), BOOT, REACH_MS).select("content_root")
-    return wanted.join(spoiled, ROOT, "left_anti").select("content_root", "basis_ms")
+    )
+    against = judged.where("NOT agrees").select(*BOOT, F.coalesce("s_lo", "lo").alias("_lo"), F.coalesce("s_hi", "hi").alias("_hi"))
+    spoiled = overlapping(held, ("_from", "_to"), against, ("_lo", "_hi"), BOOT, REACH_MS).select("content_root")
+    return held.join(spoiled, ROOT, "left_anti").select("content_root", "basis_ms")
 
 
 def date_rows(table: DataFrame, repairs: DataFrame, column: str) -> DataFrame:
@@ -229,72 +220,92 @@ JUMP_SLACK_M = 50.0
 JUMP_MPS = 40.0
 MAX_REJECTS = 5
 GATE_SLICE = 4096
+#: The states of the gate: how many fixes it has refused since the last kept one.
+_STATES = MAX_REJECTS + 1
+_ALWAYS = (1 << _STATES) - 1
 
 
 def jump_gate(positions: DataFrame, gaps: DataFrame) -> DataFrame:
     """Drop fixes that lie too far from the last kept fix of their bundle.
 
-    Which fix was kept last depends on every earlier decision, but at most five
-    fixes in a row can be dropped. So a fix in reach of *each* of the six before it
-    is kept whatever happened earlier, and the decisions after it start afresh. Such
-    fixes are found with a window; only the short stretches between them, where some
-    fix is out of reach of another, are decided in order in Python.
+    Which fix was kept last depends on every earlier decision, but no more than five in a row are refused, so it is one of
+    the six before, and the gate's state is the number refused since: a fix turns each state r into 0 (kept) or r + 1. A fix in
+    reach of the five before it turns all states into 0; the others are decided slice by slice for every state the slice may
+    be entered in, by composing their maps. What a slice makes of its entry state is one small map, which passes along
+    the bundle from slice to slice; only then the fixes whose fate depends on it are settled. No stretch, however long,
+    is walked as a whole.
+
+    A fix without coordinates has no distance to anything: it passes and is never the last kept fix.
     """
-    rows = row_numbers(positions, ROOT, ["seq"], "seq", SEQ_SLICE, "_pos")
+    width = GATE_SLICE
+    placed = "lat IS NOT NULL AND lon IS NOT NULL"
+    rows = row_numbers(positions.where(placed), ROOT, ["seq"], "seq", SEQ_SLICE, "_pos")
     # The last gap strictly before the fix.
     rows = rows.withColumn("_at", F.col("seq") - 1)
     gap_rows = gaps.select(*ROOT, "seq", F.col("seq").alias("_at"))
     rows = asof(rows, [Side("_gap", gap_rows, ["seq"])], ROOT, on="_at", width=SEQ_SLICE)
     rows = rows.withColumn("_gap_seq", F.col("_gap.seq")).drop("_gap", "_at")
-    back = MAX_REJECTS + 1
-    near = with_edge_copies(rows, "_pos", GATE_SLICE, after=back)
+    near = with_edge_copies(rows, "_pos", width, after=MAX_REJECTS)
     along = Window.partitionBy(*ROOT, SLICE).orderBy("_pos")
     place = F.struct("lat", "lon", "mono_ms", "seq")
-    near = near.withColumns({f"_b{i}": F.lag(place, i).over(along) for i in range(1, back + 1)})
-    calm = [
-        f"(_b{i}.seq IS NULL OR coalesce(_gap_seq > _b{i}.seq, false) OR "
-        f"{great_circle_sql(f'_b{i}.lat', f'_b{i}.lon', 'lat', 'lon')} <= "
-        f"{JUMP_SLACK_M}D + {JUMP_MPS}D * greatest((mono_ms - _b{i}.mono_ms) / 1000.0D, 1.0D))"
-        for i in range(1, back + 1)
-    ]
-    near = near.where(F.col(SLICE) == slice_of("_pos", GATE_SLICE)).select(
-        *positions.columns, "_pos", "_gap_seq", F.expr(" AND ".join(calm)).alias("_calm")
-    )
-    near = settle(near)
-    sure = near.where("_calm")
-    doubtful = near.where("NOT _calm")
-    anchors = sure.select(*ROOT, "_pos", F.col("_pos").alias("seq"))
-    placed = asof(doubtful.select(*ROOT, "_pos", "seq", "mono_ms", "lat", "lon", "_gap_seq"),
-                  [Side("_from", anchors, [])], ROOT, on="_pos", tie="seq", width=GATE_SLICE)
-    placed = placed.withColumn("_start", F.col("_from._pos")).drop("_from")
-    heads = near.join(placed.select("content_root", F.col("_start").alias("_pos")).distinct(), [*ROOT, "_pos"], "left_semi")
-    heads = heads.select(*ROOT, "_pos", "seq", "mono_ms", "lat", "lon", "_gap_seq", F.col("_pos").alias("_start"))
-    stretches = placed.unionByName(heads)
-    # One ordered stream per task: memory holds one fix, however long a stretch is.
-    ordered = stretches.repartition("content_root", "_start").sortWithinPartitions("content_root", "_start", "_pos")
-    kept = ordered.mapInPandas(_decide_stretches, "content_root string, _pos bigint")
-    out = doubtful.join(kept, [*ROOT, "_pos"], "left_semi").unionByName(sure)
-    return out.select(*positions.columns)
-
-
-def _decide_stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    group, last, rejects = None, None, 0
+    near = near.withColumns({f"_b{i}": F.lag(place, i).over(along) for i in range(1, _STATES)})
+    reached = " + ".join(f"CASE WHEN {_in_reach(f'_b{i}')} THEN {1 << (i - 1)} ELSE 0 END" for i in range(1, _STATES))
+    own = near.where(F.col(SLICE) == slice_of("_pos", width))
+    own = settle(own.select(*positions.columns, "_pos", F.col(SLICE).cast("long").alias("_part"), F.expr(reached).alias("_reached")))
+
+    calm = F.col("_reached") == (1 << MAX_REJECTS) - 1
+    schema = T.StructType([*own.schema, T.StructField("_keeps", T.IntegerType()), T.StructField("_after", T.IntegerType())])
+    judged = settle(own.where(~calm).groupBy(*ROOT, "_part").applyInArrow(lambda rows: _judge_slice(rows, width), schema))
+    exits = judged.where(F.col("_pos") % width == width - 1).select(*ROOT, "_part", "_after")
+    ordered = exits.repartition(*ROOT).sortWithinPartitions(*ROOT, "_part")
+    entries = ordered.mapInPandas(_pass_on, "content_root string, _part bigint, _entry int")
+    open_ = judged.where(F.col("_keeps").between(1, _ALWAYS - 1)).join(entries, [*ROOT, "_part"], "left")
+    settled = open_.where(F.expr("shiftright(_keeps, coalesce(_entry, 0)) & 1 = 1"))
+    parts = (own.where(calm), judged.where(F.col("_keeps") == _ALWAYS), settled, positions.where(f"NOT ({placed})"))
+    return reduce(DataFrame.unionByName, [part.select(*positions.columns) for part in parts])
+
+
+def _in_reach(before: str) -> str:
+    """Whether a fix may follow an earlier one: there is none, a gap was recorded between them, or it isn't too far."""
+    way = great_circle_sql(f"{before}.lat", f"{before}.lon", "lat", "lon")
+    allowed = f"{JUMP_SLACK_M}D + {JUMP_MPS}D * greatest((mono_ms - {before}.mono_ms) / 1000.0D, 1.0D)"
+    return f"({before}.seq IS NULL OR coalesce(_gap_seq > {before}.seq, false) OR {way} <= {allowed})"
+
+
+def _judge_slice(rows: pa.Table, width: int) -> pa.Table:
+    """For each fix of a slice that isn't calm, the entry states (as bits) in which it is kept, and the state after it by entry state.
+
+    The fixes between those listed are calm: whatever was before them, the state after them is 0.
+    """
+    rows = rows.sort_by("_pos")
+    pos, reached = (rows.column(c).to_numpy() for c in ("_pos", "_reached"))
+    states = np.arange(_STATES)
+    kept = ((reached[:, None] >> states) & 1 == 1) | (states == MAX_REJECTS)
+    after = np.where(kept, 0, states + 1)
+    follows = np.concatenate(([pos[0] % width == 0], pos[1:] == pos[:-1] + 1))
+    after[~follows] = after[~follows][:, :1]
+    step = 1
+    while step < len(after):
+        # Each map is composed with the one that many fixes earlier, so twice as many are behind it.
+        after[step:] = np.take_along_axis(after[step:], after[:-step], axis=1)
+        step *= 2
+    keeps = ((after == 0) << states).sum(1)
+    packed = (after << (3 * states)).sum(1)
+    return rows.append_column("_keeps", pa.array(keeps, pa.int32())).append_column("_after", pa.array(packed, pa.int32()))
+
+
+def _pass_on(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The state in which the slice after each listed one is entered; a slice that isn't listed leaves state 0."""
+    group, part, state = None, None, 0
     for batch in batches:
-        kept = []
-        for root, start, pos, seq, ms, lat, lon, gap in batch[
-            ["content_root", "_start", "_pos", "seq", "mono_ms", "lat", "lon", "_gap_seq"]
-        ].itertuples(index=False):
-            if group != (root, start):
-                group, last, rejects = (root, start), (seq, ms, lat, lon), 0
-                continue
-            p_seq, p_ms, p_lat, p_lon = last
-            far = metres(p_lat, p_lon, lat, lon) > JUMP_SLACK_M + JUMP_MPS * max((ms - p_ms) / 1000.0, 1.0)
-            if far and not (gap == gap and gap is not None and gap > p_seq) and rejects < MAX_REJECTS:
-                rejects += 1
-                continue
-            last, rejects = (seq, ms, lat, lon), 0
-            kept.append((root, pos))
-        yield pd.DataFrame(kept, columns=["content_root", "_pos"])
+        out = []
+        for root, at, after in batch[["content_root", "_part", "_after"]].itertuples(index=False):
+            if (root, at) != (group, part):
+                state = 0
+            state = after >> (3 * state) & 7
+            group, part = root, at + 1
+            out.append((root, part, state))
+        yield pd.DataFrame(out, columns=["content_root", "_part", "_entry"])
 
 
 # --- checks -----------------------------------------------------------------------------------

@@ -133,6 +133,10 @@ class JumpGate(StatefulProcessor):
                 continue
             if 0 <= waiting_gap < r.seq:
                 gap_seq, waiting_gap = waiting_gap, -1
+            if pd.isna(r.lat) or pd.isna(r.lon):
+                # Without a place it is far from nothing, and no measure for others.
+                out.append((r.content_root, int(r.seq), r.mono_ms, r.lat, r.lon))
+                continue
             if kept is not None:
                 took = max((r.mono_ms - kept[1]) / 1000.0, 1.0)
                 far = metres(kept[2], kept[3], r.lat, r.lon) > JUMP_SLACK_M + JUMP_MPS * took

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pyarrow as pa
 import pytest
 
 from odolake.functions.geo import metres
@@ -78,8 +79,11 @@ def test_a_correction_that_does_not_check_is_refused(change):
 
 def walk(fixes, gaps):
     """The rule as it reads, one bundle at a time."""
-    kept, rejects = [], 0
+    kept, passed, rejects = [], [], 0
     for seq, ms, lat, lon in fixes:
+        if lat is None or lon is None:
+            passed.append((seq, ms, lat, lon))
+            continue
         if kept:
             p = kept[-1]
             far = metres(p[2], p[3], lat, lon) > 50 + 40 * max((ms - p[1]) / 1000, 1)
@@ -88,7 +92,7 @@ def walk(fixes, gaps):
                 continue
         rejects = 0
         kept.append((seq, ms, lat, lon))
-    return kept
+    return sorted(kept + passed, key=lambda f: f[0])
 
 
 def gate(make, bundles):
@@ -128,6 +132,45 @@ def test_jump_gate_equals_the_plain_walk_on_random_paths(make):
     assert gate(make, bundles) == want
 
 
+def test_a_fix_without_coordinates_passes_and_is_no_measure(make):
+    fixes = [(i, 1000 * i, None if i == 5 else 34.0 + i * 1e-4, -118.4 if i != 8 else None) for i in range(12)]
+    assert gate(make, {"a": (fixes, [])}) == {"a": list(range(12))}
+    # The jump after it is measured from the fix before it.
+    assert gate(make, {"a": ([*fixes[:6], (6, 6000, 35.0, -118.4)], [])}) == {"a": list(range(6))}
+
+
+@pytest.mark.parametrize("width", [8, 64])
+def test_jump_gate_without_a_calm_fix_is_decided_slice_by_slice(make, monkeypatch, width):
+    """Bundles that scatter from end to end, so that every slice is entered in some state that only its neighbour knows."""
+    monkeypatch.setattr(repair, "GATE_SLICE", width)
+    rng = random.Random(width)
+    bundles = {}
+    for b in range(5):
+        fixes = [(3 * i, 1000 * i, 34.0 + rng.choice([0, 0.01, 0.5, 0.9][: 2 + b % 3]) * rng.random(), -118.0) for i in range(600)]
+        if b == 3:
+            fixes = [(s, ms, None if s % 7 == 0 else lat, lon) for s, ms, lat, lon in fixes]
+        bundles[f"b{b}"] = (fixes, sorted(rng.sample(range(1800), 9)))
+    want = {k: [f[0] for f in walk(*v)] for k, v in bundles.items()}
+    assert any(len(v) < 400 for v in want.values())
+    assert gate(make, bundles) == want
+
+
+def test_a_stretch_without_calm_fixes_spreads_over_slices(make, monkeypatch):
+    monkeypatch.setattr(repair, "GATE_SLICE", 32)
+    fixes = [(i, 1000 * i, 34.0 + (i % 2) * 0.5, -118.0) for i in range(400)]
+    rows = [row(ms=ms, seq=seq, root="r", lat=lat, lon=lon) for seq, ms, lat, lon in fixes]
+    t = make(position=rows)
+    assert sorted(r[0] for r in collect(repair.jump_gate(t.position, t.gap), "seq")) == [f[0] for f in walk(fixes, [])]
+    # A slice of the middle, with nothing known of what is before it: its map holds for every entry state.
+    part = pa.table({"_pos": list(range(64, 96)), "_reached": [0b01010] * 32})
+    seen = repair._judge_slice(part, 32)
+    for state in range(6):
+        r = state
+        for keeps, after in zip(seen["_keeps"].to_pylist(), seen["_after"].to_pylist(), strict=True):
+            r = 0 if r == 5 or 0b01010 >> r & 1 else r + 1
+            assert (keeps >> state & 1 == 1) == (r == 0) and after >> 3 * state & 7 == r
+
+
 def test_chain_stops_at_the_first_break(spark):
     rows = [("good", i, i, i + 10, i + 9 if i else 0) for i in range(5)]
     rows += [("cut", i, i, i + 10, (99 if i == 3 else i + 9) if i else 0) for i in range(5)]
