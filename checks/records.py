@@ -273,6 +273,67 @@ add(
     """,
     lambda spark, sf: syn.dedupe_operations(_ops(spark, sf)),
 )
+# Two conversations share ids, each has a target with two fields, and a base revision is a guess that is often out of date.
+INTAKE = [
+    "conv_id * 1000 + turn AS arrival",
+    "CASE WHEN turn % 9 = 8 THEN 'CLIENT' ELSE 'client' END AS client_id",
+    "CASE WHEN turn % 4 = 1 THEN concat('op-', cast(conv_id // 2 AS VARCHAR(20)), '-', cast(turn AS VARCHAR(20))) "
+    "ELSE concat('op', cast(conv_id * 1000 + turn - CASE WHEN turn % 5 = 4 THEN 2 ELSE 0 END AS VARCHAR(20))) END AS operation_id",
+    "CASE WHEN turn % 4 = 0 THEN '' ELSE concat('k', cast(conv_id AS VARCHAR(20)), '-', cast((turn) // 3 AS VARCHAR(20))) END AS idem_key",
+    "CASE WHEN conv_id % 3 = 0 THEN role ELSE cast((turn) // 2 AS VARCHAR(20)) END AS content_hash",
+    "'vehicle_note' AS kind",
+    "concat('v', cast(conv_id % 4 AS VARCHAR(20))) AS vehicle_id",
+    "cast(conv_id AS VARCHAR(20)) AS target",
+    "(turn + 1) // 3 + CASE WHEN turn % 7 = 3 THEN 1 ELSE 0 END AS guess",
+    "CASE WHEN turn % 13 = 7 THEN 'out_of_scope' END AS refused",
+    "CASE WHEN conv_id % 11 = 0 AND turn = 2 THEN 'vehicle_archived' END AS unfit",
+    "turn",
+    "conv_id",
+]
+
+
+def _intake(spark, sf):
+    rows = testbed.read(spark, sf, "conversations").selectExpr(*[testbed.spark_text(c) for c in INTAKE])
+    both = F.col("turn") % 6 == 5
+    fields = F.when(both, F.array(F.lit("f1"), F.lit("f2"))).otherwise(F.array(F.concat(F.lit("f"), (F.col("turn") % 2 + 1).cast("string"))))
+    guess = F.col("guess").cast("long")
+    ops = rows.withColumn("fields", fields).withColumn("base", F.when(both, F.array(guess, guess)).otherwise(F.array(guess)))
+    return syn.intake(ops).withColumn("revision", F.col("revisions")[0])
+
+
+SHARED["intake_row"] = (
+    f"SELECT *, (conv_id // 2) AS pair, (conv_id % 2) * 2 AS skip, CASE WHEN turn % 6 = 5 THEN [1, 2] ELSE [turn % 2 + 1] END AS f, "
+    f"row_number() OVER (PARTITION BY conv_id // 2 ORDER BY arrival) AS n FROM (SELECT {', '.join(INTAKE)} FROM conversations)",
+    [],
+)
+add(
+    "syn_intake",
+    "arrival:i status:s reason:s original:i revision:i",
+    """
+    WITH RECURSIVE walk(pair, n, ids, keys, revs, status, reason, original, revision) AS (
+        SELECT DISTINCT pair, 0::BIGINT, []::STRUCT(name VARCHAR, hash VARCHAR, arrival BIGINT, rev BIGINT)[],
+            []::STRUCT(name VARCHAR, hash VARCHAR, arrival BIGINT, rev BIGINT)[], [0, 0, 0, 0]::BIGINT[], '', NULL::VARCHAR, NULL::BIGINT, NULL::BIGINT FROM intake_row
+        UNION ALL
+        SELECT pair, n, CASE WHEN verdict = 'accepted' THEN list_append(ids, {name: operation_id, hash: content_hash, arrival: arrival, rev: rev + 1}) ELSE ids END,
+            CASE WHEN verdict = 'accepted' AND idem_key <> '' THEN list_append(keys, {name: idem_key, hash: content_hash, arrival: arrival, rev: rev + 1}) ELSE keys END,
+            CASE WHEN verdict = 'accepted' THEN list_transform(revs, lambda r, i: r + list_contains(f, i - skip)::BIGINT) ELSE revs END,
+            CASE WHEN verdict IN ('accepted', 'duplicate', 'conflict') THEN verdict ELSE 'rejected' END,
+            CASE WHEN verdict NOT IN ('accepted', 'duplicate', 'conflict') THEN verdict END,
+            CASE WHEN verdict = 'duplicate' THEN coalesce(by_id.arrival, by_key.arrival) END,
+            CASE verdict WHEN 'accepted' THEN rev + 1 WHEN 'conflict' THEN rev WHEN 'duplicate' THEN coalesce(by_id.rev, by_key.rev) END
+        FROM (SELECT *, CASE WHEN refused IS NOT NULL THEN refused
+                WHEN by_id IS NOT NULL THEN CASE WHEN by_id.hash = content_hash THEN 'duplicate' ELSE 'reused_id' END
+                WHEN by_key IS NOT NULL THEN CASE WHEN by_key.hash = content_hash THEN 'duplicate' ELSE 'reused_key' END
+                WHEN unfit IS NOT NULL THEN unfit
+                WHEN len(list_filter(f, lambda x: revs[x + skip] <> guess)) > 0 THEN 'conflict' ELSE 'accepted' END AS verdict
+              FROM (SELECT w.pair, r.* EXCLUDE (pair), ids, keys, revs, list_filter(ids, lambda x: x.name = r.operation_id)[1] AS by_id,
+                        CASE WHEN r.idem_key <> '' THEN list_filter(keys, lambda x: x.name = r.idem_key)[1] END AS by_key, revs[f[1] + skip] AS rev
+                    FROM walk w JOIN intake_row r ON r.pair = w.pair AND r.n = w.n + 1))
+    )
+    SELECT r.arrival, w.status, w.reason, w.original, w.revision FROM walk w JOIN intake_row r USING (pair, n)
+    """,
+    _intake,
+)
 UPDATES = ["'vehicle_note' AS kind", "conv_id % 4 AS vehicle_id", "conv_id AS target", "conv_id * 1000 + turn AS arrival", "role",
            "(turn) // 2 - CASE WHEN turn % 7 = 3 THEN 1 ELSE 0 END AS base_revision", "length(text) AS said"]
 

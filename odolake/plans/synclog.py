@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from odolake.operators.groups import connected
 from odolake.session import settle
 
 TOMBSTONE = "tombstone"
@@ -66,53 +66,105 @@ def pull(log: DataFrame, cursor: int, vehicles: Sequence[str], limit: int) -> Da
     return log.where((F.col("seq") > cursor) & F.col("vehicle_id").isin(list(vehicles))).orderBy("seq").limit(limit)
 
 
+DECISIONS = "arrival bigint, status string, reason string, original bigint, fields array<string>, revisions array<bigint>"
+#: What an operation may bring besides arrival, client_id, operation_id and content_hash, and its type.
+_MAY_HAVE = {
+    "idem_key": "string", "kind": "string", "vehicle_id": "string", "target": "string", "fields": "array<string>", "base": "array<bigint>",
+    "refused": "string", "unfit": "string",
+}
+
+
+def intake(ops: DataFrame) -> DataFrame:
+    """Decide operations as if they came one by one in arrival order: arrival, status, reason, original, fields, revisions.
+
+    In this order: what is ``refused`` anyway (malformed, out of scope) is rejected with that reason. An operation whose id
+    was accepted before is a duplicate if client and content are the same, else rejected as reused_id; the same holds for
+    the idempotency key of its client, with reused_key. What is ``unfit`` (archived vehicle, content that doesn't check) is
+    rejected with that reason. If a base revision (none: 0) of any of its fields isn't the field's current one, it is a conflict and
+    changes nothing; ``revisions`` are the current ones. Otherwise it is accepted, and each field moves on by one. Only accepted
+    operations are remembered, so an id or key may be sent again after a rejection or conflict. A duplicate names its
+    ``original`` by arrival and repeats that one's fields and revisions.
+
+    Input: arrival (unique), client_id, operation_id, content_hash and, where given, idem_key, kind, vehicle_id, target, fields
+    (names), base (a revision for each), refused, unfit. Ids, clients and vehicles are compared without regard to case.
+
+    Fates are linked through ids, keys and fields, so operations are gathered in connected groups, and each group is
+    read once in order as a stream. Memory holds the current revisions of a group and those ids and keys that occur again.
+    """
+    given = ops.select(
+        "arrival", F.lower("client_id").alias("client_id"), F.lower("operation_id").alias("operation_id"), "content_hash",
+        *[(F.col(c) if c in ops.columns else F.lit(None)).cast(t).alias(c) for c, t in _MAY_HAVE.items()],
+    )
+    slot = F.when(F.coalesce("idem_key", F.lit("")) != "", F.to_json(F.array("client_id", "idem_key")))
+    field = F.to_json(F.array("kind", F.lower("vehicle_id"), "target"), {"ignoreNullFields": "false"})
+    fields = F.transform(F.coalesce("fields", F.array().cast("array<string>")), lambda f: F.concat(field, F.to_json(F.array(f))))
+    rows = given.select("*", slot.alias("_slot"), fields.alias("_fields"))
+    # What is refused anyway touches nothing.
+    live = rows.where("refused IS NULL")
+    meets = F.array(F.concat(F.lit("i"), "operation_id"), F.concat(F.lit("k"), "_slot"))
+    met = live.select("arrival", F.explode(F.concat(meets, F.transform("_fields", lambda f: F.concat(F.lit("f"), f)))).alias("_at")).where("_at IS NOT NULL")
+    shared = settle(met.groupBy("_at").agg(F.min("arrival").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    links = met.join(shared, "_at").select(F.col("_first").alias("a"), F.col("arrival").alias("b"))
+    roots = connected(links).toDF("arrival", "_root")
+    again = [shared.where(F.col("_at").startswith(k)).select(F.expr("substring(_at, 2)").alias(c), F.lit(True).alias(r)) for k, c, r in (("i", "operation_id", "_id_again"), ("k", "_slot", "_key_again"))]
+    placed = rows.join(roots, "arrival", "left").join(again[0], "operation_id", "left").join(again[1], "_slot", "left")
+    placed = placed.withColumn("_root", F.coalesce("_root", "arrival"))
+    return placed.repartition("_root").sortWithinPartitions("_root", "arrival").mapInPandas(_decide, DECISIONS)
+
+
+def _decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    root, ids, keys, current = None, {}, {}, {}
+    for batch in batches:
+        out = []
+        for op in batch.itertuples(index=False, name="Op"):
+            # Names that begin with an underscore are renamed by position in a named tuple, so columns go by place.
+            row = dict(zip(batch.columns, op, strict=True))
+            if row["_root"] != root:
+                root, ids, keys, current = row["_root"], {}, {}, {}
+            out.append((row["arrival"], *_decision(row, ids, keys, current)))
+        yield pd.DataFrame(out, columns=["arrival", "status", "reason", "original", "fields", "revisions"]).astype({"original": "Int64"})
+
+
+def _decision(row: dict, ids: dict, keys: dict, current: dict) -> tuple:
+    """status, reason, original, fields, revisions; remembers what is accepted."""
+
+    def known(name: str) -> bool:
+        return isinstance(row[name], str)
+
+    names = [] if row["fields"] is None else list(row["fields"])
+    if known("refused"):
+        return "rejected", row["refused"], None, names, None
+    mine = row["client_id"], row["content_hash"]
+    for seen, at, reason, same in ((ids, row["operation_id"], "reused_id", slice(0, 2)), (keys, row["_slot"], "reused_key", slice(1, 2))):
+        if at is not None and at in seen:
+            who, original, fields, revisions = seen[at]
+            return ("duplicate", None, original, fields, revisions) if who[same] == mine[same] else ("rejected", reason, None, names, None)
+    if known("unfit"):
+        return "rejected", row["unfit"], None, names, None
+    at = list(row["_fields"])
+    now = [current.get(f, 0) for f in at]
+    base = [] if row["base"] is None else [0 if b is None or b != b else int(b) for b in row["base"]]
+    if base + [0] * (len(now) - len(base)) != now:
+        return "conflict", None, None, names, now
+    after = [rev + 1 for rev in now]
+    current.update(zip(at, after, strict=True))
+    kept = mine, row["arrival"], names, after
+    if row["_id_again"] is True:
+        ids[row["operation_id"]] = kept
+    if row["_key_again"] is True:
+        keys[row["_slot"]] = kept
+    return "accepted", None, None, names, after
+
+
 def dedupe_operations(ops: DataFrame) -> DataFrame:
     """accepted / duplicate / reused_id / reused_key per operation, as if judged one by one in arrival order.
 
-    Only accepted operations are remembered, so whether one counts as a repeat depends
-    on the fate of earlier ones. Per round, operations that are the earliest open one
-    for both their id and their idempotency key are accepted, and those that meet an
-    accepted one are out; what is left plays again. A round settles the head of every
-    chain, so the number of rounds follows the longest chain, not the number of rows. Input: arrival, client_id, operation_id,
-    idem_key, content_hash.
+    The part of ``intake`` that looks at ids and idempotency keys only. Input: arrival, client_id,
+    operation_id, idem_key, content_hash.
     """
-    # Without a key an operation only competes by id: its own arrival stands in for the key.
-    slot = F.when(F.coalesce("idem_key", F.lit("")) != "", F.concat_ws("\x00", "client_id", "idem_key"))
-    rows = ops.withColumn("_slot", F.coalesce(slot, F.concat(F.lit("\x01"), F.col("arrival").cast("string"))))
-    open_ops = settle(rows.select("arrival", "operation_id", "_slot"))
-    accepted: list[DataFrame] = []
-    while not open_ops.isEmpty():
-        by_id = open_ops.groupBy("operation_id").agg(F.min("arrival").alias("_i"))
-        by_slot = open_ops.groupBy("_slot").agg(F.min("arrival").alias("_s"))
-        won = settle(
-            open_ops.join(by_id, "operation_id")
-            .join(by_slot, "_slot")
-            .where((F.col("arrival") == F.col("_i")) & (F.col("arrival") == F.col("_s")))
-            .select("arrival", "operation_id", "_slot")
-        )
-        accepted.append(won)
-        open_ops = settle(
-            open_ops.join(won.select("operation_id"), "operation_id", "left_anti").join(won.select("_slot"), "_slot", "left_anti")
-        )
-    if not accepted:
-        return ops.withColumn("status", F.lit(None).cast("string"))
-    keep = reduce(DataFrame.unionByName, accepted)
-    winners = rows.join(keep.select("arrival"), "arrival").select(
-        F.col("arrival").alias("_at"), "operation_id", "_slot", F.col("client_id").alias("_client"), F.col("content_hash").alias("_hash")
-    )
-    id_of = winners.select("operation_id", F.struct("_at", "_client", "_hash").alias("_by_id"))
-    slot_of = winners.select("_slot", F.struct("_at", "_client", "_hash").alias("_by_slot"))
-    judged = rows.join(id_of, "operation_id", "left").join(slot_of, "_slot", "left")
-    arrival = F.col("arrival")
-    met_id = F.col("_by_id._at") < arrival
-    same_id = (F.lower("_by_id._client") == F.lower("client_id")) & (F.col("_by_id._hash") == F.col("content_hash"))
-    met_slot = F.col("_by_slot._at") < arrival
-    status = (
-        F.when((F.col("_by_id._at") == arrival), "accepted")
-        .when(met_id, F.when(same_id, "duplicate").otherwise("reused_id"))
-        .when(met_slot, F.when(F.col("_by_slot._hash") == F.col("content_hash"), "duplicate").otherwise("reused_key"))
-    )
-    return judged.withColumn("status", status).select(*ops.columns, "status")
+    decided = intake(ops.select("arrival", "client_id", "operation_id", "idem_key", "content_hash"))
+    status = F.coalesce("reason", "status").alias("_status")
+    return ops.join(decided.select("arrival", status), "arrival").select(*ops.columns, F.col("_status").alias("status"))
 
 
 REVISION_COLUMNS = "arrival bigint, status string, fields array<string>, revisions array<bigint>"

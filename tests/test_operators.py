@@ -206,6 +206,89 @@ def test_dedupe_equals_one_by_one(spark):
     assert dict(collect(synclog.dedupe_operations(df), "arrival", "status")) == judge(ops)
 
 
+def plain_intake(ops):
+    """One by one, with everything that was accepted at hand."""
+    ids, keys, revs, out = {}, {}, {}, {}
+    for arrival, client, op, key, content, target, fields, base, refused, unfit in sorted(ops):
+        slot = (client.lower(), key) if key else None
+        if refused:
+            out[arrival] = ("rejected", refused, None, None)
+        elif op.lower() in ids:
+            who, what, at, rev = ids[op.lower()]
+            out[arrival] = ("duplicate", None, at, rev) if (who, what) == (client.lower(), content) else ("rejected", "reused_id", None, None)
+        elif slot in keys:
+            _, what, at, rev = keys[slot]
+            out[arrival] = ("duplicate", None, at, rev) if what == content else ("rejected", "reused_key", None, None)
+        elif unfit:
+            out[arrival] = ("rejected", unfit, None, None)
+        else:
+            now = [revs.get((target, f), 0) for f in fields]
+            if [b or 0 for b in base] != now:
+                out[arrival] = ("conflict", None, None, now)
+                continue
+            after = [r + 1 for r in now]
+            revs.update({(target, f): r for f, r in zip(fields, after, strict=True)})
+            ids[op.lower()] = (client.lower(), content, arrival, after)
+            if slot:
+                keys[slot] = ids[op.lower()]
+            out[arrival] = ("accepted", None, None, after)
+    return out
+
+
+OPERATIONS = "arrival bigint, client_id string, operation_id string, idem_key string, content_hash string, target string, fields array<string>, base array<bigint>, refused string, unfit string"
+
+
+def decided(spark, ops):
+    frame = spark.createDataFrame(ops, OPERATIONS).withColumns({"kind": F.lit("note"), "vehicle_id": F.lit("v")})
+    return {r[0]: r[1:] for r in collect(synclog.intake(frame), "arrival", "status", "reason", "original", "revisions")}
+
+
+def test_intake_is_one_decision(spark):
+    def op(at, oid, base=0, key=None, content="c", fields=("title",), **more):
+        return (at, "A", oid, key, content, "trip-1", list(fields), [base] * len(fields), more.get("refused"), more.get("unfit"))
+
+    ops = [
+        op(1, "u1"), op(2, "u1"), op(3, "U1", content="other"), op(4, "u2"),  # retry, reuse, stale
+        op(5, "u2", 1),  # the refused conflict sent again under its id, on the revision it was told
+        op(6, "u3", 2, key="k"), op(7, "u4", 9, key="k"), op(8, "u5", 3, key="k", content="x"),
+        op(9, "u6", refused="out_of_scope"), op(10, "u6", 3), op(11, "u1", unfit="archived"), op(12, "u7", 4, unfit="archived"),
+        op(13, "u7", 4, fields=("title", "tag")), op(14, "u8", None, fields=()),
+    ]
+    got = decided(spark, ops)
+    assert got == plain_intake(ops)
+    assert [got[i][0] for i in range(1, 15)] == [
+        "accepted", "duplicate", "rejected", "conflict", "accepted", "accepted", "duplicate", "rejected", "rejected", "accepted", "duplicate", "rejected", "conflict", "accepted",
+    ]
+    assert decided(spark, []) == {}
+
+
+def test_intake_equals_the_plain_walk_on_chains(spark):
+    rng = random.Random(4)
+    ops = []
+    for at in range(600):
+        fields = sorted(rng.sample(["a", "b", "c"], rng.randrange(0, 3)))
+        ops.append((at, rng.choice("XxY"), f"op{rng.randrange(max(1, at - 4), at + 2)}", rng.choice([None, "", f"k{at // 3}"]), rng.choice("pq"), f"t{at // 40}", fields,
+                    [rng.choice([None, 0, 1, 2]) for _ in fields], rng.choice([None] * 9 + ["early"]), rng.choice([None] * 9 + ["late"])))
+    assert decided(spark, ops) == plain_intake(ops)
+
+
+@pytest.mark.parametrize("order", ["up", "down", "mixed"])
+def test_connected_groups_of_long_chains(spark, order, monkeypatch):
+    from odolake.operators import groups
+
+    rounds = []
+    settle = groups.settle
+    monkeypatch.setattr(groups, "settle", lambda df: rounds.append(1) or settle(df))
+    n = 300
+    names = list(range(n)) if order == "up" else list(range(n, 0, -1)) if order == "down" else random.Random(2).sample(range(10**12), n)
+    links = [(names[i], names[i + 1]) for i in range(n - 1) if i % 100 != 99] + [(names[0], names[0]), (None, names[4]), (names[7], names[6])]
+    got = dict(collect(groups.connected(spark.createDataFrame(links, "a bigint, b bigint")), "node", "root"))
+    parts = [names[i : i + 100] for i in range(0, n, 100)]
+    assert set(got) == set(names) and all(len({got[x] for x in part}) == 1 and got[part[0]] in part for part in parts)
+    assert len({got[part[0]] for part in parts}) == 3 and len(rounds) < 45
+    assert groups.connected(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
 def test_field_revisions_are_all_or_nothing(spark):
     ops = [("k", "v", "t", 1, ["a", "b"], [0, 0]), ("k", "v", "t", 2, ["a"], [0]), ("k", "v", "t", 3, ["a"], [1]),
            ("k", "v", "t", 4, ["a", "b"], [2, 0]), ("k", "v", "t", 5, ["a", "b"], [2, 1]), ("k", "v", "u", 6, ["a"], [None])]
