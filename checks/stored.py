@@ -223,9 +223,11 @@ def _samples(t: Tables) -> DataFrame:
 
 
 def _late(rows: DataFrame) -> Column:
-    """One vehicle comes long after the others, and every fifth sample of the others after that."""
+    """Ten batches: one vehicle comes after the others, and every fifth sample of the others long after that."""
     first = F.pmod(F.xxhash64("vehicle_id"), F.lit(3)) == 0
-    return F.when(first, 1).when(F.pmod(F.xxhash64("vehicle_id", "observed_at"), F.lit(5)) == 0, 2).otherwise(0)
+    late = F.pmod(F.xxhash64("vehicle_id", "observed_at"), F.lit(5)) == 0
+    part = F.pmod(F.xxhash64("observed_at"), F.lit(3)).cast("int")
+    return F.when(first, part + 4).when(late, part + 7).otherwise(F.pmod(F.xxhash64("observed_at"), F.lit(4)).cast("int"))
 
 
 def _in_sessions(rows: DataFrame, flow, read) -> DataFrame:
@@ -280,32 +282,32 @@ on_tables(
 
 
 def _feed(t: Tables) -> DataFrame:
-    """After each batch the trips of its vehicles are published, from the outings seen so far."""
+    """After each batch what it changed about outings is published; the newest word on each trip counts."""
     spark = t.obd.sparkSession
     root = scratch(spark)
     rows = _samples(t)
-    outing = flows.outings(f"{root}/outings")
 
-    def current(batch: DataFrame) -> DataFrame:
-        seen = flows.present_outings(spark, f"{root}/outings").join(batch.select("vehicle_id").distinct(), "vehicle_id")
-        named = seen.select("vehicle_id", F.col("trip_id").alias("id"), millis("started_at").alias("lo"), millis("ended_at").alias("hi"))
+    def describe(found: DataFrame) -> DataFrame:
+        named = found.withColumn("id", F.concat_ws(":", "vehicle_id", F.col("lo").cast("string")))
         return synclog.entity_state(named, "trip", "id", "vehicle_id", ["lo", "hi"])
 
-    publish = flows.trip_feed(root, current)
+    outing, publish = flows.outings(f"{root}/outings"), flows.trip_feed(root, f"{root}/outings", describe)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         outing(batch, batch_id)
         publish(batch, batch_id)
 
     batch_by_batch(rows, _late(rows), step)
-    last = spark.read.parquet(f"{root}/feed").groupBy("entity_id").agg(F.max_by("digest", "batch").alias("digest"))
-    return last.where(F.col("digest") != synclog.TOMBSTONE)
+    feed = spark.read.parquet(f"{root}/feed")
+    newest = feed.groupBy("entity_id").agg(F.max_by(F.struct("entity_type", "vehicle_id", "digest", "data"), "batch").alias("x"))
+    return newest.select("entity_id", "x.*").where(F.col("digest") != synclog.TOMBSTONE)
 
 
 on_tables(
     "str_trip_feed",
-    "entity_id:s digest:s",
-    "SELECT concat(vehicle_id, ':', epoch_ms(started_at)) AS entity_id, sha256(CAST(to_json({lo: epoch_ms(started_at), hi: epoch_ms(ended_at)}) AS VARCHAR)) AS digest FROM trip_span",
+    "entity_type:s entity_id:s vehicle_id:s digest:s data:s",
+    "SELECT 'trip' AS entity_type, concat(vehicle_id, ':', epoch_ms(started_at)) AS entity_id, lower(vehicle_id) AS vehicle_id, sha256(data) AS digest, data FROM "
+    "(SELECT *, CAST(to_json({lo: epoch_ms(started_at), hi: epoch_ms(ended_at)}) AS VARCHAR) AS data FROM trip_span)",
     _feed,
 )
 

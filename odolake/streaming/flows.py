@@ -2,14 +2,14 @@
 
 Cars upload days late, so nothing here rests on a watermark: every batch is set against what is stored, in ``foreachBatch``
 functions. What they store is a log with a folder for each batch, so a batch that is run again after a failure writes
-the same folders again, and inside it a folder for each hash bucket, so a batch reads the buckets it touches and no others.
+the same folders again. Inside it, folders for hash buckets, and for sessions of days, keep a batch from reading more than it touches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from odolake.functions.timecols import from_millis, millis
@@ -22,7 +22,9 @@ from odolake.sources.tables import Tables, path_exists
 OUTING_BREAK_MS = 3_600_000
 LEG_BREAK_MS = 60_000
 SLICE_MS = 60_000
+DAY_MS = 86_400_000
 BUCKETS = 64
+SESSION = "vehicle_id string, lo long, hi long, n long"
 
 Batch = Callable[[DataFrame, int], None]
 
@@ -62,45 +64,114 @@ def intake(root: str) -> Batch:
     return accept
 
 
+def _session_rows(spark: SparkSession, root: str, days: list[int] | None = None) -> DataFrame | None:
+    """Versions of sessions listed under the given days (all if None): vehicle_id, lo, hi, n, day, bucket, batch."""
+    base = f"{root}/days"
+    paths = [base] if days is None else [f"{base}/day={d}" for d in days]
+    paths = [p for p in paths if path_exists(spark, p)]
+    if not paths:
+        return None
+    return spark.read.schema(f"{SESSION}, day int, bucket int, batch int").option("basePath", base).parquet(*paths)
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    last = rows.groupBy("vehicle_id", "lo").agg(F.max_by(F.struct("hi", "n"), "batch").alias("x"))
+    return last.where("x.n > 0").select("vehicle_id", "lo", "x.hi", "x.n")
+
+
+def neighbours(spark: SparkSession, root: str, batch_id: int, spans: DataFrame, break_ms: int) -> DataFrame:
+    """Stored sessions (vehicle_id, lo, hi, n) that spans (vehicle_id, lo, hi) may touch, as earlier batches left them.
+
+    A session is listed under every day it lasts, so only the days of the spans and of the break around them are read; other
+    sessions of these days and vehicles may be among them.
+    """
+    near = F.sequence(_day(F.col("lo") - break_ms), _day(F.col("hi") + break_ms))
+    reach = settle(spans.select("vehicle_id", F.explode(near).alias("day")).distinct())
+    days = [r.day for r in reach.select("day").distinct().collect()]
+    rows = _session_rows(spark, root, days)
+    if rows is None:
+        return spark.createDataFrame([], SESSION)
+    buckets = [r.bucket for r in reach.select(_bucket("vehicle_id").alias("bucket")).distinct().collect()]
+    rows = rows.where((F.col("batch") < batch_id) & F.col("bucket").isin(buckets))
+    return _newest(rows.join(reach, ["vehicle_id", "day"], "left_semi"))
+
+
 def sessions(root: str, break_ms: int) -> Batch:
     """Sessions of the samples (vehicle_id, observed_at) a stream delivers, in any order and however late.
 
-    A batch adds its minutes to the log under ``root``/minutes and compares the sessions of its vehicles before and
-    after. What changed goes to ``root``/changes: a session that got other times or samples is written again under
-    its start, one whose start moved or that was joined to another is withdrawn with samples 0. ``present`` reads the outcome. Rows
-    without vehicle or time belong to no session.
+    Stored sessions are more than the break apart, so what a batch leaves alone stays as it is: its minutes are merged
+    with the sessions near them, whose samples add up. What changed goes to ``root``/changes, with the version before, and
+    is listed under ``root``/days by every day of the session: one that got other times or samples is written again under
+    its start, one whose start moved or that was joined to another is withdrawn with samples 0. ``present`` reads the outcome,
+    ``compact`` drops what was replaced. Rows without vehicle or time belong to no session.
     """
     if break_ms < SLICE_MS:
         raise ValueError("a session must outlast a slice")
-    minute = "vehicle_id string, slice long, lo long, hi long, n long"
-
-    def found(minutes: DataFrame) -> DataFrame:
-        per = minutes.groupBy("vehicle_id", F.col("slice").alias(SLICE)).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
-        numbered = number_sessions(per, ["vehicle_id"], "lo", "hi", break_ms, "session")
-        return numbered.groupBy("vehicle_id", "session").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).drop("session")
 
     def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         timed = batch.select("vehicle_id", millis("observed_at").alias("at")).dropna()
-        added = timed.groupBy("vehicle_id", slice_of("at", SLICE_MS).alias("slice")).agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("n"))
-        added = settle(added)
-        vehicles = added.select("vehicle_id").distinct()
-        earlier = settle(_logged(batch.sparkSession, f"{root}/minutes", minute, batch_id, vehicles, "vehicle_id").drop("batch"))
-        before = found(earlier).toDF("vehicle_id", "lo", "old_hi", "old_n")
-        both = found(earlier.unionByName(added)).join(before, ["vehicle_id", "lo"], "full")
-        changed = both.where("NOT (hi <=> old_hi AND n <=> old_n)").select("vehicle_id", "lo", F.coalesce("hi", "old_hi").alias("hi"), F.coalesce("n", F.lit(0)).alias("n"))
-        _log(changed, f"{root}/changes", batch_id, "vehicle_id")
-        _log(added, f"{root}/minutes", batch_id, "vehicle_id")
+        minutes = timed.groupBy("vehicle_id", slice_of("at", SLICE_MS).alias(SLICE)).agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("n"))
+        spans = number_sessions(minutes, ["vehicle_id"], "lo", "hi", break_ms, "session").groupBy("vehicle_id", "session")
+        added = settle(spans.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).drop("session"))
+        before = settle(neighbours(spark, root, batch_id, added, break_ms))
+        # Old and new sessions of a vehicle may overlap, so the latest end so far decides.
+        along = Window.partitionBy("vehicle_id").orderBy("lo", "hi")
+        latest = F.max("hi").over(along.rowsBetween(Window.unboundedPreceding, -1))
+        marked = before.unionByName(added).withColumn("_opens", F.when(F.col("lo") - latest > break_ms, 1).otherwise(0))
+        numbered = marked.withColumn("_session", F.sum("_opens").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        after = numbered.groupBy("vehicle_id", "_session").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).drop("_session")
+        both = after.join(before.toDF("vehicle_id", "lo", "old_hi", "old_n"), ["vehicle_id", "lo"], "full")
+        changed = settle(both.where("NOT (hi <=> old_hi AND n <=> old_n)"))
+        changed.write.mode("overwrite").parquet(f"{root}/changes/batch={batch_id}")
+        version = changed.select("vehicle_id", "lo", F.coalesce("hi", "old_hi").alias("hi"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+        listed = version.withColumns({"day": F.explode(F.sequence(_day("lo"), _day("hi"))), "bucket": _bucket("vehicle_id"), "batch": F.lit(batch_id)})
+        _put(listed, f"{root}/days")
 
     return step
 
 
-def present(spark: SparkSession, root: str) -> DataFrame:
-    """vehicle_id, started_at, ended_at, samples of the sessions as the last batch left them."""
-    rows = spark.read.schema("vehicle_id string, lo long, hi long, n long, batch int, bucket int").parquet(f"{root}/changes")
-    last = rows.groupBy("vehicle_id", "lo").agg(F.max_by(F.struct("hi", "n"), "batch").alias("x"))
-    return last.where("x.n > 0").select(
-        "vehicle_id", from_millis("lo").alias("started_at"), from_millis("x.hi").alias("ended_at"), F.col("x.n").alias("samples")
-    )
+def _day(at: Column | str) -> Column:
+    return slice_of(at, DAY_MS).cast("int")
+
+
+def _put(listed: DataFrame, path: str) -> None:
+    """Write the folders of a batch, replacing those of the same day, bucket and batch only."""
+    rows = listed.repartition("day", "bucket")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "bucket", "batch").parquet(path)
+
+
+def present(spark: SparkSession, root: str, vehicles: DataFrame | None = None) -> DataFrame:
+    """vehicle_id, started_at, ended_at, samples of the sessions as the last batch left them, of the given vehicles or of all."""
+    rows = _session_rows(spark, root)
+    rows = spark.createDataFrame([], f"{SESSION}, day int, bucket int, batch int") if rows is None else rows
+    if vehicles is not None:
+        buckets = [r.bucket for r in vehicles.select(_bucket("vehicle_id").alias("bucket")).distinct().collect()]
+        rows = rows.where(F.col("bucket").isin(buckets)).join(vehicles.select("vehicle_id").distinct(), "vehicle_id", "left_semi")
+    # The day a session starts on has all of its versions.
+    found = _newest(rows.where(F.col("day") == _day("lo")))
+    return found.select("vehicle_id", from_millis("lo").alias("started_at"), from_millis("hi").alias("ended_at"), F.col("n").alias("samples"))
+
+
+def compact(spark: SparkSession, root: str, upto: int, days: list[int] | None = None) -> None:
+    """Keep only the newest version up to a batch, which must be done, of the sessions of the given days (all if None).
+
+    The newest versions, withdrawals among them, are written under that batch first, so a reader finds the same before
+    and after, and a run that breaks off may be repeated; then the folders of earlier batches go.
+    """
+    rows = _session_rows(spark, root, days)
+    if rows is None:
+        return
+    newest = rows.where(F.col("batch") <= upto).groupBy("vehicle_id", "lo", "day", "bucket").agg(F.max_by(F.struct("hi", "n"), "batch").alias("x"))
+    _put(settle(newest.select("vehicle_id", "lo", "x.hi", "x.n", "day", "bucket", F.lit(upto).alias("batch"))), f"{root}/days")
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/days/day=*/bucket=*/batch=*")
+    system = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    wanted = None if days is None else {f"day={d}" for d in days}
+    for found in system.globStatus(pattern) or ():
+        folder = found.getPath()
+        day = folder.getParent().getParent().getName()
+        if int(folder.getName().removeprefix("batch=")) < upto and (wanted is None or day in wanted):
+            system.delete(folder, True)
 
 
 def outings(root: str) -> Batch:
@@ -122,20 +193,20 @@ def alerts(t: Tables) -> DataFrame:
     return sample_events(t)
 
 
-def trip_feed(root: str, current: Callable[[DataFrame], DataFrame]) -> Batch:
-    """A ``foreachBatch`` function that publishes what changed about trips.
+def trip_feed(root: str, sessions_root: str, describe: Callable[[DataFrame], DataFrame]) -> Batch:
+    """A ``foreachBatch`` function, called after the one of ``sessions``, that publishes what a batch changed about its sessions.
 
-    ``current`` turns a batch into the present entity state (see ``entity_state``) of all trips of the batch's vehicles (column
-    vehicle_id). A trip that late data re-keys appears as a tombstone of the old id and a new row. The feed under
-    ``root``/feed is the only state: a vehicle's entities are what its buckets' latest rows say.
+    ``describe`` turns sessions (vehicle_id, lo, hi, n) into entity state (see ``entity_state``). A session that late data
+    re-keys appears as a tombstone of the old id and a new row. Both sides come from the batch's own changes, so
+    nothing that was published before is read again; the feed under ``root``/feed has a folder for each batch.
     """
-    columns = "entity_type string, entity_id string, vehicle_id string, change string, digest string, data string"
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        now = settle(current(batch))
-        vehicles = settle(batch.select(F.lower(F.col("vehicle_id").cast("string")).alias("vehicle_id")).dropna().union(now.select("vehicle_id")).distinct())
-        log = _logged(batch.sparkSession, f"{root}/feed", columns, batch_id, vehicles, "vehicle_id")
-        last = log.groupBy("entity_type", "entity_id", "vehicle_id").agg(F.max_by("digest", "batch").alias("digest"))
-        _log(settle(change_feed(last, now)), f"{root}/feed", batch_id, "vehicle_id")
+        schema = f"{SESSION}, old_hi long, old_n long"
+        changes = batch.sparkSession.read.schema(schema).parquet(f"{sessions_root}/changes/batch={batch_id}")
+        before = describe(changes.where("old_n IS NOT NULL").selectExpr("vehicle_id", "lo", "old_hi AS hi", "old_n AS n"))
+        now = describe(changes.where("n IS NOT NULL").select("vehicle_id", "lo", "hi", "n"))
+        last = before.select("entity_type", "entity_id", "vehicle_id", "digest")
+        change_feed(last, now).write.mode("overwrite").parquet(f"{root}/feed/batch={batch_id}")
 
     return publish

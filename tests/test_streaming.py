@@ -71,17 +71,76 @@ def test_a_bundle_delivered_twice_counts_once(spark, tmp_path):
 
 
 def test_late_data_rekeys_a_trip_in_the_feed(spark, tmp_path):
-    states = [[("v:100", "v", 5)], [("v:50", "v", 6)], [("v:50", "v", 6)], [("w:1", "w", 1)], []]
+    hour = 3_600_000
+    batches = [[("v", 9 * hour)], [("v", 8 * hour + 1)], [("w", 1)], [("v", 8 * hour + 1)], [("w", 0), ("w", 99 * hour)]]
 
-    def current(batch):
-        n = batch.first().n
-        return synclog.entity_state(spark.createDataFrame(states[n], "id string, veh string, x int"), "trip", "id", "veh", ["x"])
+    def describe(found):
+        return synclog.entity_state(found.selectExpr("*", "concat(vehicle_id, ':', lo) AS id"), "trip", "id", "vehicle_id", ["lo", "hi"])
 
-    publish = flows.trip_feed(str(tmp_path), current)
+    outing, publish = flows.outings(f"{tmp_path}/s"), flows.trip_feed(str(tmp_path), f"{tmp_path}/s", describe)
     for n in (0, 1, 1, 2, 3, 4):  # the second batch is run again after a failure
-        publish(spark.createDataFrame([(n, "w" if n >= 3 else "v")], "n int, vehicle_id string"), n)
+        batch = spark.createDataFrame([(v, at(m)) for v, m in batches[n]], "vehicle_id string, observed_at timestamp_ntz")
+        outing(batch, n)
+        publish(batch, n)
+    zero = int((at(0) - at(0, "1970-01-01T00:00:00")).total_seconds() * 1000)
     got = sorted(collect(spark.read.parquet(f"{tmp_path}/feed"), "batch", "entity_id", "change"))
-    assert got == [(0, "v:100", "new"), (1, "v:100", "tombstone"), (1, "v:50", "new"), (3, "w:1", "new"), (4, "w:1", "tombstone")]
+    assert got == sorted([
+        (0, f"v:{zero + 9 * hour}", "new"), (1, f"v:{zero + 9 * hour}", "tombstone"), (1, f"v:{zero + 8 * hour + 1}", "new"), (2, f"w:{zero + 1}", "new"),
+        (4, f"w:{zero + 1}", "tombstone"), (4, f"w:{zero}", "new"), (4, f"w:{zero + 99 * hour}", "new"),
+    ])
+
+
+def _stored_bytes(spark, df):
+    return sum(os.path.getsize(f.removeprefix("file://").removeprefix("file:")) for f in df.inputFiles() if "/days/" in f)
+
+
+def test_a_batch_reads_the_days_it_touches_however_old_the_log_is(spark, tmp_path, monkeypatch):
+    day, read = 86_400_000, []
+    rows_of = flows._session_rows
+
+    def watched(session, root, days=None):
+        rows = rows_of(session, root, days)
+        if days is not None:
+            read.append(0 if rows is None else _stored_bytes(spark, rows))
+        return rows
+
+    monkeypatch.setattr(flows, "_session_rows", watched)
+    step = flows.legs(str(tmp_path))
+    for n in range(12):
+        # Each day three vehicles drive, and the first sends something of the day before.
+        rows = [(f"v{k}", at(n * day + k * 600_000 + i * 20_000)) for k in range(3) for i in range(5)] + [("v0", at((n - 1) * day + 7_000_000))] * (n > 0)
+        step(spark.createDataFrame(rows, "vehicle_id string, observed_at timestamp_ntz"), n)
+    assert max(read[6:]) <= max(read[2:6]) * 1.2 and max(read) > 0
+    before = sorted(collect(flows.present(spark, str(tmp_path)), "vehicle_id", "started_at", "ended_at", "samples"))
+    assert len(before) == 36 + 11
+    some = spark.createDataFrame([("v0",)], "vehicle_id string")
+    assert sorted(collect(flows.present(spark, str(tmp_path), some), "vehicle_id", "started_at", "ended_at", "samples")) == [r for r in before if r[0] == "v0"]
+
+
+def test_compaction_leaves_the_sessions_as_they_are(spark, tmp_path):
+    rows = [(f"v{k % 3}", at((k * k * 7919) % 3_000_000 + (k % 2) * 86_390_000)) for k in range(90)]
+    schema = "vehicle_id string, observed_at timestamp_ntz"
+    one, many = flows.legs(str(tmp_path / "one")), flows.legs(str(tmp_path / "many"))
+    one(spark.createDataFrame(rows, schema), 0)
+    for n in range(6):
+        many(spark.createDataFrame(rows[n::6], schema), n)
+        if n in (2, 4):
+            for _ in range(2):
+                flows.compact(spark, str(tmp_path / "many"), n)
+    got = [sorted(collect(flows.present(spark, str(tmp_path / d)), "vehicle_id", "started_at", "ended_at", "samples")) for d in ("one", "many")]
+    assert got[0] == got[1] and len(got[0]) > 10
+    batches = {r.batch for r in spark.read.parquet(f"{tmp_path}/many/days").select("batch").distinct().collect()}
+    assert batches <= {4, 5}
+
+
+def test_a_session_over_midnight_is_found_from_either_day(spark, tmp_path):
+    day, minute = 86_400_000, 60_000
+    step = flows.outings(str(tmp_path))
+    batches = [[("v", day - 50 * minute)], [("v", day - 1), ("v", day + 40 * minute)], [("v", 2 * day + 10 * minute)], [("v", 2 * day - 20 * minute)], [("v", day + 90 * minute)]]
+    for n, rows in enumerate(batches):
+        step(spark.createDataFrame([(v, at(m)) for v, m in rows], "vehicle_id string, observed_at timestamp_ntz"), n)
+    got = sorted(collect(flows.present(spark, str(tmp_path)), "started_at", "ended_at", "samples"))
+    assert got == [(at(day - 50 * minute), at(day + 90 * minute), 4), (at(2 * day - 20 * minute), at(2 * day + 10 * minute), 2)]
 
 
 def test_sessions_take_late_vehicles_and_clocks_in_the_future(spark, tmp_path):
