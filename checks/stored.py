@@ -20,7 +20,7 @@ from odolake.schemas import SAMPLE_TABLES, TIME_COLUMN
 from odolake.session import checkpoint_dir, settle
 from odolake.sources import records, sinks
 from odolake.sources.tables import Tables, complete, scan
-from odolake.streaming import flows, stateful
+from odolake.streaming import carried, flows, stateful
 
 
 def scratch(spark: SparkSession) -> str:
@@ -28,32 +28,6 @@ def scratch(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark)}/odolake-{uuid.uuid4().hex}"
 
 
-def through_stream(rows: DataFrame, transform, files: int | None = None) -> DataFrame:
-    """Run a streaming transformation over stored rows until all are read, and give its output."""
-    spark = rows.sparkSession
-    root = scratch(spark)
-    (rows.repartition(files) if files else rows).write.parquet(f"{root}/in")
-    reader = spark.readStream.schema(rows.schema)
-    if files:
-        reader = reader.option("maxFilesPerTrigger", 1)
-    out = transform(reader.parquet(f"{root}/in"))
-    schema = out.schema
-    writer = (
-        out.writeStream.outputMode("append")
-        .format("parquet")
-        .option("checkpointLocation", f"{root}/state")
-        .trigger(availableNow=True)
-    )
-    # State is not coalesced at run time, so it gets one partition per core.
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
-    try:
-        writer.start(f"{root}/out").awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-    return spark.read.schema(schema).parquet(f"{root}/out")
-
-
 def batch_by_batch(rows: DataFrame, of_batch: Column, step) -> None:
     """Stream stored rows, one batch for each value of a column, into a foreachBatch function."""
     spark = rows.sparkSession
@@ -312,43 +286,41 @@ on_tables(
 )
 
 
-def _guard(spark: SparkSession, sf: str) -> DataFrame:
-    stateful.use_state_store(spark)
-    return through_stream(_offers(spark, sf), stateful.counter_verdicts)
+def in_ten_batches(rows: DataFrame, order: str, flow) -> DataFrame:
+    """Rows dealt into ten batches along a column, through a foreachBatch function of state per key."""
+    root = scratch(rows.sparkSession)
+    cuts = rows.select(F.percentile_approx(order, [i / 10 for i in range(1, 10)], 1000)).first()[0] or []
+    part = sum((F.coalesce(F.col(order) > F.lit(c), F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    batch_by_batch(rows, part, flow(root))
+    return carried.results(rows.sparkSession, root)
 
 
 add(
     "str_counter_guard",
     "device_id:i counter:i content_root:s arrival:i verdict:s gap:i",
     "SELECT *, CASE WHEN verdict = 'new' THEN greatest(counter - high_water - 1, 0) ELSE 0 END AS gap FROM offer_verdict",
-    _guard,
+    lambda spark, sf: in_ten_batches(_offers(spark, sf), "arrival", stateful.counter_guard),
+)
+add(
+    "str_field_revisions",
+    "arrival:i status:s revision:i",
+    "SELECT * FROM revision_walk",
+    lambda spark, sf: in_ten_batches(_updates(spark, sf), "arrival", stateful.field_revisions).withColumn("revision", F.col("revisions")[0]),
 )
-
-
-def _revisions(spark: SparkSession, sf: str) -> DataFrame:
-    stateful.use_state_store(spark)
-    out = through_stream(_updates(spark, sf), stateful.field_revisions)
-    return out.withColumn("revision", F.col("revisions")[0])
-
-
-add("str_field_revisions", "arrival:i status:s revision:i", "SELECT * FROM revision_walk", _revisions)
 
 
 def _gate(t: Tables) -> DataFrame:
-    stateful.use_state_store(t.obd.sparkSession)
     fixes = t.position.withColumn("lat", F.expr(JUMPED)).select("content_root", "seq", "mono_ms", "lat", "lon", F.lit(False).alias("is_gap"))
     gaps = t.gap.select("content_root", "seq", F.lit(True).alias("is_gap"))
-    rows = fixes.unionByName(gaps, allowMissingColumns=True)
-    return through_stream(rows, stateful.jump_gate)
+    return in_ten_batches(fixes.unionByName(gaps, allowMissingColumns=True), "seq", stateful.jump_gate)
 
 
 on_tables("str_jump_gate", "content_root:s seq:i lat:d lon:d", GATE_SQL, _gate)
 
 
 def _standby(t: Tables) -> DataFrame:
-    stateful.use_state_store(t.obd.sparkSession)
     cols = ["content_root", "seq", "mono_ms", "region", "from_state", "to_state", "trigger_event", "reason_code"]
-    return through_stream(t.transition.select(*cols), stateful.standby_windows)
+    return in_ten_batches(t.transition.select(*cols), "seq", stateful.standby_windows)
 
 
 on_tables(

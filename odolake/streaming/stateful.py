@@ -1,196 +1,144 @@
 """Per-key state over streams: counter guard, field revisions, jump gate, standby pairing.
 
-Each keeps a few values per key. Rows of a key that arrive in one batch are put in
-order first; across batches they are taken as they come.
+``foreachBatch`` functions that keep a few values per key under a folder and add their results to ``root``/out (see ``carried``).
+Rows of a key that arrive in one batch are put in order first; across batches they are taken as they come.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from odolake.functions.geo import metres
 from odolake.plans.power import AWAKE, CLOCK_WRAP, HEALTH_REGION, POWER_TRIGGER, STANDBY
+from odolake.plans.registry import counter_verdicts
 from odolake.plans.repair import JUMP_MPS, JUMP_SLACK_M, MAX_REJECTS
-from odolake.schemas import struct
+from odolake.session import settle
+from odolake.streaming.carried import Batch, KeyedStore, walked
 
-STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Comes before everything a batch brings.
+_EARLIER = -1
 
 
-def use_state_store(spark: SparkSession) -> None:
-    """State processors need a state store that keeps columns apart."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+def counter_guard(root: str) -> Batch:
+    """new / duplicate / conflict per offer (device_id, counter, content_root, arrival), and the gap a new counter leaves.
 
+    Who owns a counter is kept by device and counter, and each device's highest one; both go ahead of the batch as
+    earlier offers, and the verdicts are those of the batch view. Arrivals are not negative.
+    """
 
-def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    frames = [r for r in rows if len(r)]
-    return pd.concat(frames).sort_values(by) if frames else pd.DataFrame()
+    def step(batch: DataFrame, batch_id: int) -> None:
+        offers = settle(batch.select("device_id", "counter", "content_root", "arrival").dropna(subset=["device_id", "counter"]))
+        types = dict(offers.dtypes)
+        columns = f"device_id {types['device_id']}, counter {types['counter']}, content_root string"
+        owners = KeyedStore(f"{root}/owners", ["device_id", "counter"], columns)
+        highs = KeyedStore(f"{root}/highs", ["device_id"], columns)
+        known = owners.read(offers.select("device_id", "counter"), batch_id).unionByName(highs.read(offers.select("device_id"), batch_id)).distinct()
+        earlier = settle(known.withColumn("arrival", F.lit(_EARLIER).cast(types["arrival"])))
+        judged = counter_verdicts(offers.unionByName(earlier.select(*offers.columns))).where(F.col("arrival") > _EARLIER)
+        judged = settle(judged.select("device_id", "counter", "content_root", "arrival", "verdict", "gap"))
+        judged.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+        new = judged.where("verdict = 'new'").select("device_id", "counter", "content_root")
+        owners.write(new, batch_id)
+        top = F.max_by("content_root", "counter").alias("content_root")
+        both = new.unionByName(earlier.select(*new.columns))
+        highs.write(both.groupBy("device_id").agg(F.max("counter").alias("counter"), top).select(*new.columns), batch_id)
 
+    return step
 
-VERDICTS = struct("device_id bigint, counter bigint, content_root string, arrival bigint, verdict string, gap bigint")
 
-
-class CounterGuard(StatefulProcessor):
-    """new / duplicate / conflict per offer of a device, and the gap a new counter leaves."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", struct("counter bigint"), struct("content_root string"))
-        self.high = handle.getValueState("high", struct("counter bigint"))
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        out = []
-        stored = self.high.get()
-        high = int(stored[0]) if stored is not None else 0
-        for r in _ordered(rows, ["arrival"]).itertuples(index=False):
-            gap, counter = 0, int(r.counter)
-            if counter == 0:
-                verdict = "conflict"
-            elif self.seen.containsKey((counter,)):
-                verdict = "duplicate" if self.seen.getValue((counter,))[0] == r.content_root else "conflict"
-            else:
-                verdict, gap = "new", max(counter - high - 1, 0)
-                self.seen.updateValue((counter,), (r.content_root,))
-                high = max(high, counter)
-            out.append((r.device_id, counter, r.content_root, r.arrival, verdict, gap))
-        self.high.update((high,))
-        yield pd.DataFrame(out, columns=VERDICTS.fieldNames())
-
-    def close(self) -> None:
-        pass
-
-
-def counter_verdicts(offers: DataFrame) -> DataFrame:
-    return offers.groupBy("device_id").transformWithStateInPandas(CounterGuard(), VERDICTS, "Append", "None")
-
-
-REVISIONS = T.StructType(
-    [
-        T.StructField("arrival", T.LongType()),
-        T.StructField("status", T.StringType()),
-        T.StructField("fields", T.ArrayType(T.StringType())),
-        T.StructField("revisions", T.ArrayType(T.LongType())),
-    ]
-)
-
-
-class FieldRevisions(StatefulProcessor):
+class FieldRevisions:
     """All-or-nothing updates of a target's fields by base revision."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.current = handle.getMapState("current", struct("field string"), struct("revision bigint"))
-
-    def _revision(self, name: str) -> int:
-        return int(self.current.getValue((name,))[0]) if self.current.containsKey((name,)) else 0
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        out = []
-        for r in _ordered(rows, ["arrival"]).itertuples(index=False):
-            names = list(r.fields)
-            now = [self._revision(n) for n in names]
-            wanted = [0 if b is None or b != b else int(b) for b in r.base]
-            if now != wanted:
-                out.append((r.arrival, "conflict", names, now))
-                continue
-            for n, rev in zip(names, now, strict=True):
-                self.current.updateValue((n,), (rev + 1,))
-            out.append((r.arrival, "accepted", names, [rev + 1 for rev in now]))
-        yield pd.DataFrame(out, columns=REVISIONS.fieldNames())
-
-    def close(self) -> None:
-        pass
-
-
-def field_revisions(ops: DataFrame) -> DataFrame:
-    keyed = ops.groupBy("kind", "vehicle_id", "target")
-    return keyed.transformWithStateInPandas(FieldRevisions(), REVISIONS, "Append", "None")
-
-
-KEPT = struct("content_root string, seq bigint, mono_ms bigint, lat double, lon double")
-
-
-class JumpGate(StatefulProcessor):
-    """Fixes that can be reached from the last kept one. Gap rows come in the same stream with ``is_gap``."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", struct("seq bigint, mono_ms bigint, lat double, lon double, rejects int, gap_seq bigint"))
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        out = []
-        state = self.last.get()
-        kept = tuple(state[:4]) if state is not None and state[0] is not None else None
-        rejects = state[4] if state is not None else 0
-        gap_seq = state[5] if state is not None and state[5] is not None else -1
-        frame = _ordered(rows, ["seq", "is_gap"])
-        waiting_gap = -1
-        for r in frame.itertuples(index=False):
-            if r.is_gap:
-                waiting_gap = int(r.seq)  # counts for fixes after it, not for one at the same place
-                continue
-            if 0 <= waiting_gap < r.seq:
-                gap_seq, waiting_gap = waiting_gap, -1
-            if pd.isna(r.lat) or pd.isna(r.lon):
-                # Without a place it is far from nothing, and no measure for others.
-                out.append((r.content_root, int(r.seq), r.mono_ms, r.lat, r.lon))
-                continue
-            if kept is not None:
-                took = max((r.mono_ms - kept[1]) / 1000.0, 1.0)
-                far = metres(kept[2], kept[3], r.lat, r.lon) > JUMP_SLACK_M + JUMP_MPS * took
-                if far and not gap_seq > kept[0] and rejects < MAX_REJECTS:
-                    rejects += 1
-                    continue
-            kept, rejects = (int(r.seq), int(r.mono_ms), float(r.lat), float(r.lon)), 0
-            out.append((r.content_root, *kept))
-        gap_seq = max(gap_seq, waiting_gap)
-        self.last.update((*(kept or (None,) * 4), int(rejects), int(gap_seq)))
-        yield pd.DataFrame(out, columns=KEPT.fieldNames())
-
-    def close(self) -> None:
-        pass
-
-
-def jump_gate(fixes_and_gaps: DataFrame) -> DataFrame:
-    return fixes_and_gaps.groupBy("content_root").transformWithStateInPandas(JumpGate(), KEPT, "Append", "None")
-
-
-WINDOWS = struct("content_root string, enter_ms bigint, exit_ms bigint, duration_ms bigint, wake_reason int, unmatched boolean")
-
-
-class StandbyPairs(StatefulProcessor):
+    def __init__(self, stored: dict | None):
+        self.current: dict[str, int] = stored or {}
+
+    def take(self, row: dict) -> Iterator[tuple]:
+        names = row["fields"] or []
+        now = [self.current.get(n, 0) for n in names]
+        if now != [b or 0 for b in row["base"] or []]:
+            yield row["arrival"], "conflict", names, now
+            return
+        after = [rev + 1 for rev in now]
+        self.current.update(zip(names, after, strict=True))
+        yield row["arrival"], "accepted", names, after
+
+    def state(self) -> dict:
+        return self.current
+
+
+def field_revisions(root: str) -> Batch:
+    """Updates (kind, vehicle_id, target, arrival, fields, base): arrival, status, fields, revisions."""
+    return walked(root, ["kind", "vehicle_id", "target"], ["arrival"], FieldRevisions, "arrival long, status string, fields array<string>, revisions array<long>")
+
+
+class JumpGate:
+    """Fixes that can be reached from the last kept one. Gap rows come in the same stream with ``is_gap``.
+
+    A fix without coordinates passes and is no measure for others.
+    """
+
+    def __init__(self, stored: dict | None):
+        stored = stored or {}
+        self.kept = tuple(stored["kept"]) if stored.get("kept") else None
+        self.rejects, self.gap = stored.get("rejects", 0), stored.get("gap", -1)
+        # A gap counts for the fixes after it, not for one at the same place.
+        self.waiting = stored.get("waiting", -1)
+
+    def take(self, row: dict) -> Iterator[tuple]:
+        seq = row["seq"]
+        if row["is_gap"]:
+            self.waiting = seq
+            return
+        if 0 <= self.waiting < seq:
+            self.gap, self.waiting = self.waiting, -1
+        place = row["mono_ms"], row["lat"], row["lon"]
+        if row["lat"] is None or row["lon"] is None:
+            yield row["content_root"], seq, *place
+            return
+        if self.kept is not None:
+            last, ms, lat, lon = self.kept
+            far = metres(lat, lon, row["lat"], row["lon"]) > JUMP_SLACK_M + JUMP_MPS * max((row["mono_ms"] - ms) / 1000.0, 1.0)
+            if far and not self.gap > last and self.rejects < MAX_REJECTS:
+                self.rejects += 1
+                return
+        self.kept, self.rejects = (seq, *place), 0
+        yield row["content_root"], seq, *place
+
+    def state(self) -> dict:
+        return {"kept": self.kept, "rejects": self.rejects, "gap": self.gap, "waiting": self.waiting}
+
+
+def jump_gate(root: str) -> Batch:
+    """Fixes and gaps (content_root, seq, mono_ms, lat, lon, is_gap): the fixes that are kept."""
+    return walked(root, ["content_root"], ["seq", "is_gap"], JumpGate, "content_root string, seq long, mono_ms long, lat double, lon double")
+
+
+class StandbyPairs:
     """Standby windows as they close; an entry that is followed by another one closes unmatched."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", struct("enter_ms bigint"))
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        out = []
-        stored = self.open.get()
-        entered = int(stored[0]) if stored is not None else None
-        for r in _ordered(rows, ["seq"]).itertuples(index=False):
-            if r.region != HEALTH_REGION or r.trigger_event != POWER_TRIGGER:
-                continue
-            if (r.from_state, r.to_state) == (AWAKE, STANDBY):
-                if entered is not None:
-                    out.append((key[0], entered, None, 0, None, True))
-                entered = int(r.mono_ms)
-            elif (r.from_state, r.to_state) == (STANDBY, AWAKE) and entered is not None:
-                took = (int(r.mono_ms) - entered) % CLOCK_WRAP
-                out.append((key[0], entered, int(r.mono_ms), took, int(r.reason_code), False))
-                entered = None
-        if entered is None:
-            self.open.clear()
-        else:
-            self.open.update((entered,))
-        frame = pd.DataFrame(out, columns=WINDOWS.fieldNames())
-        yield frame.astype({"exit_ms": "Int64", "wake_reason": "Int32"})
-
-    def close(self) -> None:
-        pass
-
-
-def standby_windows(transitions: DataFrame) -> DataFrame:
-    return transitions.groupBy("content_root").transformWithStateInPandas(StandbyPairs(), WINDOWS, "Append", "None")
+    def __init__(self, stored: dict | None):
+        self.entered = (stored or {}).get("entered")
+
+    def take(self, row: dict) -> Iterator[tuple]:
+        if row["region"] != HEALTH_REGION or row["trigger_event"] != POWER_TRIGGER:
+            return
+        step, at = (row["from_state"], row["to_state"]), row["mono_ms"]
+        if step == (AWAKE, STANDBY):
+            if self.entered is not None:
+                yield row["content_root"], self.entered, None, 0, None, True
+            self.entered = at
+        elif step == (STANDBY, AWAKE) and self.entered is not None:
+            yield row["content_root"], self.entered, at, (at - self.entered) % CLOCK_WRAP, row["reason_code"], False
+            self.entered = None
+
+    def state(self) -> dict:
+        return {"entered": self.entered}
+
+
+def standby_windows(root: str) -> Batch:
+    """Transitions of bundles: content_root, enter_ms, exit_ms, duration_ms, wake_reason, unmatched."""
+    given = "content_root string, enter_ms long, exit_ms long, duration_ms long, wake_reason int, unmatched boolean"
+    return walked(root, ["content_root"], ["seq"], StandbyPairs, given)

@@ -5,57 +5,84 @@ from __future__ import annotations
 import contextlib
 import os
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from odolake.plans import power, repair, synclog
-from odolake.streaming import flows, stateful
+from odolake.plans import power, registry, repair, synclog
+from odolake.streaming import carried, flows, stateful
 from tests.conftest import at, collect, row
 
 
-def run(spark, batches, transform, folder):
-    """Feed the frames one batch after the other and return everything that came out."""
-    source = f"{folder}/in"
+def fed(spark, batches, flow, folder):
+    """Feed the frames one batch after the other, each of them twice as after a failure, and return everything that came out."""
+    step = flow(str(folder))
     for n, df in enumerate(batches):
-        part = f"{folder}/part{n}"
-        df.coalesce(1).write.parquet(part)
-        os.makedirs(source, exist_ok=True)
-        (name,) = [f for f in os.listdir(part) if f.endswith(".parquet")]
-        os.link(f"{part}/{name}", f"{source}/{n}.parquet")
-        os.utime(f"{source}/{n}.parquet", (1_000_000_000 + n, 1_000_000_000 + n))
-    stream = spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1).parquet(source)
-    out = transform(stream)
-    query = (
-        out.writeStream.format("parquet")
-        .option("checkpointLocation", f"{folder}/state")
-        .trigger(availableNow=True)
-        .start(f"{folder}/out")
-    )
-    query.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+        for _ in range(2):
+            step(df, n)
+    return carried.results(spark, str(folder))
 
 
 def test_standby_and_gate_keep_their_state_between_batches(spark, make, tmp_path):
-    stateful.use_state_store(spark)
-
     def step(ms, seq, enter):
         return row(ms=ms, seq=seq, root="r", region=4, trigger_event=4, from_state=0 if enter else 1, to_state=1 if enter else 0, reason_code=1)
 
     t = make(transition=[step(1000, 1, True), step(2000, 2, True), step(9000, 3, False), step(9500, 4, True)])
     halves = [t.transition.where("seq <= 2"), t.transition.where("seq > 2")]
-    got = collect(run(spark, halves, stateful.standby_windows, str(tmp_path / "a")), "enter_ms", "exit_ms", "unmatched")
+    got = collect(fed(spark, halves, stateful.standby_windows, tmp_path / "a"), "enter_ms", "exit_ms", "unmatched")
     closed = power.power_windows(t).where("enter_ms < 9500")
     assert sorted(got, key=repr) == sorted(collect(closed, "enter_ms", "exit_ms", "unmatched"), key=repr)
 
-    fixes = [row(ms=1000 * i, seq=i, root="r", lat=34.0 + (0.1 if 3 <= i < 12 and i != 7 else 0), lon=-118.0) for i in range(20)]
+    fixes = [row(ms=1000 * i, seq=i, root="r", lat=None if i == 6 else 34.0 + (0.1 if 3 <= i < 12 and i != 7 else 0), lon=-118.0) for i in range(20)]
     t = make(position=fixes, gap=[{"vehicle_id": "v", "content_root": "r", "boot_id": "A", "seq": 15}])
     rows = t.position.select("content_root", "seq", "mono_ms", "lat", "lon", F.lit(False).alias("is_gap")).unionByName(
         t.gap.select("content_root", "seq", F.lit(True).alias("is_gap")), allowMissingColumns=True
     )
     parts = [rows.where("seq < 5"), rows.where("seq BETWEEN 5 AND 9"), rows.where("seq > 9")]
-    got = sorted(collect(run(spark, parts, stateful.jump_gate, str(tmp_path / "b")), "seq"))
+    got = sorted(collect(fed(spark, parts, stateful.jump_gate, tmp_path / "b"), "seq"))
     assert got == sorted(collect(repair.jump_gate(t.position, t.gap), "seq"))
 
 
+def test_counters_and_revisions_go_on_from_the_last_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(carried, "TOGETHER", 3)
+    offers = [("d", 1, "a"), ("d", 2, "b"), ("d", 9, "c"), ("e", 4, "a"), ("d", 2, "b"), ("d", 2, "x"), ("d", 5, "y"), ("e", 0, "z"), ("d", 12, "q"), ("e", 4, "a"), (None, 3, "n")]
+    frame = spark.createDataFrame([(*o, i) for i, o in enumerate(offers)], "device_id string, counter bigint, content_root string, arrival bigint")
+    whole = sorted(collect(registry.counter_verdicts(frame.where("device_id IS NOT NULL")), "arrival", "verdict", "gap"))
+    parts = [frame.where(F.col("arrival").between(2 * n, 2 * n + 1)) for n in range(6)]
+    assert sorted(collect(fed(spark, parts, stateful.counter_guard, tmp_path / "c"), "arrival", "verdict", "gap")) == whole
+    assert os.path.exists(tmp_path / "c" / "owners" / "whole=3") and len(whole) == 10
+
+    ops = [("k", "v", f"t{i % 3}", i, ["a", "b"] if i % 4 == 0 else ["a"], [i // 3] * (2 if i % 4 == 0 else 1)) for i in range(40)]
+    schema = "kind string, vehicle_id string, target string, arrival bigint, fields array<string>, base array<bigint>"
+    frame = spark.createDataFrame(ops, schema)
+    whole = sorted(collect(synclog.field_revisions(frame), "arrival", "status", "revisions"))
+    parts = [frame.where(F.col("arrival").between(8 * n, 8 * n + 7)) for n in range(5)]
+    assert sorted(collect(fed(spark, parts, stateful.field_revisions, tmp_path / "r"), "arrival", "status", "revisions")) == whole
+
+
+def test_a_key_of_a_million_rows_is_read_as_a_stream(spark, tmp_path):
+    n = 1_000_000
+    place = F.lit(34.0) + F.col("id") * 1e-6 + F.when(F.col("id") % 100 == 50, 1.0).otherwise(0.0)
+    rows = spark.range(n).select(
+        F.lit("r").alias("content_root"), F.col("id").alias("seq"), (F.col("id") * 1000).alias("mono_ms"), place.alias("lat"), F.lit(-118.0).alias("lon"), F.lit(False).alias("is_gap")
+    )
+    stateful.jump_gate(str(tmp_path))(rows, 0)
+    stateful.jump_gate(str(tmp_path))(rows.limit(1).select("content_root", F.lit(n).cast("long").alias("seq"), F.lit(n * 1000).cast("long").alias("mono_ms"), F.lit(40.0).alias("lat"), "lon", "is_gap"), 1)
+    got = carried.results(spark, str(tmp_path))
+    assert got.count() == n - n // 100 and got.where("seq % 100 = 50 OR batch = 1").count() == 0
+    # One row at a time: rows are taken from an iterator, and a batch is handed on before the next is read.
+    seen = []
+    types = spark.createDataFrame([], "content_root string, seq long, mono_ms long, lat double, lon double, _k0 string, _state string").schema
+    walk = carried._stream(["content_root"], stateful.JumpGate, types.names[:5], types)
+    piece = pa.RecordBatch.from_pylist([{"content_root": "r", "seq": 1, "mono_ms": 1, "lat": 1.0, "lon": 1.0, "is_gap": False, "_turn": 1, "_state": None}])
+
+    def source():
+        for i in range(3):
+            seen.append(i)
+            yield piece
+
+    assert [(len(seen), b.num_rows) for b in walk(source())] == [(1, 1), (2, 1), (3, 1), (3, 1)]
+
+
 def test_a_bundle_delivered_twice_counts_once(spark, tmp_path):
     def batch(*roots):
         return spark.createDataFrame([(r, at(ms)) for r, ms in roots], "content_root string, received_at timestamp_ntz")
