@@ -299,7 +299,7 @@ SHARED["digests"] = (
     + ", ".join(f"sum(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS UBIGINT)) AS s{i}" for i in range(4))
     + " FROM ("
     + " UNION ALL ".join(
-        f"SELECT content_root, sha256(concat_ws('|', '{n}', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in cols) + f")) AS h FROM {n}"
+        f"SELECT content_root, sha256('{n}' || " + " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in cols) + f") AS h FROM {n}"
         for n, cols in HASHED.items()
     )
     + ") GROUP BY content_root)",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from functools import reduce
 
@@ -18,7 +19,7 @@ from odolake.functions.timecols import millis
 from odolake.plans import catalog, ledger, synclog, trips
 from odolake.schemas import SAMPLE_TABLES, TIME_COLUMN
 from odolake.session import checkpoint_dir, settle
-from odolake.sources import records, sinks
+from odolake.sources import dimensions, records, sinks
 from odolake.sources.tables import Tables, complete, scan
 from odolake.streaming import carried, flows, stateful
 
@@ -171,6 +172,69 @@ add(
     lambda spark, sf: records.bad_lines(_ledger_files(spark, sf)),
 )
 
+AUDIT_TODAY, AUDIT_DAYS = dt.date(2024, 1, 28), 21
+
+
+def _audit_files(spark: SparkSession, sf: str) -> str:
+    """A file of request records for every day of the events."""
+    root = scratch(spark)
+    rows = testbed.read(spark, sf, "events").select(
+        F.to_date("ts").alias("day"),
+        F.to_json(
+            F.struct(
+                F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"), F.lit("user").alias("actor_type"),
+                F.col("user_id").cast("string").alias("actor_id"), F.concat(F.lit("/v1/"), "event_type").alias("route"),
+                (F.col("event_id") % 5 * 100 + 100).cast("int").alias("status"), F.lit(1).alias("no_such_field"),
+            )
+        ).alias("value"),
+    )
+    rows = settle(rows.where("day IS NOT NULL"))
+    for r in rows.select("day").distinct().collect():
+        rows.where(F.col("day") == r.day).select("value").write.text(f"{root}/{r.day}.jsonl")
+    return root
+
+
+add(
+    "src_audit_days",
+    "ts:t actor_id:s route:s status:i device_id:s",
+    f"SELECT ts, CAST(user_id AS VARCHAR) AS actor_id, '/v1/' || event_type AS route, event_id % 5 * 100 + 100 AS status, NULL AS device_id FROM events "
+    f"WHERE CAST(ts AS DATE) <= DATE '{AUDIT_TODAY}' AND CAST(ts AS DATE) > DATE '{AUDIT_TODAY}' - {AUDIT_DAYS}",
+    lambda spark, sf: records.read_audit(spark, _audit_files(spark, sf), AUDIT_DAYS, AUDIT_TODAY),
+)
+
+
+def _registry_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Registry documents, one for each nation's customers, with their orders as tunes; read back as vehicles."""
+    root = scratch(spark)
+    customers, orders = (testbed.read(spark, sf, n) for n in ("customer", "orders"))
+    note = F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("note")
+    tune = F.struct(F.concat(F.lit("t"), "o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("at"), note)
+    tunes = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list(tune).alias("tunes"))
+    vehicle = F.struct(
+        F.concat(F.lit("V"), "c_custkey").alias("id"), F.col("c_name").alias("display_name"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("engine_code"),
+        F.when(F.col("c_custkey") % 7 == 0, "2024-01-01").alias("archived_at"), F.col("tunes"),
+    )
+    documents = customers.join(tunes, "c_custkey", "left").groupBy("c_nationkey").agg(F.collect_list(vehicle).alias("vehicles"))
+    whole = documents.select("c_nationkey", F.to_json(F.struct("vehicles")).alias("value"))
+    whole.repartition("c_nationkey").write.partitionBy("c_nationkey").text(root)
+    return dimensions.read_registry(spark, root)
+
+
+add(
+    "src_registry",
+    "vehicle_id:s display_name:s engine_code:s archived:b",
+    "SELECT concat('v', c_custkey) AS vehicle_id, c_name AS display_name, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment ELSE '' END AS engine_code, "
+    "c_custkey % 7 = 0 AS archived FROM customer",
+    _registry_files,
+)
+add(
+    "src_tune_records",
+    "vehicle_id:s tune_id:s tuned_at:t note:s",
+    "SELECT concat('v', o_custkey) AS vehicle_id, concat('t', o_orderkey) AS tune_id, date_trunc('day', o_orderdate) AS tuned_at, "
+    "CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority ELSE '' END AS note FROM orders SEMI JOIN customer ON c_custkey = o_custkey",
+    lambda spark, sf: dimensions.tune_rows(_registry_files(spark, sf)),
+)
+
 # --- streams ----------------------------------------------------------------------------------
 
 

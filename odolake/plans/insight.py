@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from odolake.functions.flags import BOOT
 from odolake.functions.sentences import fill, shown, template_rows
+from odolake.operators.asof import Side, asof
 from odolake.operators.medians import medians
 from odolake.plans.engine import v_pulls
 from odolake.plans.summaries import v_boot_start
@@ -19,6 +20,8 @@ from odolake.sources.tables import Tables
 CORE_METRICS = ("boost_psi", "lambda", "ltft_pct", "stft_pct")
 FEW_READINGS = 20
 RECENT_DAYS = 14
+#: Width in microseconds of the slices in which samples and tunes are matched: thirty days.
+TUNE_SLICE = 30 * 86_400_000_000
 
 
 def v_metric_samples(t: Tables, extra_arms: Sequence[DataFrame] = ()) -> DataFrame:
@@ -59,20 +62,25 @@ def v_metric_samples(t: Tables, extra_arms: Sequence[DataFrame] = ()) -> DataFra
 
 
 def v_tune_effect(t: Tables, samples: DataFrame | None = None, metrics: Sequence[str] = CORE_METRICS) -> DataFrame:
-    """Medians under the previous tune and under this one; every tune has a row per metric."""
+    """Medians under the previous tune and under this one; every tune has a row per metric.
+
+    A car's tunes are a step function of time: a sample falls on one step, which is after the tune that began it and before the
+    tune that ends it. So an as-of match sends each sample to two tunes at most, however many the car had.
+    """
     samples = settle(v_metric_samples(t)) if samples is None else samples
-    along = Window.partitionBy("vehicle_id").orderBy("tuned_at", "tune_id")
-    since, until = F.lit("1970-01-01").cast("timestamp_ntz"), F.lit("9999-12-31").cast("timestamp_ntz")
-    tunes = t.tune.select(
-        "vehicle_id",
-        "tune_id",
-        "tuned_at",
-        F.coalesce(F.lag("tuned_at").over(along), since).alias("window_from"),
-        F.coalesce(F.lead("tuned_at").over(along), until).alias("window_to"),
+    tunes = t.tune.where("vehicle_id IS NOT NULL").select("vehicle_id", "tune_id", "tuned_at")
+    # Of tunes at the same instant the first ends the step before, the last begins the one after.
+    at = F.unix_micros(F.col("tuned_at").cast("timestamp"))
+    steps = settle(tunes.groupBy("vehicle_id", at.alias("_at")).agg(F.min("tune_id").alias("first"), F.max("tune_id").alias("last")))
+    steps = steps.withColumn("seq", F.lit(0).cast("long"))
+    placed = samples.where("vehicle_id IS NOT NULL").withColumn("_at", F.unix_micros(F.col("started_at").cast("timestamp")))
+    ends = steps.withColumn("_at", F.col("_at") - 1)  # a sample at the very instant of a tune is after it
+    sides = [Side("began", steps, ["last"]), Side("ends", ends, ["first"], forward=True)]
+    stepped = asof(placed.where("_at IS NOT NULL"), sides, ["vehicle_id"], on="_at", width=TUNE_SLICE)
+    of = F.array(
+        F.struct(F.col("began.last").alias("tune_id"), F.lit("after").alias("side")), F.struct(F.col("ends.first").alias("tune_id"), F.lit("before").alias("side"))
     )
-    at = F.col("started_at")
-    seen = samples.join(tunes, "vehicle_id").where((at >= F.col("window_from")) & (at < F.col("window_to")))
-    sided = seen.withColumn("side", F.when(at >= F.col("tuned_at"), "after").otherwise("before"))
+    sided = stepped.withColumn("_of", F.explode(of)).select("vehicle_id", "metric", "value", "_of.*").where("tune_id IS NOT NULL")
     key = ["vehicle_id", "tune_id", "metric"]
     found = _two_sided(sided, key, ("before", "after"))
     listed = tunes.select("vehicle_id", "tune_id", F.explode(F.array(*[F.lit(m) for m in metrics])).alias("metric"))

@@ -4,18 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from odolake.operators.slices import neighbour, running
 
 SLICE_ROWS = 65_536
 
 
+def folded(rows: DataFrame, *ids: str) -> DataFrame:
+    """Ids are compared without regard to case; those that are text are taken in lower case."""
+    text = [f.name for f in rows.schema if f.name in ids and f.dataType == T.StringType()]
+    return rows.withColumns({c: F.lower(c) for c in text}) if text else rows
+
+
 def counter_verdicts(offers: DataFrame, arrival: str = "arrival") -> DataFrame:
     """new / duplicate / conflict per offer (device_id, counter, content_root) in arrival order.
 
     The first content offered under a counter owns it. A new counter past the
-    device's high-water mark leaves a gap of the counters in between.
+    device's high-water mark leaves a gap of the counters in between. Devices and contents are taken in lower case.
     """
+    offers = folded(offers, "device_id", "content_root")
     key = ["device_id", "counter"]
     valid = offers.where("counter > 0")
     owner = valid.groupBy(*key).agg(F.min(F.struct(F.col(arrival).alias("n"), "content_root")).alias("own"))
@@ -57,8 +65,10 @@ def assignment_verdicts(offers: DataFrame, assignments: DataFrame, vehicles: Dat
     """Why a bundle's assignment is refused, or ``ok``: unknown, mismatch, archived, superseded, in that order.
 
     ``assignments``: assignment_id, device_id, vehicle_id, seq, is_open, first_counter.
-    A later assignment of the device supersedes a closed one from its first counter on.
+    A later assignment of the device supersedes a closed one from its first counter on. Ids are taken in lower case.
     """
+    ids = ("assignment_id", "device_id", "vehicle_id")
+    offers, assignments, vehicles = (folded(rows, *ids) for rows in (offers, assignments, vehicles))
     later = Window.partitionBy("device_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
     taken = F.min(F.when(F.col("first_counter") != 0, F.col("first_counter"))).over(later)
     claims = assignments.select(

@@ -421,11 +421,13 @@ def bundle_digests(t: Mapping[str, DataFrame], columns: Mapping[str, Sequence[st
     """A digest of each bundle's rows that does not depend on their order.
 
     Every row is hashed; pieces of the hashes are summed, which partial aggregation
-    can do anywhere, and the sums are hashed. Nothing is sorted or collected.
+    can do anywhere, and the sums are hashed. Nothing is sorted or collected. A value goes in with its length
+    in front, a missing one as ``-``, so no two rows have the same text.
     """
     parts = []
     for name, cols in columns.items():
-        text = F.concat_ws("|", F.lit(name), *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in cols])
+        values = [F.col(c).cast("string") for c in cols]
+        text = F.concat(F.lit(name), *[F.coalesce(F.concat(F.char_length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in values])
         parts.append(t[name].select("content_root", F.sha2(text, 256).alias("h")))
     pieces = [
         F.sum(F.conv(F.substring("h", 1 + i * DIGEST_DIGITS, DIGEST_DIGITS), 16, 10).cast("decimal(38,0)")).alias(f"s{i}")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from odolake.session import settle
 from odolake.sources.tables import path_exists
 
-BUCKETS = 64
+BUCKETS = 32
 #: After so many batches the newest rows of all keys are written together, so that a batch reads no more than that many.
 TOGETHER = 16
 
@@ -36,20 +36,22 @@ class KeyedStore:
 
     def _rows(self, spark: SparkSession, batch_id: int) -> DataFrame:
         """Everything that earlier batches left, from the last time it was written together on."""
-        start, folders = 0, []
-        for whole in range(batch_id // TOGETHER * TOGETHER, 0, -TOGETHER):
-            if path_exists(spark, f"{self.path}/whole={whole}/_SUCCESS"):
-                start, folders = whole, [(f"{self.path}/whole={whole}", -1)]
-                break
-        folders += [(f"{self.path}/batch={n}", n) for n in range(start, batch_id) if path_exists(spark, f"{self.path}/batch={n}")]
-        empty = spark.createDataFrame([], f"{self.schema}, bucket int, _batch int")
-        for folder, n in folders:
-            empty = empty.unionByName(spark.read.schema(f"{self.schema}, bucket int").parquet(folder).withColumn("_batch", F.lit(n)))
-        return empty
+        wholes = [n for n in range(batch_id // TOGETHER * TOGETHER, 0, -TOGETHER) if path_exists(spark, f"{self.path}/whole/batch={n}/_SUCCESS")][:1]
+        start = wholes[0] if wholes else 0
+        parts = [n for n in range(start, batch_id) if path_exists(spark, f"{self.path}/part/batch={n}")]
+        rows = spark.createDataFrame([], f"{self.schema}, batch int, bucket int")
+        for kind, found in (("whole", wholes), ("part", parts)):
+            if found:
+                base = f"{self.path}/{kind}"
+                reader = spark.read.schema(f"{self.schema}, batch int, bucket int").option("basePath", base)
+                # What was written together comes before the batches since.
+                order = F.col("batch") - (1 if kind == "whole" else 0)
+                rows = rows.unionByName(reader.parquet(*[f"{base}/batch={n}" for n in found]).withColumn("batch", order))
+        return rows
 
     def _newest(self, rows: DataFrame) -> DataFrame:
-        others = [f.name for f in rows.schema if f.name not in (*self.key, "bucket", "_batch")]
-        return rows.groupBy(*self.key).agg(F.max_by(F.struct(*others), "_batch").alias("_x")).select(*self.key, "_x.*")
+        others = [f.name for f in rows.schema if f.name not in (*self.key, "bucket", "batch")]
+        return rows.groupBy(*self.key).agg(F.max_by(F.struct(*others), "batch").alias("_x")).select(*self.key, "_x.*")
 
     def read(self, keys: DataFrame, batch_id: int) -> DataFrame:
         """The rows of the given keys as the batches before this one left them; only the keys' buckets are read. Keys aren't NULL."""
@@ -58,9 +60,9 @@ class KeyedStore:
         return self._newest(rows.join(keys.select(*self.key).distinct(), self.key, "left_semi"))
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
-        self._put(rows, f"{self.path}/batch={batch_id}")
+        self._put(rows, f"{self.path}/part/batch={batch_id}")
         if (batch_id + 1) % TOGETHER == 0:
-            self._put(self._newest(self._rows(rows.sparkSession, batch_id + 1)), f"{self.path}/whole={batch_id + 1}")
+            self._put(self._newest(self._rows(rows.sparkSession, batch_id + 1)), f"{self.path}/whole/batch={batch_id + 1}")
 
     def _put(self, rows: DataFrame, folder: str) -> None:
         rows.withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)

@@ -180,6 +180,15 @@ def test_chain_stops_at_the_first_break(spark):
     assert got == {"good": (5, 0, "eof"), "cut": (3, 2, "chain_break"), "skip": (3, 2, "seq_gap")}
 
 
+def test_digest_tells_values_apart_that_look_alike(spark):
+    def digest(*values):
+        rows = spark.createDataFrame([("r", *values)], "content_root string, a string, b string")
+        return collect(repair.bundle_digests({"t": rows}, {"t": ["a", "b"]}), "output_digest")[0]
+
+    alike = [("a|b", "c"), ("a", "b|c"), ("~", None), (None, "~"), ("-", None), ("", None), (None, ""), ("1:a", ""), ("", "1:a"), ("0:", "a"), ("a", "0:"), (None, None)]
+    assert len({digest(*v) for v in alike}) == len(alike)
+
+
 def test_digest_ignores_order_and_sees_any_change(make):
     rows = [row(ms=i, root="r", rpm=i) for i in range(50)]
     cols = {"obd": ["seq", "rpm"]}

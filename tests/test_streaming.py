@@ -49,7 +49,7 @@ def test_counters_and_revisions_go_on_from_the_last_batch(spark, tmp_path, monke
     whole = sorted(collect(registry.counter_verdicts(frame.where("device_id IS NOT NULL")), "arrival", "verdict", "gap"))
     parts = [frame.where(F.col("arrival").between(2 * n, 2 * n + 1)) for n in range(6)]
     assert sorted(collect(fed(spark, parts, stateful.counter_guard, tmp_path / "c"), "arrival", "verdict", "gap")) == whole
-    assert os.path.exists(tmp_path / "c" / "owners" / "whole=3") and len(whole) == 10
+    assert os.path.exists(tmp_path / "c" / "owners" / "whole" / "batch=3") and len(whole) == 10
 
     ops = [("k", "v", f"t{i % 3}", i, ["a", "b"] if i % 4 == 0 else ["a"], [i // 3] * (2 if i % 4 == 0 else 1)) for i in range(40)]
     schema = "kind string, vehicle_id string, target string, arrival bigint, fields array<string>, base array<bigint>"
