@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from checks import bundles, insight, operators, records, repairs, stored, trips, views  # noqa: F401
+from checks import bundles, insight, loads, operators, records, repairs, stored, trips, views  # noqa: F401
