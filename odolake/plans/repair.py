@@ -459,8 +459,13 @@ def changed_between_versions(runs: DataFrame, old_version: int, new_version: int
     return reproducibility(a, b).where("verdict = 'changed'").drop("verdict")
 
 
-def repaired(t: Tables, corrections: Sequence[Correction] = ()) -> Tables:
-    """All repairs in their order: corrections, mixed boots, speed sentinel, undated bundles."""
+def repaired(t: Tables, corrections: Sequence[Correction] = (), gate: bool = False) -> Tables:
+    """All repairs in their order: jump gate, corrections, mixed boots, speed sentinel, undated bundles.
+
+    The gate is for positions that didn't pass it yet (what ``load`` stores did): it may refuse more when it is run again.
+    """
+    if gate:
+        t = t.replace(position=settle(jump_gate(t.position, t.gap)))
     if corrections:
         t = apply_corrections(t, corrections)
     t = file_mixed_boots(t)

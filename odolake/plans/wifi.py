@@ -38,28 +38,26 @@ def v_wifi_ap_learned(t: Tables, trusted: DataFrame | None = None) -> DataFrame:
     side = Side("f", fixes, ["lat", "lon", "speed_mps"], within=BESIDE_FIX_MS)
     placed = asof(heard, [side], BOOT).where(F.col("f").isNotNull() & (F.coalesce("f.speed_mps", F.lit(0.0)) < SLOW_MPS))
     placed = placed.select(*PLACE, "rssi_dbm", "observed_at", "f.lat", "f.lon", signal_weight(F.col("rssi_dbm")).alias("w"))
-    centre = (
-        placed.groupBy(*PLACE)
-        .agg(
-            (F.sum(F.col("lat") * F.col("w")) / F.sum("w")).alias("c_lat"),
-            (F.sum(F.col("lon") * F.col("w")) / F.sum("w")).alias("c_lon"),
-            F.count(F.lit(1)).alias("observations"),
-            F.max("rssi_dbm").alias("max_rssi_dbm"),
-            F.min("observed_at").alias("first_seen"),
-            F.max("observed_at").alias("last_seen"),
-        )
-        .where(F.col("observations") >= MIN_SIGHTINGS)
-    )
-    north = (F.col("lat") - F.col("c_lat")) * METRES_PER_DEGREE
-    east = (F.col("lon") - F.col("c_lon")) * METRES_PER_DEGREE * F.cos(F.radians("c_lat"))
-    spread = (
-        placed.select(*PLACE, "lat", "lon")
-        .join(centre.select(*PLACE, "c_lat", "c_lon"), PLACE)
-        .groupBy(*PLACE)
-        .agg(F.sqrt(F.avg(north * north + east * east)).alias("spread_m"))
-        .where(F.col("spread_m") <= MAX_SPREAD_M)
-    )
-    return centre.join(spread, PLACE).select(
+    return places(placed)
+
+
+def places(placed: DataFrame) -> DataFrame:
+    """Centre and spread of each place from its sightings (lat, lon, w, rssi_dbm, observed_at) in one aggregation.
+
+    The mean square distance from the weighted centre is the variance plus the square of what lies between the plain mean
+    and that centre, so sums, means and central moments, all of which merge, are enough and no sighting is met twice.
+    """
+    w = F.sum("w")
+    moments = placed.groupBy(*PLACE).agg(
+        (F.sum(F.col("lat") * F.col("w")) / w).alias("c_lat"), (F.sum(F.col("lon") * F.col("w")) / w).alias("c_lon"),
+        *[f(c).alias(f"{n}_{c}") for c in ("lat", "lon") for n, f in (("mean", F.avg), ("var", F.var_pop))],
+        F.count(F.lit(1)).alias("observations"), F.max("rssi_dbm").alias("max_rssi_dbm"),
+        F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"),
+    )
+    square = {c: F.col(f"var_{c}") + F.pow(F.col(f"mean_{c}") - F.col(f"c_{c}"), F.lit(2)) for c in ("lat", "lon")}
+    spread = METRES_PER_DEGREE * F.sqrt(square["lat"] + square["lon"] * F.pow(F.cos(F.radians("c_lat")), F.lit(2)))
+    found = moments.withColumn("spread_m", spread).where((F.col("observations") >= MIN_SIGHTINGS) & (F.col("spread_m") <= MAX_SPREAD_M))
+    return found.select(
         *PLACE, F.col("c_lat").alias("lat"), F.col("c_lon").alias("lon"), "observations", "spread_m", "max_rssi_dbm",
         "first_seen", "last_seen",
     )
