@@ -11,12 +11,13 @@ and taken away; only where the bundle that held a day's top speed lost it, that
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from odolake.functions.rawrows import typed_tables
 from odolake.plans import bundle, repair
 from odolake.schemas import COUNTED_TABLES, TIME_COLUMN
 from odolake.session import settle
@@ -60,9 +61,21 @@ def day_shares(trips: DataFrame, events: DataFrame) -> DataFrame:
     return driven.unionByName(happened).groupBy(*ROOT, *DAY).agg(*sums, F.max("max_speed_mps").alias("max_speed_mps"))
 
 
-def load_bundles(t: Tables, root: str, batch: int, decoder_version: int = 1) -> None:
-    """Load the bundles of ``t`` (``t.bundles`` lists them) under ``root`` as one batch; later batches have higher numbers."""
-    outputs = derive(t, decoder_version)
+def load_records(raw: Mapping[str, DataFrame], root: str, batch: int, decoder_version: int = 1) -> None:
+    """``load_bundles`` from raw record fields; what the records state that the format does not define is output ``warnings``.
+
+    ``raw`` holds the raw tables and ``bundles`` with the clock basis (utc_basis_ms) of each.
+    """
+    t, flawed = typed_tables(raw, raw["bundles"])
+    load_bundles(t, root, batch, decoder_version, {"warnings": flawed})
+
+
+def load_bundles(t: Tables, root: str, batch: int, decoder_version: int = 1, more: Mapping[str, DataFrame] | None = None) -> None:
+    """Load the bundles of ``t`` (``t.bundles`` lists them) under ``root`` as one batch; later batches have higher numbers.
+
+    ``more`` are outputs of the caller's, by name, which the same commit makes visible; they have a content_root.
+    """
+    outputs = {**derive(t, decoder_version), **(more or {})}
     outputs["shares"] = settle(outputs["shares"])
     roots = settle(t.bundles.select("content_root").dropna().distinct())
     outputs["rollups"] = _rolled_up(root, batch, outputs["shares"], roots)
