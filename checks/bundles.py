@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import on_tables
 from checks.sql import SHARED
-from odolake.functions import names, normalise
+from odolake.functions import names, normalise, rawrows
 from odolake.plans import bundle
 
 METRES = (
@@ -300,3 +300,70 @@ on_tables(
         names.health_names(F.col("health_state")).alias("health_name"),
     ),
 )
+
+
+def _typed(name: str, kind: str, spec: str, values: str, where: str = "true") -> None:
+    """A sample table from its raw fields; the wall clock comes from the bundle."""
+    clock = "started_at" if kind == "gap" else "observed_at"
+    on_tables(
+        name,
+        f"vehicle_id:s content_root:s boot_id:s seq:i {clock}:t {spec}",
+        f"SELECT vehicle_id, content_root, boot_id, seq, make_timestamp_ms(utc_basis_ms + mono_ms) AS {clock}, {values} "
+        f"FROM raw_{kind} JOIN (SELECT content_root, utc_basis_ms FROM bundles) b USING (content_root) WHERE {where}",
+        lambda t: rawrows.typed(kind, t[f"raw_{kind}"], t.bundles),
+    )
+
+
+_typed(
+    "nrm_obd",
+    "obd",
+    "speed_kph:i rpm:i fuel_pressure_kpa:i throttle_pct:i load_pct:i coolant_c:i intake_c:i timing_advance_deg:i poll_cadence_ms:i pids_requested:i",
+    "CASE WHEN speed_kph > -32768 THEN speed_kph END AS speed_kph, CASE WHEN rpm > -32768 THEN rpm END AS rpm, "
+    "CASE WHEN fuel_pressure_kpa < 65535 THEN fuel_pressure_kpa END AS fuel_pressure_kpa, CASE WHEN throttle_pct < 255 THEN throttle_pct END AS throttle_pct, "
+    "CASE WHEN load_pct < 255 THEN load_pct END AS load_pct, CASE WHEN coolant_c > -128 THEN coolant_c END AS coolant_c, "
+    "CASE WHEN intake_c > -128 THEN intake_c END AS intake_c, CASE WHEN timing_advance_deg > -128 THEN timing_advance_deg END AS timing_advance_deg, "
+    "CASE WHEN poll_cadence_ms > 0 THEN poll_cadence_ms END AS poll_cadence_ms, NULL AS pids_requested",
+)
+_typed(
+    "nrm_boost_raw",
+    "boost",
+    "map_kpa:i baro_kpa:i lambda_e4:i abs_load_raw:i stft_pct:i pedal_pct:i boost_psi:d lambda_ratio:d",
+    "CASE WHEN map_kpa < 65535 THEN map_kpa END AS map_kpa, CASE WHEN baro_kpa < 255 THEN baro_kpa END AS baro_kpa, "
+    "CASE WHEN lambda_e4 < 65535 THEN lambda_e4 END AS lambda_e4, CASE WHEN abs_load_raw < 65535 THEN abs_load_raw END AS abs_load_raw, "
+    "CASE WHEN stft_pct > -128 THEN stft_pct END AS stft_pct, CASE WHEN pedal_pct < 255 AND schema_version >= 2 THEN pedal_pct END AS pedal_pct, "
+    "CASE WHEN map_kpa < 65535 AND baro_kpa < 255 THEN (map_kpa - baro_kpa) * 0.1450377::DOUBLE END AS boost_psi, "
+    "CASE WHEN lambda_e4 < 65535 THEN lambda_e4 / 10000.0::DOUBLE END AS lambda_ratio",
+)
+_typed(
+    "nrm_status",
+    "status",
+    "battery_mv:i sd_write_errors:i device_temp_c:i rssi_dbm:i health_state:i",
+    "CASE WHEN battery_mv < 65535 THEN battery_mv END AS battery_mv, CASE WHEN sd_write_errors < 65535 THEN sd_write_errors END AS sd_write_errors, "
+    "CASE WHEN device_temp_c > -128 THEN device_temp_c END AS device_temp_c, CASE WHEN rssi_dbm > -128 THEN rssi_dbm END AS rssi_dbm, health_state",
+)
+_typed("nrm_imu", "imu", "accel_rms_mg:i gyro_peak_dps:d event_flags:i", "accel_rms_mg, gyro_peak_dps_e1 / 10.0::DOUBLE AS gyro_peak_dps, event_flags")
+_typed(
+    "nrm_transition",
+    "transition",
+    "region:i start_score:d stop_score:d wake_cause:i",
+    "region, start_score_e2 / 100.0::DOUBLE AS start_score, stop_score_e2 / 100.0::DOUBLE AS stop_score, wake_cause",
+)
+_typed("nrm_gap", "gap", "duration_ms:i expected_samples:i cause:i", "duration_ms, expected_samples, cause", "cause BETWEEN 1 AND 5")
+on_tables(
+    "nrm_clock_readings",
+    "vehicle_id:s content_root:s boot_id:s seq:i utc_ms:i implied_basis_ms:i accuracy_ms:i source:s adopted:b",
+    "SELECT vehicle_id, content_root, boot_id, seq, utc_ms, CASE WHEN utc_ms >= mono_ms THEN utc_ms - mono_ms END AS implied_basis_ms, "
+    "CASE WHEN accuracy_ms < 4294967295 THEN accuracy_ms END AS accuracy_ms, CASE source_code WHEN 1 THEN 'gnss' WHEN 2 THEN 'phone' "
+    "WHEN 3 THEN 'modem_network' WHEN 4 THEN 'rtc' ELSE concat('unknown(', source_code, ')') END AS source, flags % 2 = 1 AS adopted FROM raw_time_obs",
+    lambda t: rawrows.typed("time_obs", t.raw_time_obs, t.bundles),
+)
+on_tables(
+    "nrm_flaws",
+    "content_root:s seq:i kind:s warning:s",
+    "SELECT content_root, seq, 'position' AS kind, concat('fix_type ', fix_type) AS warning FROM raw_position WHERE fix_type > 5 UNION ALL "
+    "SELECT content_root, seq, 'position', concat('heading ', heading_cdeg) FROM raw_position WHERE heading_cdeg > 35999 UNION ALL "
+    "SELECT content_root, seq, 'gap', concat('cause ', cause) FROM raw_gap WHERE cause NOT BETWEEN 1 AND 5",
+    lambda t: rawrows.typed_tables(
+        {n: t[f"raw_{n}"] for n in ("position", "obd", "boost", "status", "imu", "transition", "gap", "time_obs")}, t.bundles
+    )[1],
+)

@@ -218,7 +218,7 @@ on_tables(
 )
 
 
-def _anchors(t):
+def _anchors(t, limit=None):
     from pyspark.sql import functions as F
 
     n = F.substring_index("bssid", "-", -1).cast("int")
@@ -228,12 +228,10 @@ def _anchors(t):
         F.concat(F.lit("dongle-"), (F.substring("vehicle_id", 4, 1).cast("int") % 2).cast("string")).alias("device_id"),
         "vehicle_id",
     )
-    return wifi.wifi_anchors(learned, fitted)
+    return wifi.wifi_anchors(learned, fitted, limit)
 
 
-on_tables(
-    "wifi_anchors",
-    "device_id:s bssid:s lat:d lon:d observations:i spread_m:d max_rssi_dbm:i last_seen:t accuracy_m:i",
+SHARED["anchor"] = (
     """
     SELECT *, greatest(25, least(500, ceil(spread_m + 25))) AS accuracy_m
     FROM (SELECT *, row_number() OVER (PARTITION BY device_id, bssid
@@ -243,7 +241,16 @@ on_tables(
                           concat('dongle-', CAST(substr(vehicle_id, 4) AS INTEGER) % 2) AS device_id FROM learned))
     WHERE nth = 1
     """,
-    _anchors,
+    ["learned"],
+)
+ANCHOR = "device_id:s bssid:s lat:d lon:d observations:i spread_m:d max_rssi_dbm:i last_seen:t accuracy_m:i"
+on_tables("wifi_anchors", ANCHOR, "SELECT * FROM anchor", _anchors)
+# The limit is the feature: what a device may carry.
+on_tables(
+    "wifi_anchors_limited",
+    ANCHOR,
+    "SELECT * FROM anchor QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY observations DESC, max_rssi_dbm DESC, spread_m, bssid) <= 12",
+    lambda t: _anchors(t, 12),
 )
 
 SHARED["standby"] = (

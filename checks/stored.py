@@ -144,6 +144,34 @@ on_tables(
 )
 
 
+def _sliced(t: Tables) -> DataFrame:
+    """The snapshot's rows, read back by vehicle, a table's odd vehicles apart from the even ones."""
+    root = scratch(t.obd.sparkSession)
+    found = catalog.views(t)
+    sinks.export_snapshot(Tables({**{n: found[n] for n in sinks.SNAPSHOT_TABLES}, "v_drive_summary": found["v_drive_summary"],
+                                  "v_trip_summary": trips.v_trip_summary(t)}), root)
+    parts = []
+    for name in SLICED:
+        for half in (("veh0", "veh2"), ("veh1", "veh3")):
+            rows = sinks.snapshot_slice(t.obd.sparkSession, root, name, half)
+            at, value = F.col(TIME_COLUMN[name]).alias("at"), F.col(REPLACED[name]).cast("double").alias("value")
+            parts.append(rows.select(F.lit(name).alias("kind"), F.lit(half[0]).alias("first"), "vehicle_id", "content_root", "seq", at, value))
+    return reduce(DataFrame.unionByName, parts)
+
+
+SLICED = [n for n in sinks.SNAPSHOT_TABLES if n in TIME_COLUMN]
+on_tables(
+    "snk_snapshot_slices",
+    "kind:s first:s vehicle_id:s content_root:s seq:i at:t value:d",
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS kind, CASE WHEN vehicle_id IN ('veh0', 'veh2') THEN 'veh0' ELSE 'veh1' END AS first, vehicle_id, content_root, seq, "
+        f"{TIME_COLUMN[n]} AS at, CAST({REPLACED[n]} AS DOUBLE) AS value FROM {n}"
+        for n in SLICED
+    ),
+    _sliced,
+)
+
+
 def _ledger_files(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch(spark)
     rows = testbed.ledger(spark, sf)

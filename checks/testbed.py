@@ -133,6 +133,80 @@ FROM_TICKS: dict[str, tuple[list[str], str]] = {
     ),
 }
 
+# Raw record fields, some of them at the "no reading" value of their width.
+RAW_TICKS: dict[str, tuple[list[str], str]] = {
+    "raw_obd": (
+        [
+            "cast(CASE WHEN event_id % 7 = 0 THEN -32768 ELSE event_id % 130 END AS INT) AS speed_kph",
+            "cast(CASE WHEN event_id % 11 = 0 THEN -32768 ELSE event_id * 137 % 6000 END AS INT) AS rpm",
+            "cast(CASE WHEN event_id % 5 = 0 THEN 65535 ELSE event_id % 700 END AS INT) AS fuel_pressure_kpa",
+            "cast(event_id % 256 AS INT) AS throttle_pct",
+            "cast(event_id * 3 % 256 AS INT) AS load_pct",
+            "cast(event_id % 256 - 128 AS INT) AS coolant_c",
+            "cast(event_id * 5 % 256 - 128 AS INT) AS intake_c",
+            "cast(event_id * 7 % 256 - 128 AS INT) AS timing_advance_deg",
+            "cast(event_id % 4 * 100 AS INT) AS poll_cadence_ms",
+        ],
+        "event_type = 'view'",
+    ),
+    "raw_boost": (
+        [
+            "cast(CASE WHEN event_id % 9 = 0 THEN 65535 ELSE 20 + event_id % 240 END AS INT) AS map_kpa",
+            "cast(CASE WHEN event_id % 8 = 0 THEN 255 ELSE 90 + event_id % 12 END AS INT) AS baro_kpa",
+            "cast(CASE WHEN event_id % 6 = 0 THEN 65535 ELSE 8500 + event_id % 2500 END AS INT) AS lambda_e4",
+            "cast(CASE WHEN event_id % 5 = 0 THEN 65535 ELSE event_id % 700 END AS INT) AS abs_load_raw",
+            "cast(event_id % 256 - 128 AS INT) AS stft_pct",
+            "cast(event_id % 256 AS INT) AS pedal_pct",
+            "cast(1 + event_id % 3 AS INT) AS schema_version",
+        ],
+        "event_type = 'click'",
+    ),
+    "raw_status": (
+        [
+            "cast(CASE WHEN event_id % 11 = 0 THEN 65535 ELSE 12000 + event_id % 900 END AS INT) AS battery_mv",
+            "cast(CASE WHEN event_id % 13 = 0 THEN 65535 ELSE event_id % 2 END AS INT) AS sd_write_errors",
+            "cast(event_id % 256 - 128 AS INT) AS device_temp_c",
+            "cast(event_id * 3 % 256 - 128 AS INT) AS rssi_dbm",
+            "cast(event_id % 256 AS INT) AS health_state",
+        ],
+        "event_type = 'error'",
+    ),
+    "raw_imu": (
+        [
+            "cast(event_id % 200 AS INT) AS accel_rms_mg",
+            "cast(event_id * 31 % 65536 - 32768 AS INT) AS gyro_peak_dps_e1",
+            "cast(event_id % 16 AS INT) AS event_flags",
+        ],
+        "event_type = 'error'",
+    ),
+    "raw_transition": (
+        [
+            "cast(1 + event_id % 4 AS INT) AS region",
+            "cast(event_id * 7 % 65536 AS INT) AS start_score_e2",
+            "cast(event_id * 11 % 65536 AS INT) AS stop_score_e2",
+            "cast(4294967295 - event_id AS BIGINT) AS wake_cause",
+        ],
+        "event_type = 'signup'",
+    ),
+    "raw_gap": (
+        [
+            "cast(2000 + event_id % 20000 AS BIGINT) AS duration_ms",
+            "cast(event_id % 60 AS INT) AS expected_samples",
+            "cast(event_id % 8 AS INT) AS cause",
+        ],
+        "event_type = 'purchase'",
+    ),
+    "raw_time_obs": (
+        [
+            f"CASE WHEN event_id % 10 = 0 THEN 100 ELSE {BASE_MS} + boot_off + mono_ms END AS utc_ms",
+            "CASE WHEN event_id % 3 = 0 THEN 4294967295 ELSE cast(event_id % 900 AS BIGINT) END AS accuracy_ms",
+            "cast(event_id % 6 AS INT) AS source_code",
+            "cast(event_id % 4 AS INT) AS flags",
+        ],
+        "event_type = 'signup'",
+    ),
+}
+
 TICK_COLUMNS = [
     "event_id",
     "vehicle_id",
@@ -238,7 +312,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tick_table(tk: DataFrame, name: str) -> DataFrame:
-    cols, cond = FROM_TICKS[name]
+    cols, cond = {**FROM_TICKS, **RAW_TICKS}[name]
     keys = ["vehicle_id", "content_root", "boot_id", "seq"] if name == "gap" else KEYS.split(", ")
     if name == "time_obs":
         keys = [k for k in keys if k != "observed_at"]
@@ -262,7 +336,7 @@ def telemetry(spark: SparkSession, sf_dir: str) -> Tables:
         values = ", ".join(f"('{v}', '{t}', TIMESTAMP_NTZ '{at}', '')" for v in VEHICLES for t, at in TUNE_ROWS)
         return spark.sql(f"SELECT * FROM VALUES {values} AS x(vehicle_id, tune_id, tuned_at, note)")
 
-    frames = {name: (lambda name=name: _tick_table(tk, name)) for name in FROM_TICKS}
+    frames = {name: (lambda name=name: _tick_table(tk, name)) for name in (*FROM_TICKS, *RAW_TICKS)}
     return Tables({**frames, "wifi_ap_obs": access_points, "bundles": bundles, "tune": tunes})
 
 
@@ -309,7 +383,7 @@ def _ctes() -> dict[str, tuple[str, list[str]]]:
             [],
         ),
     }
-    for name, (cols, cond) in FROM_TICKS.items():
+    for name, (cols, cond) in {**FROM_TICKS, **RAW_TICKS}.items():
         keys = KEYS
         if name == "gap":
             keys = "vehicle_id, content_root, boot_id, seq"

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from odolake.functions.flags import BOOT, SCAN_LEARNING, from_device, has_bit
 from odolake.functions.geo import METRES_PER_DEGREE
 from odolake.operators.asof import Side, asof
+from odolake.operators.topk import first_rows
 from odolake.plans.trusted import v_position_trusted
 from odolake.session import settle
 from odolake.sources.tables import Tables
@@ -96,7 +97,7 @@ def v_wifi_scan_unfixed(t: Tables, trusted: DataFrame | None = None) -> DataFram
 def wifi_anchors(learned: DataFrame, fitted: DataFrame, limit: int | None = None) -> DataFrame:
     """The access points each device may carry: best row per address over its open vehicles.
 
-    With ``limit``, the best so many of a device; the window over a device's addresses runs only then.
+    With ``limit``, the best so many of a device; a device's addresses are never ranked all together.
     ``fitted`` has device_id and vehicle_id of open assignments.
     """
     lat, lon = F.col("lat"), F.col("lon")
@@ -120,10 +121,8 @@ def wifi_anchors(learned: DataFrame, fitted: DataFrame, limit: int | None = None
     best = best.select("device_id", "bssid", "r.*")
     kept = best
     if limit is not None:
-        order = Window.partitionBy("device_id").orderBy(
-            F.desc("observations"), F.desc("max_rssi_dbm"), F.asc("spread_m"), F.asc("bssid")
-        )
-        kept = best.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= limit).drop("_rank")
+        order = [F.desc("observations"), F.desc("max_rssi_dbm"), F.asc("spread_m"), F.asc("bssid")]
+        kept = first_rows(best, ["device_id"], order, limit)
     accuracy = F.ceil(F.greatest("spread_m", F.lit(0.0)) + ESTIMATE_PAD_M)
     return kept.withColumn(
         "accuracy_m", F.greatest(F.least(accuracy, F.lit(MAX_ACCURACY_M)), F.lit(MIN_ACCURACY_M)).cast("int")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,22 +95,41 @@ def replace_bundles(spark: SparkSession, path: str, new: DataFrame, time_column:
 
 
 def export_snapshot(frames: Tables, root: str) -> DataFrame:
-    """Sample tables and the two summaries, one folder per vehicle inside each; returns and stores the row counts.
+    """Sample tables and the two summaries, each in the order of vehicle and clock; returns the row count of every vehicle and table.
 
-    ``frames`` holds the tables plus ``v_drive_summary`` and ``v_trip_summary``.
-    Reading a table's folder gives all vehicles, one ``vehicle_id=`` folder gives one.
+    ``frames`` holds the tables plus ``v_drive_summary`` and ``v_trip_summary``. A table's files are ranges of that order, so
+    their number follows the bytes and not the vehicles, and a vehicle with very many rows spans several of them. The folder
+    ``manifest`` says how many rows of which vehicle a file holds (table, vehicle_id, file, rows), itself in order of vehicle;
+    ``snapshot_slice`` finds a vehicle's files by it. It is taken from what was stored, by reading back one sorted column.
     """
     named = {n: frames[n] for n in SNAPSHOT_TABLES}
     named["drive_summary"] = frames["v_drive_summary"]
     named["trip_summary"] = frames["v_trip_summary"]
     base = root.rstrip("/")
-    counts = []
+    held = []
     for name, df in named.items():
-        order = [c for c in ("boot_id", "mono_ms", "seq", "started_at") if c in df.columns]
-        rows = df.repartitionByRange("vehicle_id", *order).sortWithinPartitions("vehicle_id", *order)
-        rows.write.mode("overwrite").partitionBy("vehicle_id").option("compression", "zstd").parquet(f"{base}/{name}")
+        write_ordered(df, f"{base}/{name}", order=("vehicle_id", "boot_id", "mono_ms", "seq", "started_at"))
         stored = df.sparkSession.read.parquet(f"{base}/{name}")
-        counts.append(stored.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("rows")).withColumn("table", F.lit(name)))
-    manifest = reduce(DataFrame.unionByName, counts).select("table", "vehicle_id", "rows")
-    manifest.write.mode("overwrite").parquet(f"{base}/manifest")
-    return manifest.sparkSession.read.parquet(f"{base}/manifest")
+        file = F.col("_metadata.file_name").alias("file")
+        held.append(stored.groupBy(F.lit(name).alias("table"), "vehicle_id", file).agg(F.count(F.lit(1)).alias("rows")))
+    write_ordered(reduce(DataFrame.unionByName, held), f"{base}/manifest", order=("vehicle_id", "table", "file"))
+    manifest = named["bundles"].sparkSession.read.parquet(f"{base}/manifest")
+    return manifest.groupBy("table", "vehicle_id").agg(F.sum("rows").alias("rows"))
+
+
+def snapshot_slice(spark: SparkSession, root: str, table: str, vehicles: Sequence[str | None]) -> DataFrame:
+    """Some vehicles' rows of a snapshot's table; only files that the manifest names for them are opened.
+
+    None stands for the rows without a vehicle. Of an unknown vehicle there are no rows.
+    """
+    base = root.rstrip("/")
+    named = [v for v in vehicles if v is not None]
+    mine = F.col("vehicle_id").isin(named)
+    if len(named) < len(vehicles):
+        mine = mine | F.col("vehicle_id").isNull()
+    manifest = spark.read.parquet(f"{base}/manifest")
+    # As many names as these vehicles have files.
+    files = [r.file for r in manifest.where((F.col("table") == table) & mine).select("file").distinct().collect()]
+    if not files:
+        return spark.read.parquet(f"{base}/{table}").where(F.lit(False))
+    return spark.read.parquet(*[f"{base}/{table}/{f}" for f in sorted(files)]).where(mine)
