@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.registry import on_tables
 from checks.sql import SHARED
 from odolake.functions import names, normalise, rawrows
-from odolake.plans import bundle
+from odolake.plans import bundle, catalog
 
 METRES = (
     "12742000.0 * asin(sqrt(sin(radians(lat - lag(lat) OVER s) / 2) ** 2 + cos(radians(lat)) * cos(radians(lag(lat) OVER s)) "
@@ -302,6 +302,11 @@ on_tables(
 )
 
 
+# The same through the catalogue, as SQL users meet them.
+on_tables("cat_daily_rollups", DAILY_SPEC, "SELECT * FROM daily", lambda t: catalog.views(t)["daily_rollups"])
+on_tables("cat_bundle_trips", TRIP_SPEC, "SELECT * FROM bundle_trip", lambda t: catalog.views(t)["bundle_trips"])
+
+
 def _typed(name: str, kind: str, spec: str, values: str, where: str = "true") -> None:
     """A sample table from its raw fields; the wall clock comes from the bundle."""
     clock = "started_at" if kind == "gap" else "observed_at"

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from odolake.plans import engine, insight, modules, power, summaries, trips, trusted, wifi
+from odolake.functions.timecols import millis
+from odolake.plans import bundle, engine, insight, modules, power, summaries, tracks, trips, trusted, wifi
 from odolake.session import settle
 from odolake.sources.tables import Tables
 
@@ -15,11 +17,21 @@ def lazily(df: DataFrame) -> DataFrame:
     return df
 
 
+def _tracked(trip_rows: DataFrame) -> DataFrame:
+    """Trips under the id that the change feed gives them."""
+    entity = F.concat_ws(":", F.lower("vehicle_id"), millis("started_at").cast("string"))
+    return trip_rows.select("vehicle_id", "started_at", "ended_at", entity.alias("trip_id"))
+
+
 def views(
-    t: Tables, mods: Sequence[modules.Module] = (), keep: Callable[[DataFrame], DataFrame] = lazily
-) -> Tables:
+    t: Tables, mods: Sequence[modules.Module] = (), keep: Callable[[DataFrame], DataFrame] = lazily,
+    limits: DataFrame | None = None, fitted: DataFrame | None = None,
+) -> Tables:
     """Every view as a frame, built on first use.
 
+    Findings need ``limits`` of the vehicles' engine profiles, anchors the open assignments ``fitted`` (device_id, vehicle_id);
+    without them these two views are absent.
+
     Steps that several views share (trusted positions, metric samples, trips) go through ``keep``: by default nothing
     runs until a frame is read, and every view computes them for itself; with ``session.settle`` they are
     computed once, on shared storage, when a view that needs them is first built.
@@ -31,6 +43,9 @@ def views(
         arms = modules.metric_arms(mods, out.__getitem__, out["v_boot_start"]) if mods else ()
         return keep(insight.v_metric_samples(t, arms))
 
+    def devices() -> DataFrame:
+        return t.bundles.select("content_root", "device_id")
+
     keys = modules.metric_keys(mods)
     out = Tables(
         {
@@ -56,19 +71,31 @@ def views(
             "v_trip_period": lambda: trips.v_trip_period(out["v_trip_summary"]),
             "v_power_windows": lambda: power.power_windows(t),
             "v_power_summary": lambda: power.power_summary(t),
+            "bundle_trips": lambda: keep(bundle.bundle_trips(t)),
+            "trip_segments": lambda: bundle.trip_segments(t),
+            "trip_events": lambda: keep(bundle.bundle_events(t, out["bundle_trips"]).join(devices(), "content_root", "left")),
+            "trip_gaps": lambda: bundle.gap_rows(t, out["bundle_trips"]),
+            "daily_rollups": lambda: bundle.daily_rollups(out["bundle_trips"], out["trip_events"]),
+            "v_trip_publish": lambda: trips.trip_publish(out["v_trip_summary"]),
+            "v_trip_track": lambda: keep(tracks.track_points(out["v_position_trusted"], _tracked(out["v_trip_summary"]))),
+            "v_trip_track_runs": lambda: tracks.track_runs(out["v_trip_track"]),
+            "v_trip_track_gaps": lambda: tracks.track_gaps(out["v_trip_track"]),
+            **({} if limits is None else {"v_health_findings": lambda: insight.health_findings(out["v_health_stats"], limits)}),
+            **({} if fitted is None else {"v_wifi_anchors": lambda: wifi.wifi_anchors(out["v_wifi_ap_learned"], fitted)}),
         }
     )
     return out
 
 
 def register(
-    spark: SparkSession, t: Tables, mods: Sequence[modules.Module] = (), keep: Callable[[DataFrame], DataFrame] = settle
-) -> Tables:
+    spark: SparkSession, t: Tables, mods: Sequence[modules.Module] = (), keep: Callable[[DataFrame], DataFrame] = settle,
+    limits: DataFrame | None = None, fitted: DataFrame | None = None,
+) -> Tables:
     """Make the tables and views known to ``spark.sql``, and ``period_summary`` with them.
 
     What several views share is computed here, once; pass ``lazily`` to leave it to each query.
     """
-    found = views(t, mods, keep)
+    found = views(t, mods, keep, limits, fitted)
     for name in found:
         found[name].createOrReplaceTempView(name)
     trips.register_period_summary(spark)

@@ -315,6 +315,27 @@ def test_views_can_be_used_from_sql(spark, make):
     assert spark.sql("SELECT trips FROM period_summary('2026-01-01', '2026-01-02')").collect()[0][0] == 1
 
 
+def test_bundle_surfaces_can_be_used_from_sql(spark, make):
+    fixes = [row(ms=1000 * i, when=at(1000 * i), root="r", lat=38.0 + i / 1000, lon=-120.0, fix_type=3, speed_mps=15.0, source_flags=0) for i in range(120)]
+    t = make(
+        position=fixes, obd=[row(ms=1000 * i, seq=5000 + i, when=at(1000 * i), root="r", speed_kph=54, rpm=2000) for i in range(120)],
+        gap=[{"vehicle_id": "v", "content_root": "r", "boot_id": "A", "seq": 9000, "started_at": at(5000), "duration_ms": 9000, "cause": 1}],
+        bundles=[{"content_root": "r", "vehicle_id": "v", "device_id": "d", "boot_id": "A"}],
+    )
+    learned = spark.createDataFrame([("d", "v")], "device_id string, vehicle_id string")
+    catalog.register(spark, t, fitted=learned)
+    one = lambda text: [tuple(r) for r in spark.sql(text).collect()]
+    assert one("SELECT t.device_id, r.trip_count, r.event_count > 0 FROM daily_rollups r JOIN bundle_trips t ON t.started_at::DATE = r.day") == [("d", 1, True)]
+    assert one("SELECT cause_name FROM trip_gaps JOIN bundle_trips USING (trip_id)") == [("no_fix",)]
+    assert one("SELECT count(*) > 0 FROM trip_segments") == [(True,)]
+    assert one("SELECT count(*) FROM trip_events WHERE device_id = 'd' AND kind IN ('trip.started', 'trip.ended')") == [(2,)]
+    # A track carries the id of the published trip.
+    assert one("SELECT count(*), max(run_no) FROM v_trip_track JOIN v_trip_publish ON trip_id = entity_id") == [(120, 0)]
+    assert one("SELECT points FROM v_trip_track_runs") == [(120,)] and one("SELECT * FROM v_trip_track_gaps") == []
+    assert one("SELECT * FROM v_wifi_anchors") == []
+    assert "v_health_findings" not in catalog.views(t) and "v_wifi_anchors" not in catalog.views(t)
+
+
 def test_track_runs_gaps_and_line(spark, make):
     places = [(38.5, -120.2, 0), (40.7, -120.95, 10), (43.252, -126.453, 20)]
     t = make(position=[row(ms=1000 * s, when=at(1000 * s), lat=a, lon=o, fix_type=3, source_flags=0) for a, o, s in places]
