@@ -16,6 +16,8 @@ characters. Repeated rows are scanned alike. An empty table gives no rows. Other
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +37,11 @@ SAMPLE, RATIO, ALPHABET, SMOOTH = 4000, 12.0, 67, {"random": 40.0, "ordinary": 2
 _NONE = "CAST(array() AS array<struct<s: bigint, k: int, e: bigint, v: string>>)"
 
 
-def _spans(text: Column, pattern: str, kind: int, value: int = 0) -> Column:
-    """All matches as structs of start, kind, end (code points) and the wanted group."""
+def _spans(text: Column, pattern: str, kind: int, value: int = 0, passes: Callable[[Column], Column] | None = None) -> Column:
+    """All matches as structs of start, kind, end (code points) and the wanted group, those whose group ``passes``.
+
+    Appending copies the list, so what doesn't pass is never in it: the cost grows with the text and the square of what passes.
+    """
     gaps, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value))
     parts = F.arrays_zip(F.transform(gaps, F.char_length).alias("g"), F.transform(matches, F.char_length).alias("m"), values.alias("v"))
@@ -46,7 +51,8 @@ def _spans(text: Column, pattern: str, kind: int, value: int = 0) -> Column:
         s = acc["at"] + part["g"]
         e = s + F.coalesce(part["m"], F.lit(0))
         span = F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e"), part["v"].alias("v"))
-        return F.struct(e.alias("at"), F.when(part["m"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], span)).alias("out"))
+        good = part["m"].isNotNull() if passes is None else part["m"].isNotNull() & passes(part["v"])
+        return F.struct(e.alias("at"), F.when(good, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
     return F.aggregate(parts, start, add)["out"]
 
@@ -57,7 +63,7 @@ def base_spans(text: Column) -> Column:
     found = (
         # A maximal run shorter than the least length is a failing match, so asking for that length at once is the same;
         # for assignments it is not, as a failing one still uses up its text.
-        F.when(text.rlike(ASSIGN), F.filter(_spans(text, ASSIGN, 0, 2), lambda x: F.char_length(x["v"]) >= LEAST["assign"])).otherwise(none),
+        F.when(text.rlike(ASSIGN), _spans(text, ASSIGN, 0, 2, lambda v: F.char_length(v) >= LEAST["assign"])).otherwise(none),
         F.when(text.contains("AKIA"), _spans(text, f"AKIA[A-Z0-9]{{{LEAST['access'] - 4},}}", 1)).otherwise(none),
         F.when(text.rlike(f"[0-9a-f]{{{LEAST['hex']}}}"), _spans(text, f"[0-9a-f]{{{LEAST['hex']},}}", 2)).otherwise(none),
     )
@@ -106,8 +112,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
         return F.aggregate(F.sequence(F.lit(1), F.char_length(v) - 1), F.lit(0.0), lambda s, i: s + F.element_at(table, pair(i) + 1))
 
     def fresh(pattern: str, others: str) -> Column:
-        clear = lambda x: ~F.exists(others, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])) & (ratio(x["v"]) >= RATIO)
-        spans = F.filter(_spans(F.col("text"), pattern, 3), clear)
+        clear = lambda x: ~F.exists(others, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+        spans = F.filter(_spans(F.col("text"), pattern, 3, 0, lambda v: ratio(v) >= RATIO), clear)
         return F.array_sort(F.concat(others, F.when(F.col("text").rlike(pattern), spans).otherwise(F.expr(_NONE))))
 
     found = found.withColumn("whole", fresh(DOTTED, "base"))

@@ -86,6 +86,19 @@ def test_secrets_against_plain_patterns(spark):
     assert by[805] == f"markov:11:{11 + 44}" and by[809] == "" and len(got) == len(rows)
 
 
+def test_a_very_long_text_is_scanned_whole(spark):
+    """5 MB of identifiers of ten characters and more, none of them random; one secret near the end."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    line = "internationalization of configuration_manager and thoroughness\n"
+    before = line * (5_000_000 // len(line))
+    loose = "Zq7Xw2Kp9Vb4Jt6Rm8Ls3Hd5Gf1Nc0Yx"
+    rows.append((9_000, f"{before}see {loose} and token = hunter2hunter2\n"))
+    got = dict(tuples(secrets_scan.scan_secrets(documents(spark, rows)).where("doc_id = 9000"), "doc_id", "spans"))
+    at = len(before) + 4
+    key = at + len(loose) + 5
+    assert got[9_000] == f"markov:{at}:{at + len(loose)},assign:{key}:{key + 22}"
+
+
 def test_short_and_dotted_secrets(spark):
     """Random strings of 12 to 19 characters, and tokens of dotted pieces under 20, without a keyword in front."""
     rng = random.Random(31)
