@@ -2,7 +2,8 @@
 
 Cars upload days late, so nothing here rests on a watermark: every batch is set against what is stored, in ``foreachBatch``
 functions. What they store is a log with a folder for each batch, so a batch that is run again after a failure writes
-the same folders again. Inside it, folders for hash buckets, and for sessions of days, keep a batch from reading more than it touches.
+the same folders again. Inside it, folders for hash buckets, and for sessions of blocks of days, keep a batch from reading more than it
+touches. A batch that touches many days lists them in wider blocks, so its folders don't grow in number with the days.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ LEG_BREAK_MS = 60_000
 SLICE_MS = 60_000
 DAY_MS = 86_400_000
 BUCKETS = 64
+#: Folders a batch lists its sessions in; two for each bucket it touches if these are more.
+FOLDERS = 64
 SESSION = "vehicle_id string, lo long, hi long, n long"
 
 Batch = Callable[[DataFrame, int], None]
@@ -64,14 +67,32 @@ def intake(root: str) -> Batch:
     return accept
 
 
+def _blocks(spark: SparkSession, root: str) -> list[tuple[int, int]]:
+    """(width, number) of the blocks of days that sessions are listed in; widths are powers of two, so blocks nest."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/days/width=*/block=*")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or ()
+    paths = [(f.getPath().getParent().getName(), f.getPath().getName()) for f in found]
+    return [(int(w.removeprefix("width=")), int(n.removeprefix("block="))) for w, n in paths]
+
+
+def _touched(blocks: list[tuple[int, int]], days: list[int]) -> list[tuple[int, int]]:
+    wanted = {w: {d // w for d in days} for w in {w for w, _ in blocks}}
+    return [(w, n) for w, n in blocks if n in wanted[w]]
+
+
 def _session_rows(spark: SparkSession, root: str, days: list[int] | None = None) -> DataFrame | None:
-    """Versions of sessions listed under the given days (all if None): vehicle_id, lo, hi, n, day, bucket, batch."""
+    """Versions of sessions listed under the given days (all if None): vehicle_id, lo, hi, n, day, bucket, batch.
+
+    The blocks of these days may hold others too.
+    """
     base = f"{root}/days"
-    paths = [base] if days is None else [f"{base}/day={d}" for d in days]
-    paths = [p for p in paths if path_exists(spark, p)]
-    if not paths:
+    blocks = _blocks(spark, root)
+    if days is not None:
+        blocks = _touched(blocks, days)
+    if not blocks:
         return None
-    return spark.read.schema(f"{SESSION}, day int, bucket int, batch int").option("basePath", base).parquet(*paths)
+    reader = spark.read.schema(f"{SESSION}, day int, width int, block int, bucket int, batch int").option("basePath", base)
+    return reader.parquet(*([base] if days is None else [f"{base}/width={w}/block={n}" for w, n in blocks])).drop("width", "block")
 
 
 def _newest(rows: DataFrame) -> DataFrame:
@@ -82,8 +103,8 @@ def _newest(rows: DataFrame) -> DataFrame:
 def neighbours(spark: SparkSession, root: str, batch_id: int, spans: DataFrame, break_ms: int) -> DataFrame:
     """Stored sessions (vehicle_id, lo, hi, n) that spans (vehicle_id, lo, hi) may touch, as earlier batches left them.
 
-    A session is listed under every day it lasts, so only the days of the spans and of the break around them are read; other
-    sessions of these days and vehicles may be among them.
+    A session is listed under every day it lasts, so only the blocks with the days of the spans and of the break around them are
+    read; other sessions of these days and vehicles may be among them.
     """
     near = F.sequence(_day(F.col("lo") - break_ms), _day(F.col("hi") + break_ms))
     reach = settle(spans.select("vehicle_id", F.explode(near).alias("day")).distinct())
@@ -136,9 +157,18 @@ def _day(at: Column | str) -> Column:
 
 
 def _put(listed: DataFrame, path: str) -> None:
-    """Write the folders of a batch, replacing those of the same day, bucket and batch only."""
-    rows = listed.repartition("day", "bucket")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "bucket", "batch").parquet(path)
+    """Write the folders of a batch, replacing those of the same block, bucket and batch only.
+
+    A block is as many days wide as it takes for a batch to have no more than about ``FOLDERS`` folders, however many days it touches.
+    """
+    # As many numbers as there are days and buckets.
+    days = [r.day for r in listed.select("day").distinct().collect()]
+    buckets = listed.select("bucket").distinct().count()
+    width = 1
+    while (blocks := len({d // width for d in days})) > 2 and blocks * buckets > FOLDERS:
+        width *= 2
+    rows = listed.withColumns({"width": F.lit(width), "block": F.floor(F.col("day") / width).cast("int")}).repartition("block", "bucket")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("width", "block", "bucket", "batch").parquet(path)
 
 
 def present(spark: SparkSession, root: str, vehicles: DataFrame | None = None) -> DataFrame:
@@ -154,23 +184,31 @@ def present(spark: SparkSession, root: str, vehicles: DataFrame | None = None) -
 
 
 def compact(spark: SparkSession, root: str, upto: int, days: list[int] | None = None) -> None:
-    """Keep only the newest version up to a batch, which must be done, of the sessions of the given days (all if None).
+    """Keep only the newest version up to a batch, which must be done, of the sessions of the given days and of those
+    that share a block with them (all if None).
 
     The newest versions, withdrawals among them, are written under that batch first, so a reader finds the same before
     and after, and a run that breaks off may be repeated; then the folders of earlier batches go.
     """
+    blocks = _blocks(spark, root)
+    if days is not None:
+        # What shares a folder with these days goes along: blocks nest, so the widest that hold them decide.
+        for _ in range(len({w for w, _ in blocks})):
+            held = _touched(blocks, days)
+            days = sorted({*days, *(d for w, n in held for d in range(w * n, w * n + w))})
+        blocks = held if blocks else []
     rows = _session_rows(spark, root, days)
     if rows is None:
         return
     newest = rows.where(F.col("batch") <= upto).groupBy("vehicle_id", "lo", "day", "bucket").agg(F.max_by(F.struct("hi", "n"), "batch").alias("x"))
     _put(settle(newest.select("vehicle_id", "lo", "x.hi", "x.n", "day", "bucket", F.lit(upto).alias("batch"))), f"{root}/days")
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/days/day=*/bucket=*/batch=*")
+    wanted = {(f"width={w}", f"block={n}") for w, n in blocks}
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/days/width=*/block=*/bucket=*/batch=*")
     system = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
-    wanted = None if days is None else {f"day={d}" for d in days}
     for found in system.globStatus(pattern) or ():
         folder = found.getPath()
-        day = folder.getParent().getParent().getName()
-        if int(folder.getName().removeprefix("batch=")) < upto and (wanted is None or day in wanted):
+        block = folder.getParent().getParent()
+        if int(folder.getName().removeprefix("batch=")) < upto and (block.getParent().getName(), block.getName()) in wanted:
             system.delete(folder, True)
 
 

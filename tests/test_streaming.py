@@ -212,3 +212,30 @@ def test_intake_batches_need_no_single_task(spark, monkeypatch):
     plan = seen[0]._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "SinglePartition" not in plan
     assert len({r["b"] for r in seen[0].distinct().collect()}) == 3
+
+
+def test_a_batch_of_many_days_lists_them_in_few_folders(spark, tmp_path):
+    day, schema = 86_400_000, "vehicle_id string, observed_at timestamp_ntz"
+    step = flows.legs(str(tmp_path))
+    for n in range(3):
+        rows = [(f"v{d % 2}", at(d * day + n * 30_000)) for d in range(-300, 300)]
+        step(spark.createDataFrame(rows, schema), n)
+        folders = {f.parent for f in (tmp_path / "days").rglob(f"batch={n}/*.parquet")}
+        assert 2 < len(folders) <= flows.FOLDERS
+    step(spark.createDataFrame([("v0", at(298 * day - 1)), ("v0", at(-40_000 - 300 * day)), ("v1", at(9999 * day))], schema), 3)
+    whole = [(f"v{d % 2}", at(d * day - (1 if d == 298 else 40_000 if d == -300 else 0)), at(d * day + 60_000), 4 if d in (298, -300) else 3) for d in range(-300, 300)]
+    whole = sorted([*whole, ("v1", at(9999 * day), at(9999 * day), 1)])
+
+    def found():
+        return sorted(collect(flows.present(spark, str(tmp_path)), "vehicle_id", "started_at", "ended_at", "samples"))
+
+    assert found() == whole
+    # Days that share a block with others, and one that only a block of a single day holds.
+    epoch = (at(0) - at(0, "1970-01-01T00:00:00")).days
+    for upto, days in ((2, [epoch + 7]), (3, [epoch + 297]), (3, [epoch + 9999]), (3, [epoch + 5000])):
+        flows.compact(spark, str(tmp_path), upto, days)
+        assert found() == whole
+    left = {r.batch for r in spark.read.parquet(f"{tmp_path}/days").where(f"day = {epoch + 7}").select("batch").collect()}
+    assert left <= {2, 3}
+    flows.compact(spark, str(tmp_path), 3)
+    assert found() == whole and {r.batch for r in spark.read.parquet(f"{tmp_path}/days").select("batch").distinct().collect()} == {3}
