@@ -144,3 +144,22 @@ def test_exchange_finds_the_classes():
     table = np.round(chain[of][:, of] * 40 * rng.random((60, 60)))
     found = brown.exchange(table, 3, 20)
     assert len({(a, b) for a, b in zip(of.tolist(), found.tolist(), strict=True)}) == 3
+
+
+def test_words_of_long_texts_are_counted_in_small_memory():
+    """Work arrays are a multiple of the text at hand, so texts are taken in small slices; counts stay the same."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from odolake.llm import brown
+
+    texts = [" ".join(f"w{(i * 7919 + k * k) % 5000}" for k in range(1500)) for i in range(900)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    list(brown._counted(iter([batch.slice(0, 1)])))
+    tracemalloc.start()
+    out = list(brown._counted(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(t) for t in texts) > 7 << 20 and peak < 100 << 20
+    assert sum(sum(b["c"].to_pylist()) for b in out) == 900 * 1500
