@@ -11,7 +11,9 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from odolake.llm import components as components_module
 from odolake.llm import embeddings, lines, links, minhash, sketch
+from odolake.llm.common import kept
 from odolake.llm.components import components
 from odolake.llm.kernels import flat, prefix_sums
 from tests.llm.helpers import SF, documents, hostile, tuples, words
@@ -53,6 +55,22 @@ def test_components_of_chains_and_stars(spark):
     assert got == {n: r for n, r in want.items() if n != 5}
 
 
+@pytest.mark.parametrize(("block", "most"), [(200_000, 2), (100, 99)])
+def test_few_links_need_no_rounds(spark, monkeypatch, block, most):
+    """What fits a block is written twice, contracted by partitions and as one; what doesn't goes through rounds, with the same roots."""
+    written = []
+    monkeypatch.setattr(components_module, "BLOCK", block)
+    monkeypatch.setattr(components_module, "kept", lambda df: written.append(1) or kept(df))
+    rng = random.Random(4)
+    links = [(i, i + 1) for i in range(1000, 1180)] + [(rng.randrange(500), rng.randrange(500)) for _ in range(300)]
+    links += links[:40] + [(b, a) for a, b in links[:40]]
+    rng.shuffle(links)
+    frame = spark.createDataFrame(links, "a long, b long").repartition(7)
+    want = roots_of({x for a, b in links if a != b for x in (a, b)}, links)
+    assert dict(tuples(components(frame), "node", "root")) == want
+    assert len(written) <= most and (block > 1000 or len(written) > 2)
+
+
 def test_sketch_agrees_with_similarity():
     rng = np.random.Generator(np.random.PCG64(1))
     for n in (1, 2, 9, 60, 700):
