@@ -192,6 +192,37 @@ def test_line_pairs_at_the_limit_share_a_band():
     assert np.count_nonzero(~(keys[0] == keys[1]).any(1)) <= 2
 
 
+@pytest.mark.parametrize(("common", "left_only", "right_only"), [(60, 10, 10), (3, 0, 1), (300, 100, 0)])
+def test_line_pairs_at_the_limit_are_alike_by_their_marks(common, left_only, right_only):
+    """Pairs at 0.75 exactly are never ruled out by their marks, unrelated ones always."""
+    rng = np.random.Generator(np.random.PCG64(10))
+    pairs = 4000
+    both, a, b = (rng.integers(0, 1 << 63, (pairs, n), dtype=np.uint64) for n in (common, left_only, right_only))
+    marks = [lines._marks(lines._sketches(np.hstack((both, own)).ravel(), np.arange(pairs + 1) * (common + own.shape[1]))) for own in (a, b)]
+    assert lines.alike(*marks).all()
+    assert not lines.alike(marks[0][:-1], marks[1][1:]).any()
+    assert lines._marks(np.zeros((0, lines.COORDINATES), np.uint64)).shape == (0, 5)
+
+
+@pytest.mark.parametrize("block", [768, 3])
+def test_nodes_ruled_out_by_their_marks_are_not_fetched(spark, monkeypatch, block):
+    monkeypatch.setattr(links, "BLOCK", block)
+    sets = {n: set(range(n * 100, n * 100 + 20)) for n in range(30)}
+    sets[40], sets[41], sets[42] = set(range(1100, 1116)), set(range(300, 319)), set(range(0, 18))  # linked with 11, 3 and the hub
+    mark = {40: 11, 41: 3, 42: 0, 17: 16}  # 17 and 16 only look alike
+    keyed = spark.createDataFrame([(n, [1, 1000 + n], [mark.get(n, n), 7]) for n in sets for _ in range(1 + n % 2)], "node long, keys array<long>, mark array<long>")
+    items = spark.createDataFrame([(n, sorted(s), len(s)) for n, s in sets.items()], "node long, items array<long>, n long")
+    asked = []
+
+    def fetch(nodes):
+        asked.extend(r["node"] for r in nodes.collect())
+        return items.join(nodes, "node")
+
+    got = dict(tuples(links.near_components(keyed, fetch, 75, alike=lambda a, b: (a == b).all(axis=1)), "node", "root"))
+    assert got == {40: 11, 11: 11, 41: 3, 3: 3, 42: 0, 0: 0}
+    assert sorted(asked) == [0, 3, 11, 16, 17, 40, 41, 42]
+
+
 def test_unrelated_lines_share_few_buckets():
     """Pairs that share a band, for each line, stay few while the lines grow fourfold."""
     texts = [t for r in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist() if r for t in r.split("\n")]
