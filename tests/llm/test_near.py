@@ -223,6 +223,79 @@ def test_nodes_ruled_out_by_their_marks_are_not_fetched(spark, monkeypatch, bloc
     assert sorted(asked) == [0, 3, 11, 16, 17, 40, 41, 42]
 
 
+def test_hubs_with_more_nodes_than_a_task_holds_are_compared(spark, monkeypatch):
+    """No meeting among the first rows a task reads is complete."""
+    monkeypatch.setattr(links, "HELD", 2)
+    sets = {n: set(range(n * 100, n * 100 + 20)) for n in range(9)} | {20: set(range(300, 319))}
+    keyed = spark.createDataFrame([(n, [1], [3 if n == 20 else n, 7]) for n in sets], "node long, keys array<long>, mark array<long>")
+    items = spark.createDataFrame([(n, sorted(s), len(s)) for n, s in sets.items()], "node long, items array<long>, n long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = dict(tuples(links.near_components(keyed, lambda nodes: items.join(nodes, "node"), 75, alike=lambda a, b: (a == b).all(axis=1)), "node", "root"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    assert got == {20: 3, 3: 3}
+
+
+def words_of(sketch, node):
+    packs = lines._packed(lines._band_keys(sketch, 1), lines._checks(sketch), node, 1)
+    return np.stack([np.frombuffer(w, np.uint64) for _, w, _ in packs], axis=1)
+
+
+@pytest.mark.parametrize(("common", "left_only", "right_only"), [(60, 10, 10), (3, 0, 1), (300, 100, 0)])
+def test_line_pairs_at_the_limit_are_close_in_a_band(common, left_only, right_only):
+    """Of 10,000 pairs at 0.75 exactly, hardly one shares no band whose checks let it through; unrelated lines seldom pass them."""
+    rng = np.random.Generator(np.random.PCG64(11))
+    pairs = 10_000
+    both, a, b = (rng.integers(0, 1 << 63, (pairs, n), dtype=np.uint64) for n in (common, left_only, right_only))
+    left, right = (words_of(lines._sketches(np.hstack((both, own)).ravel(), np.arange(pairs + 1) * (common + own.shape[1])), own[:, 0] if own.size else both[:, 0]) for own in (a, b))
+    key = lines.U64(64 - lines.KEY)
+    same = (left >> key) == (right >> key)
+    assert np.count_nonzero(~(same & lines.close(left, right)).any(1)) <= 1
+    assert np.count_nonzero(same & (left == right)) < 0.01 * np.count_nonzero(same)
+    assert lines.close(left[:-1], right[1:]).mean() < 0.02
+
+
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_packs_hold_every_line_of_every_band_once(ranges):
+    rng = np.random.Generator(np.random.PCG64(12))
+    sketch, node = rng.integers(0, 1 << 63, (3000, lines.COORDINATES), dtype=np.uint64), rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    whole, found = words_of(sketch, node), np.zeros((3000, lines.BANDS), np.int64)
+    for slot, words, gaps in lines._packed(lines._band_keys(sketch, 1), lines._checks(sketch), node, ranges):
+        at = lines._numbers(gaps)
+        found[at, slot // ranges] += 1
+        assert (np.frombuffer(words, np.uint64) == whole[at, slot // ranges]).all()
+    assert (found == 1).all()
+    for at in ([0], [254, 255, 256, 511, 1021, 1276], [70_000]):
+        assert lines._numbers(lines._gaps(np.array(at))).tolist() == at
+    assert lines._numbers(b"").tolist() == []
+
+
+def test_buckets_list_lines_that_are_close_and_no_copies():
+    def listed(*words):
+        batch = pa.RecordBatch.from_arrays([pa.array([4] * len(words), pa.int32()), pa.array([100 * i for i in range(len(words))]), pa.array([np.array([w], np.uint64).tobytes() for w in words]), pa.array([lines._gaps(np.array([1]))] * len(words))], ["slot", "chunk", "words", "gaps"])
+        return sorted(x for found in lines._listed([batch]) for x in zip(found["bucket"].to_pylist(), found["ref"].to_pylist(), strict=True))
+
+    key, far = 5 << 40, (1 << 17) - 1 << 8
+    bucket = 4 << lines.KEY | 5
+    assert listed(key, key, key) == []
+    assert listed(key, key | far) == [] and listed(key, 6 << 40) == []
+    assert listed(key | 1, key, key, key | far) == [(bucket, 1), (bucket, 101)]
+    assert listed(key | far, key | 256, key | 512) == [(bucket, 101), (bucket, 201)]
+    crowd = [key | far * (i % 2) | i // 2 % 256 | i // 512 << 30 for i in range(lines.CROWD + 1)]
+    assert len(listed(*crowd)) == lines.CROWD + 1
+
+
+def test_lines_in_many_ranges_and_chunks_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lines, "SHARE", 9)
+    monkeypatch.setattr(lines, "CHUNK", 16)
+    rng = random.Random(6)
+    stock = [words(rng, 14) for _ in range(30)]
+    rows = [(i, "\n".join(line.replace(" w1", " v1", 1) if rng.random() < 0.3 else line for line in rng.choices(stock, k=4) + [words(rng, 14)])) for i in range(60)]
+    got = dict(tuples(lines.dedup_lines(documents(spark, rows).repartition(3)), "doc_id", "text"))
+    assert got == brute_lines(rows)
+
+
 def test_unrelated_lines_share_few_buckets():
     """Pairs that share a band, for each line, stay few while the lines grow fourfold."""
     texts = [t for r in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist() if r for t in r.split("\n")]
