@@ -286,6 +286,30 @@ def test_buckets_list_lines_that_are_close_and_no_copies():
     assert len(listed(*crowd)) == lines.CROWD + 1
 
 
+def test_buckets_are_listed_as_stars_round_their_least_line():
+    """Copies are told by their least number whatever the order of the chunks, so a line has the same hubs in all its bands."""
+    word, other = np.array([5 << 40 | 1, 5 << 40, 6 << 40], np.uint64), np.array([5 << 40, 6 << 40 | 1], np.uint64)
+    chunks = {900: (word, [0, 3, 4]), 100: (other, [2, 7])}
+    for order in ([900, 100], [100, 900]):
+        packs = [(4, chunk, chunks[chunk][0].tobytes(), lines._gaps(np.array(chunks[chunk][1]))) for chunk in order]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*packs, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["slot", "chunk", "words", "gaps"])
+        stars = {x for found in lines._listed([batch]) for x in zip(found["ref"].to_pylist(), found["hub"].to_pylist(), strict=True)}
+        assert stars == {(102, 102), (900, 102), (107, 107), (904, 107)}
+
+
+def test_shingles_of_wide_short_and_repeating_lines():
+    """Each line's set has as many hashes as it has shingles, the same ones wherever the line stands; a sketch does not tell their order."""
+    found = ["a" * 60, "\u00e9t\u00e9 " * 15, "x", "\u4e2d\u6587", "ab", "plain words of one line, once more words of one line", "\u4e2d\u6587" * 25]
+    for size in lines.SHINGLES:
+        sets = lines.line_sets(pa.array([f"{size}{t}" for t in found]))
+        assert [len(s) for s in sets] == [len({t[i : i + size] for i in range(max(len(t) - size + 1, 1))}) for t in found]
+        assert all((np.diff(s.astype(object)) > 0).all() for s in sets)
+        again = lines.line_sets(pa.array([f"{size}{t}" for t in reversed(found)]))
+        assert all((x == y).all() for x, y in zip(sets, reversed(again), strict=True))
+        at = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+        assert (lines._sketches(np.concatenate(sets), at) == lines._sketches(np.concatenate([s[::-1] for s in sets]), at)).all()
+
+
 def test_lines_in_many_ranges_and_chunks_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(lines, "SHARE", 9)
     monkeypatch.setattr(lines, "CHUNK", 16)
