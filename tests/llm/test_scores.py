@@ -163,3 +163,97 @@ def test_words_of_long_texts_are_counted_in_small_memory():
     tracemalloc.stop()
     assert sum(len(t) for t in texts) > 7 << 20 and peak < 100 << 20
     assert sum(sum(b["c"].to_pylist()) for b in out) == 900 * 1500
+
+
+def cycles(rng, docs, stock, length, order=(0, 1, 2)):
+    """Texts whose words come from three stocks in turn; the words' endings tell nothing."""
+    return [" ".join(rng.choice(stock[order[k % 3]]) for k in range(length)) for _ in range(docs)]
+
+
+def stocks(rng, size):
+    return [[f"{rng.getrandbits(60):x}" for _ in range(size)] for _ in range(3)]
+
+
+def test_rare_words_are_clustered_by_what_stands_beside_them(spark):
+    """More words than are frequent, each seen a few times: a held-out text in the usual order is likelier than one against it."""
+    rng = random.Random(11)
+    stock = stocks(rng, 1500)
+    train = [i for i in range(2000) if not held(i, 10, 0)][:600]
+    out = [i for i in range(2000) if held(i, 10, 0)][:40]
+    usual, against = cycles(rng, 20, stock, 60), cycles(rng, 20, stock, 60, (2, 1, 0))
+    rows = [*zip(train, cycles(rng, 600, stock, 45), strict=True), *zip(out[:20], usual, strict=True), *zip(out[20:], against, strict=True)]
+    score = {i: s for i, h, s in tuples(brown.score_texts(documents(spark, rows)), "doc_id", "held_out", "score") if h}
+    gap = np.mean([score[i] for i in out[:20]]) - np.mean([score[i] for i in out[20:]])
+    assert gap / 60 > 0.5
+
+
+def test_scores_are_those_of_the_classes(spark, monkeypatch):
+    """The scores from plain Python, from the classes that all words got; information rises from sweep to sweep."""
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    stock = stocks(rng, 500)
+    rows = list(enumerate(cycles(rng, 150, stock, 40)))
+    rows += [(i, f"never{i} {rng.choice(stock[0])} seen{i} before{i} {rng.choice(stock[1])}") for i in range(200, 260)] + [(300, None), (None, " ".join(stock[2][:9]))]
+    seen, real = {}, brown.cluster
+
+    def cluster(chunks, parts, seeds):
+        seen["chunks"], seen["parts"] = chunks, parts
+        seen["state"], seen["rises"] = real(chunks, parts, seeds)
+        return seen["state"], seen["rises"]
+
+    monkeypatch.setattr(brown, "cluster", cluster)
+    monkeypatch.setattr(brown, "CHUNK", 500)
+    got = {i: s for i, s in tuples(brown.score_texts(documents(spark, rows)), "doc_id", "score")}
+    assert len(seen["rises"]) > 1 and seen["rises"] == sorted(seen["rises"])
+    parts, of = seen["parts"], {}
+    replies = pa.concat_tables([s.toArrow() for s in seen["state"]])
+    chunks = seen["chunks"].toArrow()
+    for i in range(chunks.num_rows):
+        row = chunks.slice(i, 1)
+        chunk = brown.Chunk(row, parts, replies.filter(pa.compute.equal(replies["chunk"], row["chunk"][0])))
+        for h, c in zip(chunk.types.tolist(), chunk.of.tolist(), strict=True):
+            assert of.setdefault(h, c) == c
+    end = int(brown.END)
+    split = lambda t: [*brown._tokens(pa.array([t], pa.string()))[0].tolist(), end]
+    train = [split(t) for i, t in rows if not held(i, 10, 0)]
+    count = Counter(w for t in train for w in t)
+    assert all(of[w] < brown.CLASSES for w in count)
+    n2 = Counter((of[a], of[b]) for t in train for a, b in zip([end, *t[:-1]], t, strict=True))
+    n1, n0, types = Counter(), Counter(), Counter(of[w] for w in count)
+    for (f, g), n in n2.items():
+        n0[f] += n
+        n1[g] += n
+    total, ones, twos = sum(count.values()), sum(n == 1 for n in count.values()), sum(n == 2 for n in count.values())
+    discount, floor = min(0.95, max(0.05, ones / (ones + 2 * twos))), -math.log10(10 * (total + len(count) + 1))
+    step = lambda f, g: math.log10((n2[f, g] + 16 * n1[g] / total) / (n0[f] + 16)) if n1[g] else floor
+    unknown = lambda g: math.log10(discount * types[g] / n1[g]) if n1[g] else floor
+    for i, t in rows:
+        want, f = 0.0, of[end]
+        for w in split(t):
+            g = of[w] if w in count else max(range(brown.CLASSES), key=lambda g: (round(step(f, g) + unknown(g), 9), -g))
+            want += step(f, g) + (math.log10(count[w] - discount) - math.log10(n1[g]) if w in count else unknown(g))
+            f = g
+        assert math.isclose(got[i], want, abs_tol=1e-6)
+
+
+def test_a_move_is_the_one_that_raises_information_most():
+    rng = np.random.Generator(np.random.PCG64(3))
+    v, k = 300, 6
+    # Words of class c stand before those of class c + 1 mostly; a fifth of the words are in a class by chance.
+    seq = (np.cumsum(rng.choice([1, 1, 1, 2, 4], 12_000)) % k) * (v // k) + rng.integers(0, v // k, 12_000)
+    of = np.where(rng.random(v) < 0.2, rng.integers(0, k, v), np.arange(v) // (v // k))
+
+    def table(of):
+        return np.bincount(of[seq[:-1]] * k + of[seq[1:]], minlength=k * k).reshape(k, k).astype(float)
+
+    a, b = seq[:-1], seq[1:]
+    own, keys = a == b, 2 * k + 1
+    code, n = np.unique(np.concatenate((b[~own] * keys + of[a[~own]], a[~own] * keys + k + of[b[~own]], b[own] * keys + 2 * k)), return_counts=True)
+    got = brown.better(table(of), of.astype(np.uint8), code // keys, code % keys, n)
+    for w in range(v):
+        other, value = of.copy(), []
+        for other[w] in range(k):
+            value.append(brown.information(table(other)))
+        # What a word's own counts do to each other is left out, which is little beside the gain.
+        assert max(value) - value[got[w]] < 0.05 * (max(value) - min(value))
